@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, simhash, tokens, toxicity
+from . import decontam, langid, mixing, quality, sharding, simhash, tokens, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,7 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_decontaminate, op5_simhash, op6_mix_sources, op9_language, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_shards, op3_quality, op4_decontaminate, op5_simhash, op6_mix_sources, op9_language, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
