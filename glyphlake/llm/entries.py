@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, sharding, simhash, tokens, toxicity
+from . import audio, decontam, html, langid, mixing, quality, sharding, simhash, tokens, toxicity
 from .common import table
 
 
@@ -36,6 +36,14 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media(table(spark, sf_dir, "documents"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_shards, op3_quality, op4_decontaminate, op5_simhash, op6_mix_sources, op9_language, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_shards, op3_quality, op4_decontaminate, op5_simhash, op6_mix_sources, op7_media, op8_main_text, op9_language, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
