@@ -271,3 +271,26 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW) ->
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without any phrase of the items, with all their columns; rows stay where they are."""
+    out = docs
+    for piece in _passes(items, item_id, item_text):
+        sent = docs.sparkSession.sparkContext.broadcast(Phrases(piece, window))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            phrases = sent.value
+            for batch in batches:
+                column = batch.column(batch.schema.get_field_index("text"))
+                keep, texts, size = [], [], 0
+                for k, text in enumerate(column):
+                    texts.append(text.as_py().encode() if text.is_valid else None)
+                    size += len(texts[-1] or b"")
+                    if size >= BLOCK_BYTES or k == len(column) - 1:
+                        keep += [not s for s in _occurrences(Block.build(texts), phrases, len(texts))[0]]
+                        texts, size = [], 0
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

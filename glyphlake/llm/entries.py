@@ -29,7 +29,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")[0]).alias("fingerprint"), "component_id")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

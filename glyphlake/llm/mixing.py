@@ -97,17 +97,23 @@ def first_words(text: Column, k: Column) -> Column:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: every document repeated as planned, the border documents also by their first words.
 
-    Keeps the columns of docs; rows are matched to the plan by doc_id and the text's checksum."""
+    Keeps the columns of docs.  As a source's fraction ends at one place of its order, a row a source says what is
+    taken, and texts are not moved.  Equal rows on the border share its words evenly."""
     plan = plan_mix(docs, **options)
-    # equal (doc_id, crc) rows of a source are alike to the plan: their takes are added up and dealt evenly
-    keyed = plan.groupBy("doc_id", "source", "c").agg(F.sum("whole").alias("__w"), F.sum("part").alias("__p"), F.count(F.lit(1)).alias("__n"), F.max("size").alias("__size"))
-    keyed = keyed.select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("c").alias("__c"), "__w", "__p", "__n", "__size").where("__w > 0 or __p > 0")
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = docs.join(keyed, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")) & (crc == F.col("__c")))
-    each = F.expr("cast(__w div __n as int)")
-    share = F.expr("cast(__p div __n as int)")
-    takes = F.array_repeat(F.lit(-1), each)
-    takes = F.when((share > 0) & (share < F.col("__size")), F.concat(takes, F.array(share))).when((share > 0) & (share >= F.col("__size")), F.concat(takes, F.array(F.lit(-1)))).otherwise(takes)
+    key = F.struct("h", "doc_id", "size", "c")
+    taken = plan.where("part > 0 or whole > 0").groupBy("source").agg(F.max("whole").alias("whole"), F.max(F.when(F.col("part") > 0, key)).alias("border"))
+    taken = materialize(taken.select(F.col("source").alias("s"), "whole", "border"), "mix-borders")
+    on = F.col("source").eqNullSafe(F.col("s"))
+    at_border = plan.join(taken, on).where(key == F.col("border")).groupBy("source").agg(F.sum("part").alias("p"), F.count(F.lit(1)).alias("m"))
+    borders = materialize(taken.join(at_border.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left").select("s", "whole", "border", F.expr("p div m").alias("share")), "mix-borders")
+    seed = options.get("seed", SEED)
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    own = F.struct(order.alias("h"), F.col("doc_id"), word_count(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("c"))
+    named = {c: f"__{c}" for c in ("s", "whole", "border", "share")}
+    rows = docs.withColumn("__own", own).join(borders.withColumnsRenamed(named), F.col("source").eqNullSafe(F.col("__s")))
+    # -1 stands for the whole text
+    extra = F.when(F.col("__own") < F.col("__border"), F.lit(-1)).when((F.col("__own") == F.col("__border")) & (F.col("__share") >= F.col("__own.size")), F.lit(-1)).when(F.col("__own") == F.col("__border"), F.col("__share").cast("int"))
+    takes = F.filter(F.concat(F.array_repeat(F.lit(-1), F.col("__whole").cast("int")), F.array(extra)), lambda k: k.isNotNull() & (k != 0))
     out = rows.withColumn("__take", F.explode(takes))
     cut = F.col("__take") >= 0
     columns = []

@@ -151,3 +151,18 @@ def _assign(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
     return out.select(
         "doc_id", F.col("bytes").alias("size"), "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_size"
     )
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    """The documents with all their columns, and their shard and slot.
+
+    The assignments of rows with equal id and text are interchangeable: such rows take them in turn."""
+    spots = shard(docs, shards, rounds)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    # rows of one id and text: a few, unless the input repeats them
+    dealt = spots.groupBy(key.alias("__key"), F.col("text_crc32").alias("__crc")).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("__spots"))
+    rows = docs.withColumn("__id", key).withColumn("__c", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__c").orderBy("__c")))
+    out = rows.join(dealt, (F.col("__id") == F.col("__key")) & (F.col("__c") == F.col("__crc")))
+    spot = F.col("__spots")[F.col("__copy") - 1]
+    return out.select(*[docs[c] for c in docs.columns], spot["shard"].alias("shard"), spot["slot"].alias("slot"))
