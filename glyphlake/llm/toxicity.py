@@ -33,7 +33,8 @@ from .sampling import held_out, labelled_sample
 SAMPLE_PER_CLASS = 12_000
 #: Documents that a word or beginning must stand in to get log-odds.
 MIN_DOCS = 4
-PRIOR_WEIGHT = 500.0
+#: The prior counts as this share of the sample's documents.
+PRIOR_SHARE = 0.04
 MARGIN = 3.0
 #: Log-odds, after the margin, below which a word is not evidence; above which one may still be.
 LEAST = 0.5
@@ -175,9 +176,10 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     return part.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= MIN_DOCS)
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, prior: float = PRIOR_WEIGHT) -> tuple[np.ndarray, np.ndarray]:
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, share: float = PRIOR_SHARE) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of each feature with an informative Dirichlet prior, and their standard deviations."""
-    alpha = prior * (toxic + clean) / (n_toxic + n_clean)
+    prior = share * (n_toxic + n_clean)
+    alpha = share * (toxic + clean)
     a, b = toxic + alpha, clean + alpha
     delta = np.log(a / (n_toxic + prior - a)) - np.log(b / (n_clean + prior - b))
     return delta, np.sqrt(1 / a + 1 / b)
