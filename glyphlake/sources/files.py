@@ -7,6 +7,7 @@ predicates on paths, applied before bodies are decoded.
 from __future__ import annotations
 
 import codecs
+import datetime
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,26 +15,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..corpus import Corpus
-from ..functions.paths import IgnoreRule, PathFilter, basename, extension, hidden, ignored, in_skipped_dir, parse_ignore
+from ..functions.paths import IgnoreRule, PathFilter, extension, hidden, ignored, in_skipped_dir, parse_ignore
 
 IGNORE_FILES = (".gitignore", ".ignore", ".rgignore")
 
 
 def walk(spark: SparkSession, root: str, *, show_hidden: bool = False, skip_dirs: bool = True, respect_ignore: bool = True, paths: PathFilter | None = None, max_size: int | None = None) -> DataFrame:
-    """(path, mtime, length, content) of the files below a root that the rules let through, by relative path."""
+    """(path, mtime, length, content) of the files below a root that the rules let through, by relative path.
+
+    Spark's file sources never list names that begin with a dot or an underscore; those few are listed and read by the driver."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    clean = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
-    relative = F.expr(f"substring(path, instr(path, '{clean}') + {len(clean)})")
+    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
+    relative = F.expr(f"substring(path, instr(path, '{base}') + {len(base)})")
+    schema = "path string, mtime timestamp, length long, content binary"
     found = files.select(relative.alias("path"), F.col("modificationTime").alias("mtime"), "length", "content")
-    if max_size is not None:
-        found = found.where(F.col("length") <= max_size)
+    unseen = _unlisted(spark, root, base)
     rules: list[IgnoreRule] = []
     if respect_ignore:
-        # rule files are small, and their number is that of folders with rules
-        named = found.where(basename(F.col("path")).isin(*IGNORE_FILES)).select("path", F.col("content").cast("string").alias("text"))
         rank = {n: i for i, n in enumerate(IGNORE_FILES)}
-        for row in sorted(named.toLocalIterator(), key=lambda r: (r["path"].rpartition("/")[0], rank[r["path"].rpartition("/")[2]])):
-            rules += parse_ignore(row["text"], row["path"].rpartition("/")[0], len(rules))
+        named = [(p, body) for p, _, _, body in unseen if p.rpartition("/")[2] in rank]
+        for path, body in sorted(named, key=lambda r: (r[0].rpartition("/")[0], rank[r[0].rpartition("/")[2]])):
+            rules += parse_ignore(body.decode("utf-8", "replace"), path.rpartition("/")[0], len(rules))
+    if unseen:
+        found = found.unionByName(spark.createDataFrame(unseen, schema))
+    if max_size is not None:
+        found = found.where(F.col("length") <= max_size)
     if not show_hidden:
         found = found.where(~hidden(F.col("path")))
     if skip_dirs:
@@ -43,6 +49,25 @@ def walk(spark: SparkSession, root: str, *, show_hidden: bool = False, skip_dirs
     return found.where(paths.admits(F.col("path"))) if paths else found
 
 
+def _unlisted(spark: SparkSession, root: str, base: str) -> list[tuple[str, datetime.datetime, int, bytes]]:
+    """Files below a root with a folder or name that begins with a dot or an underscore."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, every = [], system.listFiles(top, True)
+    while every.hasNext():
+        status = every.next()
+        path = status.getPath().toUri().getPath().removeprefix(base)
+        if any(part[:1] in "._" for part in path.split("/")) and not path.endswith(".crc"):
+            stream = system.open(status.getPath())
+            try:
+                body = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            finally:
+                stream.close()
+            found.append((path, datetime.datetime.fromtimestamp(status.getModificationTime() / 1000), status.getLen(), body))
+    return found
+
+
 def as_corpus(files: DataFrame, encoding: str | None = None, decompress: bool = False) -> Corpus:
     """Documents of files: an id by hash of the path, and the decoded text."""
     body = inflate(F.col("content"), F.col("path")) if decompress else F.col("content")
