@@ -294,3 +294,19 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW
 
         out = out.mapInArrow(run, docs.schema)
     return out
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """DuckDB SQL of contamination(): every run of words of a document is compared with every window."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, list_slice(w, i, i + {window - 1}) AS p FROM b, LATERAL (SELECT unnest(generate_series(1, CAST(greatest(1, len(w) - {window - 1}) AS BIGINT))) AS i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT len(p) AS n FROM win),
+runs AS (SELECT rid, i, n, list_slice(w, i, i + n - 1) AS p FROM d, sizes, LATERAL (SELECT unnest(generate_series(1, CAST(len(w) - n + 1 AS BIGINT))) AS i)),
+found AS (SELECT r.rid, r.i, r.n, win.item FROM runs r JOIN win ON r.p = win.p),
+hit AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT rid, i, n FROM found) f, LATERAL (SELECT unnest(generate_series(f.i, f.i + f.n - 1)) AS k) GROUP BY rid),
+named AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)"""

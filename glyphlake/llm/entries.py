@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.oracle_sql()}
+    return {"op4_decontaminate": decontam.oracle_sql(), "op6_mix_sources": mixing.oracle_sql()}
