@@ -454,3 +454,48 @@ def labelled_lines(spark: SparkSession, d: str) -> DataFrame:
     good = table(spark, d, "labels").where("quality = 1").select("doc_id")
     lines = corpus(spark, d).lines().where(F.rlike("line", F.lit("^[A-Z]"))).join(good, "doc_id", "left_semi")
     return lines.select("path", "line_number", F.length("line").cast("long").alias("n"))
+
+
+# planned searches and functions
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(GNU|MIT) (General|License)[a-z ]*[A-Z]')")
+def planned_search(spark: SparkSession, d: str) -> DataFrame:
+    """The index and the guard narrow, the pattern decides."""
+    from . import prefilter
+
+    docs = table(spark, d, "documents")
+    return prefilter.search(docs, Pattern("(GNU|MIT) (General|License)[a-z ]*[A-Z]"), postings=indexes.postings(docs)).select("doc_id")
+
+
+@query(None)
+def pattern_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What matches of some patterns must contain."""
+    from . import prefilter
+
+    rows = []
+    for p in ("License", "(GNU|MIT) [A-Z]+", "[0-9]{4}", "a*", "^the (cat|dog)s?$"):
+        f = prefilter.facts(p)
+        rows.append((p, f.least, f.most, f.nullable, f.anchored_start, f.anchored_end, " & ".join("|".join(sorted(c)) for c in f.clauses())))
+    return spark.createDataFrame(rows, "pattern string, least int, most int, nullable boolean, anchored_start boolean, anchored_end boolean, required string")
+
+
+@query("""SELECT item_id, regexp_extract(text, '[A-Z][a-z]+') AS first, regexp_matches(text, '^(?s:.)*[.]$') AS whole, CAST(len(regexp_extract_all(text, 'th[a-z]*')) AS BIGINT) AS n,
+  CAST(len(string_split_regex(text, '[.,] ')) AS BIGINT) AS pieces, regexp_replace(text, '(th)([a-z]+)', '\\2\\1', 'g') AS swapped, regexp_replace(text, 'the', '<$1>') AS once FROM benchmark""")
+def regex_functions(spark: SparkSession, d: str) -> DataFrame:
+    """search, fullmatch, findall, split and sub as columns."""
+    from ..functions import matching as M
+
+    text = F.col("text")
+    return table(spark, d, "benchmark").select(
+        "item_id", M.search(text, Pattern("[A-Z][a-z]+")).alias("first"), M.fullmatch(text, Pattern("(?s:.)*[.]")).alias("whole"), M.count(text, Pattern("th[a-z]*")).alias("n"),
+        F.size(M.split(text, Pattern("[.,] "))).cast("long").alias("pieces"), M.sub(text, Pattern("(th)([a-z]+)"), "$2$1", ("", "")).alias("swapped"), M.sub_first(text, Pattern("the"), "<$1>").alias("once"),
+    )
+
+
+@query(None)
+def replaced_by_callback(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions import matching as M
+
+    made = M.sub_with(r"\b[a-z]", lambda m: m[0].upper(), most=3)(F.col("text"))
+    return table(spark, d, "benchmark").select("item_id", made.alias("r")).select("item_id", "r.text", "r.n")
