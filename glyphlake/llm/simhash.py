@@ -14,8 +14,8 @@ is a total distance of at most `distance` over all lanes, and pairs are found if
 at most 1 bit; what that leaves out falls with the number of lanes (see the README for figures).
 
 Equal fingerprints are one node.  An anchor with many fingerprints is cut into chunks, and pairs of
-chunks are compared by separate tasks, each of which returns a spanning forest of the links it
-finds, never all pairs.  Components come from min-label propagation with pointer jumping, a join
+chunks are compared by separate tasks, each of which returns one edge a node it could link, never all
+pairs.  Components come from min-label propagation with pointer jumping, a join
 and an aggregation a round; their rounds are written to the shared checkpoint folder.
 
 Defined results: null and empty texts, and those of white space, have fingerprint 0 and are linked
@@ -100,7 +100,8 @@ def anchors(nodes: DataFrame, lanes: int = 1) -> DataFrame:
 
 
 def _forest(homes: np.ndarray, others: np.ndarray, home_fp: np.ndarray, other_fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between homes and others, with a block of homes in memory at a time."""
+    """What links between homes and others join: each node with the least node it is joined with, so that anchors
+    which share that node say the same.  A block of homes is in memory at a time."""
     nodes = np.unique(np.concatenate([homes, others]))
     parent = list(range(len(nodes)))
 
@@ -110,7 +111,6 @@ def _forest(homes: np.ndarray, others: np.ndarray, home_fp: np.ndarray, other_fp
             x = parent[x]
         return x
 
-    edges = []
     place_h, place_o = np.searchsorted(nodes, homes), np.searchsorted(nodes, others)
     step = max(1, (1 << 20) // max(1, len(others)))
     for k in range(0, len(homes), step):
@@ -121,12 +121,11 @@ def _forest(homes: np.ndarray, others: np.ndarray, home_fp: np.ndarray, other_fp
             a, b = root(int(place_h[k + i])), root(int(place_o[j]))
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                edges.append((int(homes[k + i]), int(others[j])))
-    return edges
+    return [(int(nodes[k]), int(nodes[r])) for k in range(len(nodes)) if (r := root(k)) != k]
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links between nodes within `distance` bits that connect all such pairs that share an anchor.
+    """(a, b): edges that join all nodes within `distance` bits of each other that share an anchor.
 
     In one lane, and for at most 3 bits, these are all pairs."""
     at = Window.partitionBy("anchor")
