@@ -63,6 +63,11 @@ def definition_pattern(needle: str) -> Pattern:
     return Pattern(rf"(?:^|\s)(?:{words})\s+{name}(?![A-Za-z0-9_])|^\s*{name}\s*(?::=|=|:)(?!=)")
 
 
+def comment_free(line: Column) -> Column:
+    """Whether a line is more than a comment."""
+    return ~F.rlike(line, F.lit(r"\A\s*(?://|#|/\*|\*|\\\\)"))
+
+
 def confidence(line: Column, needle: str) -> Column:
     """3 a declaring word before the name, 2 an assignment to it, 1 the name at the line's start, else 0; none in comments."""
     name = Pattern(needle, fixed=True).body()
