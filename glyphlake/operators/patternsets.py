@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..corpus import Corpus
@@ -66,11 +66,21 @@ class RowPlan:
         return out.limit(self.limit) if self.limit else out
 
 
-def from_table(spark: SparkSession, docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
-    """Attribution by a table of patterns (pattern_id, pattern): a join by predicate, with the patterns on every task.
+#: Patterns of a table that are tested together; more are tested in several passes.
+TABLE_PATTERNS = 5_000
+
+
+def from_table(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
+    """Attribution by a table of patterns (pattern_id, pattern): a join by predicate, a bounded block of patterns at a time.
 
     For pattern sets that are data; a set known to the driver is a PatternSet."""
-    return docs.join(F.broadcast(patterns), F.call_function("rlike", F.col(text), F.col("pattern")))
+    blocks = max(1, -(-patterns.count() // TABLE_PATTERNS))
+    out = None
+    for k in range(blocks):
+        block = patterns.where(F.pmod(F.xxhash64("pattern_id"), F.lit(blocks)) == k) if blocks > 1 else patterns
+        part = docs.join(F.broadcast(block), F.call_function("rlike", F.col(text), F.col("pattern")))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @dataclass(frozen=True)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..corpus import Corpus
 from ..functions.paths import depth, is_generated, is_mirror
 from ..functions.patterns import Pattern
+from ..storage import global_rank
 from .search import matching_lines, snippet
 
 
@@ -34,22 +35,23 @@ def reciprocal(rank: Column, weight: float, k: float) -> Column:
 def fuse(features: DataFrame, weights: Weights = Weights(), external: DataFrame | None = None) -> DataFrame:
     """Scores of documents with matches, best_line, definition (0 to 3), shape, depth, is_generated and is_mirror.
 
-    Orders are total: ties end at doc_id.  external is another ranking (doc_id, position from 0).
-    The features are one row a matching document, ranked by sorting them all, as a total order asks."""
+    Orders are total: ties end at doc_id.  external is another ranking (doc_id, position from 0).  The orders are
+    global ranks over slim rows, sorted by ranges; shapes are counted before they are joined back."""
     w = weights
-    lexical = F.row_number().over(Window.orderBy(F.desc("matches"), "best_line", "doc_id")) - 1
-    shallow = F.row_number().over(Window.orderBy("depth", "best_line", "doc_id")) - 1
+    rows = global_rank(features, [F.desc("matches"), "best_line", "doc_id"], "__lexical")
+    rows = global_rank(rows, ["depth", "best_line", "doc_id"], "__shallow")
+    shapes = rows.where("shape <> 0").groupBy("shape").agg(F.count(F.lit(1)).alias("__alike"))
+    total = shapes.agg(F.coalesce(F.sum("__alike"), F.lit(0)).alias("__shaped"))
+    rows = rows.join(shapes, "shape", "left").crossJoin(F.broadcast(total))  # one row
     symbol = F.lit(w.symbol / w.k / 3) * F.col("definition")
-    shaped = F.count(F.when(F.col("shape") != 0, 1)).over(Window.partitionBy())
-    alike = F.count(F.lit(1)).over(Window.partitionBy("shape"))
-    structure = F.when((F.col("shape") != 0) & (F.col("__shaped") > 1), F.lit(w.structure / w.k) * F.log2(F.col("__shaped") / F.col("__alike")) / F.log2(F.col("__shaped").cast("double"))).otherwise(0.0)
+    shaped = F.col("__shaped").cast("double")
+    structure = F.when((F.col("shape") != 0) & (F.col("__shaped") > 1), F.lit(w.structure / w.k) * F.log2(shaped / F.col("__alike")) / F.log2(shaped)).otherwise(0.0)
     authored = F.when(~F.col("is_generated") & ~F.col("is_mirror"), F.lit(w.authored / w.k)).otherwise(0.0)
-    rows = features.withColumns({"__shaped": shaped, "__alike": alike, "__lexical": lexical, "__shallow": shallow})
     score = reciprocal(F.col("__lexical"), w.lexical, w.k) + symbol + structure + reciprocal(F.col("__shallow"), w.shallow, w.k) + authored
     if external is not None:
         rows = rows.join(external.select("doc_id", "position"), "doc_id", "left")
         score = score + F.coalesce(reciprocal(F.col("position"), w.graph, w.k), F.lit(0.0))
-    return rows.withColumn("score", score).drop("__shaped", "__alike", "__lexical", "__shallow", "position")
+    return rows.withColumn("score", score).select(*features.columns, "score")
 
 
 def top(scored: DataFrame, most: int = 20) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import global_rank
 from .patternsets import Needles, positions
 
 
@@ -62,3 +63,13 @@ def document_at(places: DataFrame, catalog: DataFrame, pos: str = "pos") -> Data
     order = Window.partitionBy("range").orderBy("at", F.col(pos).isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     filled = both.unionByName(reaching).select(pos, F.last("doc", ignorenulls=True).over(order).alias("doc_id"), F.last("first", ignorenulls=True).over(order).alias("start"))
     return filled.where(F.col(pos).isNotNull()).select(pos, "doc_id", (F.col(pos) - F.col("start")).alias("offset"))
+
+
+def balanced_bounds(rows: DataFrame, order: list[str], shards: int) -> DataFrame:
+    """Rows in order, cut into shards from 1 whose sizes differ by at most one, the larger first."""
+    ranked = global_rank(rows, order, "__rank")
+    n = ranked.count()
+    small, large = divmod(n, shards)
+    edge = large * (small + 1)
+    shard = F.when(F.col("__rank") < edge, F.floor(F.col("__rank") / (small + 1))).otherwise(large + F.floor((F.col("__rank") - edge) / max(1, small)))
+    return ranked.select(*rows.columns, (shard + 1).cast("long").alias("shard"))

@@ -10,6 +10,7 @@ from ..functions import paths as P
 from ..functions.patterns import Pattern, either
 from ..operators import indexes, search
 from ..sources import sinks
+from ..storage import global_rank
 from .registry import DOCS, LINES, corpus, query, table
 
 YEAR = Pattern("[0-9]{4}")
@@ -328,10 +329,8 @@ def ignore_rules_join(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {DOCS}, v AS (SELECT path || CASE doc_id % 2 WHEN 0 THEN '' ELSE '-x/y' END AS path FROM docs) SELECT path, row_number() OVER (ORDER BY translate(path, '/', chr(1))) AS place FROM v")
 def path_sort(spark: SparkSession, d: str) -> DataFrame:
     """Component order: a slash ranks below all else."""
-    from pyspark.sql import Window
-
     v = corpus(spark, d).df.select(F.concat("path", F.when(F.col("doc_id") % 2 == 0, "").otherwise("-x/y")).alias("path"))
-    return v.select("path", F.row_number().over(Window.orderBy(P.path_order(F.col("path")))).cast("long").alias("place"))  # a rank over all is one sorted run
+    return global_rank(v, [P.path_order(F.col("path"))], "place").select("path", (F.col("place") + 1).alias("place"))
 
 
 # sinks

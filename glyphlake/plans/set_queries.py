@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..corpus import line_grid
@@ -102,7 +102,7 @@ def match_ends(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {DOCS} SELECT d.doc_id, p.pattern_id FROM docs d, (VALUES (0, '[0-9]{{4}}'), (1, 'the of'), (2, 'zz')) p(pattern_id, pattern) WHERE regexp_matches(d.text, p.pattern)")
 def patterns_by_join(spark: SparkSession, d: str) -> DataFrame:
     patterns = spark.createDataFrame([(0, "[0-9]{4}"), (1, "the of"), (2, "zz")], "pattern_id int, pattern string")
-    return from_table(spark, corpus(spark, d).df, patterns).select("doc_id", "pattern_id")
+    return from_table(corpus(spark, d).df, patterns).select("doc_id", "pattern_id")
 
 
 # joins
@@ -164,7 +164,7 @@ def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST(ntile(16) OVER (ORDER BY doc_id) AS BIGINT) AS shard FROM documents")
 def balanced_bounds(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.ntile(16).over(Window.orderBy("doc_id")).cast("long").alias("shard"))  # ids only
+    return substrings.balanced_bounds(table(spark, d, "documents").select("doc_id"), ["doc_id"], 16)
 
 
 @query("SELECT l_orderkey, CAST(min(l_quantity) AS DOUBLE) AS tropical, max(l_quantity) AS viterbi, count(*) AS counting, bool_or(l_returnflag = 'R') AS reached FROM lineitem GROUP BY l_orderkey")

@@ -21,3 +21,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession)}/glyphlake-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def global_rank(df: DataFrame, order: list, out: str, label: str = "rank") -> DataFrame:
+    """Rows with their place, from 0, in a total order: sorted by ranges, counted by range, and added up.
+
+    The sorted rows are written with their range and place in it, so that both readings see the same; the table of
+    range sizes has a row a range."""
+    import pyspark.sql.functions as F
+    from pyspark.sql import Window
+
+    part, place = "__part", "__place"
+    ranged = df.orderBy(*order).select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(place))
+    placed = materialize(ranged, label)
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select(F.col(part).alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), F.col(part) == F.col("__p")).withColumn(out, F.col("__start") + F.col(place)).drop(part, place, "__p", "__start")
