@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, materialize
 
 #: Pages of a host, and share of them, in which a template's token must stand.
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
@@ -211,7 +211,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     kind = pages.schema["page_id"].dataType.simpleString()
     base = pages.select("page_id", "url", F.col("html").cast("binary").alias("html"))
-    known = templates(pages).select(F.col("host").alias("__host"), F.transform("template", lambda t: t["token"]).alias("tokens"), F.transform("template", lambda t: t["class"]).alias("classes"))
+    # written, so that its size is known: templates of few hosts are sent to the pages, which then need not move
+    known = materialize(templates(pages), "templates").select(F.col("host").alias("__host"), F.transform("template", lambda t: t["token"]).alias("tokens"), F.transform("template", lambda t: t["class"]).alias("classes"))
     joined = base.join(known, _host_column() == F.col("__host"), "left").select("page_id", "url", "html", "tokens", "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
