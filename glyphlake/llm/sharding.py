@@ -27,7 +27,7 @@ ROUNDS = 8
 #: A round that moves less than this share of the linked documents is the last.
 LEAST_MOVES = 0.0005
 #: Groups of more documents than this are ranked in parts.
-LARGE_GROUP = 4096
+LARGE_GROUP = 1024
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -123,12 +123,15 @@ def _assign(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
     # a group's cells as the upper ends of its documents' ranks, at most one entry a shard
     ends = F.sum("n").over(Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     plan = cells.withColumn("end", ends).groupBy("g").agg(F.first("size").alias("group_size"), F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("ends"))
+    # written, so that its size is known before the documents are dealt out by group for a join
+    plan = materialize(plan, "shard-plan")
     joined = rows.withColumnRenamed("size", "bytes").join(plan, "g", "left")
     linked = joined.where("ends is not null")
     # ranks inside a group: large groups are dealt into parts of about LARGE_GROUP documents
     parts = F.ceil(F.col("group_size") / F.lit(LARGE_GROUP)).cast("int")
     linked = linked.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
     order = [F.col("doc_id"), F.col("bytes")]
+    linked = linked.repartition("g", "part")  # else a large group's parts would stay together
     linked = linked.withColumn("rn", F.row_number().over(Window.partitionBy("g", "part").orderBy(*order)) - 1)
     sizes = linked.where("group_size > " + str(LARGE_GROUP)).groupBy("g", "part").agg(F.count(F.lit(1)).alias("k"))
     starts = sizes.select(F.col("g").alias("g2"), F.col("part").alias("p2"), F.coalesce(F.sum("k").over(Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
