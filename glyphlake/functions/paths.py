@@ -205,6 +205,22 @@ def path_order(path: Column) -> Column:
     return F.translate(path, "/", "\1")
 
 
+def strip_dot(path: Column) -> Column:
+    return F.regexp_replace(path, r"\A(?:\./)+", "")
+
+
+def join_path(folder: Column, name: Column) -> Column:
+    """An absolute name stands for itself, an empty or dot folder adds nothing."""
+    clean = F.regexp_replace(folder, r"/+\z", "")
+    return F.when(F.startswith(name, F.lit("/")) | clean.isin("", "."), name).otherwise(F.concat(clean, F.lit("/"), name))
+
+
+def sort_files(files: DataFrame, by: str = "path", reverse: bool = False) -> DataFrame:
+    """Files by path (component order) or modified time, ties by path."""
+    keys = [path_order(F.col("path"))] if by == "path" else [F.col("mtime"), path_order(F.col("path"))]
+    return files.orderBy(*[k.desc() if reverse else k.asc() for k in keys])
+
+
 def hidden(path: Column) -> Column:
     return F.rlike(path, F.lit(r"(?:\A|/)\.[^/.]"))
 
@@ -231,7 +247,7 @@ def genus(path: Column) -> Column:
 
 
 def is_mirror(path: Column) -> Column:
-    clean = F.regexp_replace(path, r"\A(?:\./)+", "")
+    clean = strip_dot(path)
     roots = "|".join(re.escape(r) for r in MIRROR_ROOTS)
     return F.rlike(clean, F.lit(rf"(?:\A|/)(?:{roots})"))
 

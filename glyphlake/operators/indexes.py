@@ -189,3 +189,24 @@ def persist_generation(spark: SparkSession, docs: DataFrame, root: str, generati
 def current_generation(spark: SparkSession, root: str) -> DataFrame:
     path = spark.read.parquet(f"{root}/current").first()["path"]
     return spark.read.parquet(path)
+
+
+def reclaim(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Delete all but the newest generations and the published one; returns what was deleted."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((s.getModificationTime(), s.getPath().getName()) for s in system.listStatus(top) if s.getPath().getName().startswith("generation-"))
+    live = spark.read.parquet(f"{root}/current").first()["path"].rstrip("/").rpartition("/")[2]
+    gone = [n for _, n in found[: max(0, len(found) - keep)] if n != live]
+    for name in gone:
+        system.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)
+    return gone
+
+
+def cheapest_first(rows: DataFrame, clauses: list[list[list[str]]]) -> list[list[list[str]]]:
+    """The clauses of a plan by how many documents they let through at most, from trigram frequencies."""
+    wanted = sorted({t for clause in clauses for term in clause for t in term})
+    df = {r["trigram"]: r["df"] for r in frequencies(rows.where(F.col("trigram").isin(wanted))).collect()} if wanted else {}
+    cost = lambda clause: sum(min((df.get(t, 0) for t in term), default=0) for term in clause)
+    return sorted(clauses, key=cost)

@@ -184,3 +184,9 @@ def dead_branches(corpus: Corpus, patterns: dict[str, Pattern]) -> DataFrame:
 def any_pattern(corpus: Corpus, patterns: list[Pattern]) -> DataFrame:
     """Lines in which any of the patterns is found, by one expression."""
     return corpus.lines().where(F.rlike("line", F.lit(either(patterns))))
+
+
+def witness(corpus: Corpus, inside: Column, pattern: Pattern) -> DataFrame:
+    """For a scope that has no match: the first path outside it that has one."""
+    outside = corpus.df.where(~inside & any_line(F.col("text"), pattern))
+    return outside.agg(F.min("path").alias("path")).where(F.col("path").isNotNull())

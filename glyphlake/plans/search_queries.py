@@ -354,6 +354,24 @@ def json_records(spark: SparkSession, d: str) -> DataFrame:
     return sinks.json_records(corpus(spark, d), YEAR).select("path", "ordinal", F.get_json_object("record", "$.type").alias("kind"))
 
 
+@query(f"""WITH {LINES}, m AS (SELECT path, line_number, line FROM lines WHERE regexp_matches(line, '[0-9]{{4}}'))
+SELECT path, line_number * 2 + 1 AS ordinal, line_number || ':' || line AS value FROM m UNION ALL SELECT DISTINCT path, 0, path FROM m""")
+def headed_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.headed(search.matching_lines(corpus(spark, d), YEAR))
+
+
+@query(f"WITH {LINES} SELECT min(path) AS path FROM lines WHERE contains(line, 'License') AND NOT path LIKE 'src1/%' HAVING min(path) IS NOT NULL")
+def witness_outside(spark: SparkSession, d: str) -> DataFrame:
+    return search.witness(corpus(spark, d), P.under_root(F.col("path"), "src1"), Pattern("License", fixed=True))
+
+
+@query("SELECT event_type || '/' || event_id AS path, ts AS mtime, row_number() OVER (ORDER BY ts DESC, event_type || '/' || event_id DESC) AS place FROM events")
+def files_by_time(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "events").select(F.concat_ws("/", "event_type", F.col("event_id").cast("string")).alias("path"), F.col("ts").alias("mtime"))
+    ranked = global_rank(files, [F.desc("mtime"), F.desc(P.path_order(F.col("path")))], "place")
+    return ranked.select("path", "mtime", (F.col("place") + 1).alias("place"))
+
+
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 50000")
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..corpus import line_grid
+from ..corpus import Corpus, line_grid
 from ..functions.patterns import Pattern
 from ..operators import graphs, indexes, kinship, lexing, ranking, substrings
 from ..operators.patternsets import Needles, PatternSet, RowPlan, from_table, pattern_ends
@@ -499,3 +499,33 @@ def replaced_by_callback(spark: SparkSession, d: str) -> DataFrame:
 
     made = M.sub_with(r"\b[a-z]", lambda m: m[0].upper(), most=3)(F.col("text"))
     return table(spark, d, "benchmark").select("item_id", made.alias("r")).select("item_id", "r.text", "r.n")
+
+
+@query("SELECT o_orderkey, CAST(bit_count(o_custkey * 2654435761) AS BIGINT) AS ones, CAST(bit_count((o_custkey * 2654435761) & 65535) AS BIGINT) AS below FROM orders")
+def bit_ranks(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions import succinct
+
+    bits = F.col("o_custkey") * F.lit(2654435761)
+    return table(spark, d, "orders").select("o_orderkey", succinct.popcount(bits).alias("ones"), succinct.rank(bits, 16).alias("below"))
+
+
+@query("SELECT event_id, CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'view' THEN 2 ELSE -1 END AS BIGINT) AS place FROM events")
+def word_ranks(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions import succinct
+
+    return table(spark, d, "events").select("event_id", succinct.WordSet.of(["view", "click", "error"]).rank(F.col("event_type")).alias("place")).fillna(-1, ["place"])
+
+
+@query(None)
+def code_units(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of text that begin at declaring lines."""
+    from ..operators import units
+
+    # the tables hold prose: a line's first word is made a declaration
+    code = corpus(spark, d).df.select("doc_id", "path", F.regexp_replace("text", r"(?m)^([A-Z][a-z]+) ", "class $1 ").alias("text"))
+    return units.functions(Corpus(code), 1).select("path", "line_start", "line_end", "headline")
+
+
+@query(None)
+def symbol_ripple(spark: SparkSession, d: str) -> DataFrame:
+    return kinship.ripple(corpus(spark, d).lines(), "License")

@@ -46,6 +46,24 @@ def within_budget(rows: DataFrame, size: Column, order: list[str], budget: int,
     return rows.withColumn("__used", running).where(F.col("__used") <= budget).drop("__used")
 
 
+def headed(lines: DataFrame, context: bool = False) -> DataFrame:
+    """(path, ordinal, value): each file's path on a row of its own, then its lines; with context, match lines have a
+    colon behind their number, others a dash, and -- stands between bands."""
+    mark = F.when(F.col("kind") == "match", ":").otherwise("-") if context else F.lit(":")
+    rows = lines.select("path", (F.col("line_number") * 2 + 1).alias("ordinal"), F.concat(F.col("line_number").cast("string"), mark, F.col("line")).alias("value"))
+    heads = lines.select("path").distinct().select("path", F.lit(0).cast("long").alias("ordinal"), F.col("path").alias("value"))
+    out = heads.unionByName(rows)
+    if context:
+        gaps = lines.where("band > 1").groupBy("path", "band").agg((F.min("line_number") * 2).alias("ordinal")).select("path", "ordinal", F.lit("--").alias("value"))
+        out = out.unionByName(gaps)
+    return out
+
+
+def null_separated(lines: DataFrame) -> DataFrame:
+    """path NUL line:text, for programs that take any path."""
+    return lines.select(F.concat(F.col("path"), F.lit("\0"), F.col("line_number").cast("string"), F.lit(":"), F.col("line")).alias("value"))
+
+
 def write_text(rows: DataFrame, path: str) -> None:
     rows.select("value").write.text(path)
 
