@@ -2,25 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_temporary: dict[str, str] = {}
+_written: list[tuple[str, str]] = []
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set (tests, one machine)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="glyphlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _temporary:
+            _temporary[app] = tempfile.mkdtemp(prefix="glyphlake-")
+            atexit.register(shutil.rmtree, _temporary[app], True)
+        root = _temporary[app]
     return root.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    path = f"{checkpoint_root(df.sparkSession)}/glyphlake-{label}-{uuid.uuid4().hex}"
+    """Write df to the shared checkpoint folder and read it back, which cuts its lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/glyphlake-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append((spark.sparkContext.applicationId, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the tables that this application has written here, once no result reads them any more."""
+    app, jvm, gone = spark.sparkContext.applicationId, spark.sparkContext._jvm, 0
+    for owner, name in list(_written):
+        if owner == app:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _written.remove((owner, name))
+    return gone
 
 
 def global_rank(df: DataFrame, order: list, out: str, label: str = "rank") -> DataFrame:
