@@ -24,7 +24,7 @@ class Rules:
     def compiled(self) -> list:
         import regex
 
-        return [regex.compile(p) for p in self.patterns]
+        return [regex.compile(p, regex.POSIX) for p in self.patterns]  # the longest match, not the first alternative
 
 
 def longest_at(compiled: list, text: str, at: int, allowed: frozenset[int] | None = None) -> tuple[int, list[int]] | None:
@@ -36,12 +36,7 @@ def longest_at(compiled: list, text: str, at: int, allowed: frozenset[int] | Non
         found = rule.match(text, at)
         if not found:
             continue
-        # leftmost-first alternatives can hide a longer match of the same rule
-        end = max(m.end() for m in [found, *rule.finditer(text, at, overlapped=False)][:1])
-        for stop in range(len(text), end, -1) if any(c in rule.pattern for c in "|?") and len(text) - at <= 64 else ():
-            if rule.fullmatch(text, at, stop):
-                end = stop
-                break
+        end = found.end()
         if end > best:
             best, winners = end, [i]
         elif end == best:

@@ -12,7 +12,7 @@ from ..operators.patternsets import Needles, PatternSet, RowPlan, from_table, pa
 from ..streaming.fresh import latest
 from .registry import DOCS, LINES, corpus, query, table
 
-SLATE = PatternSet(
+PATTERNS = PatternSet(
     {
         "year": Pattern("[0-9]{4}"),
         "hex": Pattern("[0-9a-f]{12}"),
@@ -36,33 +36,33 @@ LABEL = "CASE pattern_id WHEN 0 THEN 'year' WHEN 1 THEN 'hex' WHEN 2 THEN 'licen
 
 @query(f"WITH {HITS} SELECT path, line, pattern_id FROM hits")
 def pattern_hits(spark: SparkSession, d: str) -> DataFrame:
-    return SLATE.line_hits(corpus(spark, d))
+    return PATTERNS.line_hits(corpus(spark, d))
 
 
 @query(f"WITH {HITS} SELECT {LABEL} AS label, count(*) AS \"count\" FROM hits WHERE regexp_matches(path, '^src[0-9]*/') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4")
 def pattern_counts(spark: SparkSession, d: str) -> DataFrame:
     """Filter by glob, group by pattern, sort by count and label, limit."""
-    return RowPlan(SLATE, glob="src*/**", group="pattern", limit=4).run(SLATE.line_hits(corpus(spark, d)))
+    return RowPlan(PATTERNS, glob="src*/**", group="pattern", limit=4).run(PATTERNS.line_hits(corpus(spark, d)))
 
 
 @query(f'WITH {HITS} SELECT path AS label, count(*) AS "count" FROM hits GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25')
 def pattern_counts_by_file(spark: SparkSession, d: str) -> DataFrame:
-    return RowPlan(SLATE, group="file", limit=25).run(SLATE.line_hits(corpus(spark, d)))
+    return RowPlan(PATTERNS, group="file", limit=25).run(PATTERNS.line_hits(corpus(spark, d)))
 
 
 @query(f'WITH {HITS} SELECT {LABEL} AS label, count(*) AS "count" FROM hits GROUP BY 1')
 def pattern_counts_by_label(spark: SparkSession, d: str) -> DataFrame:
-    return RowPlan(SLATE, group="pattern", order="label").run(SLATE.line_hits(corpus(spark, d)))
+    return RowPlan(PATTERNS, group="pattern", order="label").run(PATTERNS.line_hits(corpus(spark, d)))
 
 
 @query(f"WITH {HITS} SELECT path, line, pattern_id FROM hits ORDER BY path, line, pattern_id LIMIT 100")
 def sorted_hits(spark: SparkSession, d: str) -> DataFrame:
-    return RowPlan(SLATE, limit=100).run(SLATE.line_hits(corpus(spark, d)))
+    return RowPlan(PATTERNS, limit=100).run(PATTERNS.line_hits(corpus(spark, d)))
 
 
 @query(f"WITH {HITS} SELECT path, string_agg(DISTINCT CAST(pattern_id AS VARCHAR), ',' ORDER BY CAST(pattern_id AS VARCHAR)) AS patterns FROM hits GROUP BY path")
 def document_masks(spark: SparkSession, d: str) -> DataFrame:
-    found = SLATE.document_mask(corpus(spark, d))
+    found = PATTERNS.document_mask(corpus(spark, d))
     return found.select("path", F.array_join(F.col("patterns").cast("array<string>"), ",").alias("patterns"))
 
 

@@ -156,6 +156,7 @@ def test_lexer(spark):
     got = [(r.rule, r.token) for r in lexing.tokens(frame, rules).orderBy("start").collect()]
     assert got == [(0, "if"), (4, " "), (1, "iff"), (4, " "), (2, "12"), (4, " "), (3, "1.5"), (-1, "?")]
     assert lexing.longest_at(rules.compiled(), "if", 0) == (2, [0, 1]) and lexing.longest_at(rules.compiled(), "if", 0, frozenset([1])) == (2, [1])
+    assert lexing.longest_at(lexing.Rules((r"a|ab|abc", r"ab?")).compiled(), "xabcd", 1) == (4, [0])
     assert lexing.shortest_at(rules.compiled(), "12", 0) == (1, [2])
     assert lexing.scanner([(r"\d+", int), (r"\s+", None), (r"[a-z]+", str.upper)])("ab 12 ?x") == (["AB", 12], "?x")
 
