@@ -26,7 +26,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("y") == 1, per_class / max(1, counts.get(1, 0))).otherwise(per_class / max(1, counts.get(0, 0)))
     picked = known.where(spread_hash("doc_id", f"sample-{label}") < share).select(F.col("doc_id").alias("__id"), "y")
-    return docs.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select(F.col("text").cast("binary").alias("text"), "y")
+    texts = docs.select(F.col("doc_id").alias("__doc"), F.col("text").cast("binary").alias("text"))
+    return texts.join(F.broadcast(picked), F.col("__doc") == F.col("__id")).select("text", "y")
 
 
 def held_out(fold: int, folds: int):

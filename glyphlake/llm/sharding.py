@@ -157,7 +157,7 @@ def _assign(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """The documents with all their columns, and their shard and slot.
+    """The documents with all their columns, and their shard and slot, which replace columns of these names.
 
     The assignments of rows with equal id and text are interchangeable: such rows take them in turn."""
     spots = shard(docs, shards, rounds)
@@ -168,4 +168,4 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__c").orderBy("__c")))
     out = rows.join(dealt, (F.col("__id") == F.col("__key")) & (F.col("__c") == F.col("__crc")))
     spot = F.col("__spots")[F.col("__copy") - 1]
-    return out.select(*[docs[c] for c in docs.columns], spot["shard"].alias("shard"), spot["slot"].alias("slot"))
+    return out.select(*[docs[c] for c in docs.columns if c not in ("shard", "slot")], spot["shard"].alias("shard"), spot["slot"].alias("slot"))

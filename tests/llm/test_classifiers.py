@@ -22,7 +22,8 @@ def labelled(spark, n=400, seed=5):
         rows.append((i, " ".join(body), "en", "s"))
         labels.append((i, int(not bad), int(toxic)))
     rows += [(n, None, None, None), (n + 1, "", "en", "s"), (None, "vile zorking vile", "en", "s"), rows[0]]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels + labels[:5] + [(None, 1, 1)], "doc_id long, quality int, toxic int"), labels
+    rows = [(*r, 7, "clash") for r in rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, y int, feature string"), spark.createDataFrame(labels + labels[:5] + [(None, 1, 1)], "doc_id long, quality int, toxic int"), labels
 
 
 def test_toxicity_on_held_out_documents(spark):

@@ -66,4 +66,6 @@ def test_documents_with_their_shards(spark):
     assert got.columns == [*df.columns, "shard", "slot"]
     assert got.drop("shard", "slot").exceptAll(df).isEmpty() and got.count() == df.count()
     assert got.groupBy("shard", "slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    clash = sharding.shard_documents(df.withColumn("slot", F.lit("x")), shards=3)
+    assert clash.columns == [*df.columns, "shard", "slot"] and dict(clash.dtypes)["slot"] == "bigint"
     assert "Python" not in got._jdf.queryExecution().toString()
