@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ FOLDS, HELD_OUT = 4, 2
 SAMPLE_PER_LANG = 600
 SAMPLE_WORDS = 250
 BUCKETS = 1 << 16
+MASK = BUCKETS - 1
 LEXICON = 300
 CHAIN = 40
 BATCH = 64
@@ -44,8 +46,10 @@ RATE = 0.15
 SEED = 5
 #: Words of a worker's chains that are evaluated together; a longer text is several chains.
 CHUNK_WORDS = 200_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 BLOCK = 256
+#: New words whose features are summed together.
+NEW_WORDS = 20_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -54,12 +58,15 @@ def tokens(text: bytes | None) -> list[str]:
 
 
 def word_features(word: str, lexicon: set[str]) -> list[int]:
-    crc, n = zlib.crc32, len(word)
-    named = [f"p{word[:k]}" for k in (1, 2, 3) if k <= n] + [f"s{word[-k:]}" for k in (1, 2, 3) if k <= n]
-    named += [f"g{word[i : i + k]}" for k in (2, 3) for i in range(n - k + 1)]
+    """Buckets of a word's beginnings, endings and n-grams, in UTF-8; the kinds start their checksums differently."""
+    crc, raw = zlib.crc32, word.encode("utf-8", "surrogatepass")
+    n = len(raw)
+    found = [crc(raw[:1], 1), crc(raw[:2], 1), crc(raw[:3], 1), crc(raw[-1:], 2), crc(raw[-2:], 2), crc(raw[-3:], 2)]
+    found += [crc(raw[i : i + 2], 3) for i in range(n - 1)]
+    found += [crc(raw[i : i + 3], 3) for i in range(n - 2)]
     if word in lexicon:
-        named.append(f"w{word}")
-    return [crc(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in named]
+        found.append(crc(raw, 4))
+    return [x & MASK for x in found]
 
 
 def chain_marginals(emission: np.ndarray, starts: np.ndarray, transition: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -128,40 +135,45 @@ class Model:
     first: np.ndarray  # logs
     lexicon: set[str]
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.weights[word_features(word, self.lexicon)].sum(axis=0)
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Emission factors of words, scaled to at most 1."""
+        feats = [word_features(w, self.lexicon) for w in words]
+        starts = np.concatenate([[0], np.cumsum([len(f) for f in feats])[:-1]])
+        score = np.add.reduceat(self.weights[np.fromiter(chain.from_iterable(feats), np.int64)], starts, axis=0)
+        return np.exp(np.clip(score - score.max(axis=1, keepdims=True), -60, 0))
+
+
+class _Numbers(dict):
+    """Words numbered in the order in which they are met."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 class Labeller:
-    """Marginals of many texts, with the emission scores of known words kept."""
+    """Marginals of many texts, with the emission factors of known words kept."""
 
     def __init__(self, model: Model):
         self.model = model
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.rows = np.empty((1024, len(self.model.langs)))
-
-    def number(self, word: str) -> int:
-        n = self.numbers.get(word)
-        if n is None:
-            n = self.numbers[word] = len(self.numbers)
-            if n == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            score = self.model.emission(word)
-            self.rows[n] = np.exp(np.clip(score - score.max(), -60, 0))
-        return n
+        self.numbers = _Numbers()
+        self.rows = np.empty((0, len(self.model.langs)))
 
     def shares(self, texts: list[list[str]]) -> np.ndarray:
         """For each text (a non-empty word list) the mean marginal of each language."""
-        get, number = self.numbers.get, self.number
-        ids = [n if (n := get(w)) is not None else number(w) for words in texts for w in words]
+        known = len(self.numbers)
+        ids = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64)
+        if len(self.numbers) > known:
+            new = list(islice(self.numbers, known, None))
+            parts = [self.model.emissions(new[k : k + NEW_WORDS]) for k in range(0, len(new), NEW_WORDS)]
+            self.rows = np.concatenate([self.rows[:known], *parts])
         lengths = np.asarray([len(t) for t in texts])
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         sums = np.zeros((len(texts), len(self.model.langs)))
         owner = np.repeat(np.arange(len(texts)), lengths)
-        ids = np.asarray(ids)
         transition, first = np.exp(self.model.transition), np.exp(self.model.first)
         for k in range(0, len(ids), CHUNK_WORDS):
             part = slice(k, min(len(ids), k + CHUNK_WORDS))
