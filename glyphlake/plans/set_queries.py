@@ -86,7 +86,7 @@ def _places(needle: str) -> str:
     return f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos FROM documents, LATERAL (SELECT unnest(generate_series(1, length(text) - {len(needle) - 1})) AS i) WHERE contains(text, '{needle}') AND substr(text, i, {len(needle)}) = '{needle}'"
 
 
-@query(f"SELECT doc_id, CAST(k AS BIGINT) AS needle_id, pos AS start, pos + n AS \"end\" FROM (SELECT *, 0 AS k, 4 AS n FROM ({_places('anan')}) UNION ALL SELECT *, 1, 3 FROM ({_places('www')})) WHERE doc_id < 1000000000")
+@query(f"SELECT doc_id, CAST(k AS BIGINT) AS needle_id, pos AS start, pos + n AS \"end\" FROM (SELECT *, 0 AS k, 4 AS n FROM ({_places('anan')}) UNION ALL SELECT *, 1, 3 FROM ({_places('www')}))")
 def needle_occurrences(spark: SparkSession, d: str) -> DataFrame:
     """Every occurrence, overlapping ones included."""
     return Needles(["anan", "www"]).occurrences(table(spark, d, "documents"))
@@ -108,10 +108,10 @@ def patterns_by_join(spark: SparkSession, d: str) -> DataFrame:
 # joins
 
 
-@query(f"WITH {DOCS}, wanted AS (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, n_chars FROM documents WHERE doc_id % 7 = 0) SELECT path, n_chars FROM docs JOIN wanted USING (path)")
+@query(f"WITH {DOCS}, wanted AS (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, n_chars FROM documents) SELECT path, n_chars FROM docs JOIN wanted USING (path)")
 def path_lookup(spark: SparkSession, d: str) -> DataFrame:
     c = corpus(spark, d).df
-    wanted = c.where("doc_id % 7 = 0").select("path", "n_chars")
+    wanted = c.select("path", "n_chars")
     return c.select("path").join(wanted, "path")
 
 
@@ -234,25 +234,27 @@ def short_needle_candidates(spark: SparkSession, d: str) -> DataFrame:
     return kept.where(F.contains("text", F.lit("qz")) | F.contains("text", F.lit("@")) | (F.length("text") < 3)).select("doc_id")
 
 
-AMENDED = "amended AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'License ' || doc_id ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0)"
+#: Documents labelled toxic are deleted, those of low quality are replaced.
+AMENDED = """amended AS (SELECT d.doc_id, CASE WHEN l.quality = 0 THEN 'License ' || d.doc_id ELSE d.text END AS text
+  FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0)"""
 
 
-def _amendment(docs: DataFrame) -> indexes.Amendment:
-    changed = docs.where("doc_id % 10 = 1").withColumn("text", F.concat(F.lit("License "), F.col("doc_id").cast("string")))
-    return indexes.Amendment(changed, docs.where("doc_id % 10 = 0").select("doc_id"))
+def _amendment(spark: SparkSession, d: str) -> tuple[DataFrame, indexes.Amendment]:
+    docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels")
+    changed = docs.join(labels.where("quality = 0 and toxic = 0"), "doc_id", "left_semi").withColumn("text", F.concat(F.lit("License "), F.col("doc_id").cast("string")))
+    return docs, indexes.Amendment(changed, labels.where("toxic = 1").select("doc_id"))
 
 
-@query(f"WITH {AMENDED} SELECT DISTINCT doc_id, substr(text, CAST(i AS BIGINT), 3) AS trigram FROM amended, LATERAL (SELECT unnest(generate_series(1, length(text) - 2)) AS i) WHERE substr(text, CAST(i AS BIGINT), 3) IN ('Lic', 'the', 'zzz')")
+@query(f"WITH {AMENDED}, grams AS (SELECT DISTINCT doc_id, substr(text, CAST(i AS BIGINT), 3) AS trigram FROM amended, LATERAL (SELECT unnest(generate_series(1, length(text) - 2)) AS i)) SELECT trigram, count(*) AS df FROM grams GROUP BY trigram")
 def amended_index(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    rows = _amendment(docs).apply(indexes.postings(docs))
-    return rows.where(F.col("trigram").isin("Lic", "the", "zzz")).select("doc_id", "trigram")
+    docs, amendment = _amendment(spark, d)
+    return indexes.frequencies(amendment.apply(indexes.postings(docs)))
 
 
 @query(f"WITH {AMENDED} SELECT doc_id FROM amended WHERE contains(text, 'License')")
 def overlay_search(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return _amendment(docs).overlay(docs).where(F.contains("text", F.lit("License"))).select("doc_id")
+    docs, amendment = _amendment(spark, d)
+    return amendment.overlay(docs).where(F.contains("text", F.lit("License"))).select("doc_id")
 
 
 @query("SELECT event_id AS doc_id FROM events WHERE ts >= TIMESTAMP '2024-01-25 00:00:00'")
@@ -324,16 +326,16 @@ f AS (SELECT doc_id, path, count(*) AS matches, min(line_number) AS best_line, C
 r AS (SELECT *, row_number() OVER (ORDER BY matches DESC, best_line, doc_id) - 1 AS lx, row_number() OVER (ORDER BY depth, best_line, doc_id) - 1 AS sh,
   count(*) FILTER (shape <> 0) OVER () AS shaped, count(*) OVER (PARTITION BY shape) AS alike FROM s)
 SELECT doc_id, round(1.0 / (60 + lx) + 0.25 / (60 + sh) + CASE WHEN shape <> 0 AND shaped > 1 THEN 0.75 / 60 * log2(shaped / alike) / log2(shaped) ELSE 0 END + 3.0 / 60
-  + CASE WHEN doc_id % 4 = 0 THEN 2.0 / 60 ELSE 0 END + coalesce(CASE WHEN doc_id % 10 = 0 THEN 1.0 / (60 + doc_id / 10) END, 0), 9) AS score FROM r""")
+  + CASE WHEN best_line = 1 THEN 2.0 / 60 ELSE 0 END + coalesce(1.0 / (60 + l.doc_id), 0), 9) AS score FROM r LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l USING (doc_id)""")
 def fused_ranks(spark: SparkSession, d: str) -> DataFrame:
     lines = corpus(spark, d).lines().where(F.contains("line", F.lit("the")))
     from ..functions.paths import depth
 
     features = lines.groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("matches"), F.min("line_number").alias("best_line")).select(
-        "doc_id", "matches", "best_line", depth(F.col("path")).alias("depth"), F.when(F.col("doc_id") % 4 == 0, 3).otherwise(0).alias("definition"), (F.col("matches") % 3).alias("shape"),
+        "doc_id", "matches", "best_line", depth(F.col("path")).alias("depth"), F.when(F.col("best_line") == 1, 3).otherwise(0).alias("definition"), (F.col("matches") % 3).alias("shape"),
         F.lit(False).alias("is_generated"), F.lit(False).alias("is_mirror"),
     )
-    external = features.where("doc_id % 10 = 0").select("doc_id", (F.col("doc_id") / 10).alias("position"))
+    external = table(spark, d, "labels").where("quality = 1").select("doc_id", F.col("doc_id").alias("position"))
     return ranking.fuse(features, external=external).select("doc_id", F.round("score", 9).alias("score"))
 
 
@@ -359,12 +361,12 @@ def ranked_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -l_suppkey - 1 AS b FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, -c_nationkey - 1 AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, seen) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a)
 SELECT node, min(seen) AS label FROM r GROUP BY node""")
 def connected_families(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "lineitem").where("l_quantity > 49 and l_discount > 0.09")
-    return graphs.components(items.select(F.col("l_orderkey").alias("a"), (-F.col("l_suppkey") - 1).alias("b")).distinct())
+    edges = table(spark, d, "customer").select(F.col("c_custkey").alias("a"), (-F.col("c_nationkey") - 1).cast("long").alias("b"))
+    return graphs.components(edges)
 
 
 HOPS = "SELECT DISTINCT n.n_nationkey AS src, s.n_nationkey AS dst, CAST(1 + abs(n.n_nationkey - s.n_nationkey) % 3 AS DOUBLE) AS weight FROM nation n JOIN nation s ON (n.n_nationkey * 7 + 3) % 25 = s.n_nationkey OR (n.n_nationkey + 1) % 25 = s.n_nationkey"
@@ -403,7 +405,7 @@ def comment_scope(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def byte_spans(spark: SparkSession, d: str) -> DataFrame:
-    return lexing.spans(table(spark, d, "benchmark"), r"\w*th\w*", text="text", keep=("item_id",), start=5, stop=200)
+    return lexing.spans(table(spark, d, "benchmark"), r"\w*th\w*", text="text", keep=("item_id",))
 
 
 def _sketches(spark: SparkSession, d: str) -> DataFrame:
@@ -442,10 +444,10 @@ def quoted_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {LINES}, w AS (SELECT DISTINCT path, line_number, unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]{{2,}}')) AS symbol FROM lines)
-SELECT symbol, path, line_number FROM w WHERE symbol IN ('License', 'GNU', 'Copyright', 'with')""")
+SELECT symbol, count(*) AS lines, count(DISTINCT path) AS files FROM w GROUP BY symbol""")
 def symbol_mentions(spark: SparkSession, d: str) -> DataFrame:
-    lines = corpus(spark, d).lines()
-    return kinship.mentions(lines).where(F.col("symbol").isin("License", "GNU", "Copyright", "with")).select("symbol", "path", "line_number")
+    found = kinship.mentions(corpus(spark, d).lines())
+    return found.groupBy("symbol").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("path").alias("files"))
 
 
 @query(f"WITH {LINES} SELECT path, line_number, length(line) AS n FROM lines WHERE regexp_matches(line, '^[A-Z]') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
