@@ -146,7 +146,18 @@ def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, chunk: int
         edges = _forest(node[left], node[~left], fp[left], fp[~left], distance)
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return work.groupBy("anchor", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return contracted(work.groupBy("anchor", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with b < a that join the same nodes: of each node all its partners go to the least of them.
+
+    A node has a partner for each chunk of its anchors at most (17 anchors a half), so the sets are small; what
+    anchors say alike becomes one edge."""
+    own = edges.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("bs"))
+    least = F.col("bs")[0]
+    others = F.transform(F.slice("bs", F.lit(2), F.size("bs")), lambda b: F.struct(b.alias("a"), least.alias("b")))
+    return own.select(F.inline(F.concat(F.array(F.struct(F.col("a"), least.alias("b"))), others))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,7 +201,7 @@ def group_by_fingerprint(rows: DataFrame, *, distance: int = DISTANCE, lanes: in
     return found.select(id_col, "fp", "node", F.when(F.col("sound"), F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 5, distance: int = 52, lanes: int = 6, id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, *, shingle: int = 5, distance: int = 77, lanes: int = 8, id_col: str = "doc_id") -> DataFrame:
     """One document of each group of near copies, with all its columns: the one with the smallest id.
 
     Rows that share the kept id are cut to one; documents without an id can't be told apart and all stay."""
