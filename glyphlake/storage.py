@@ -6,10 +6,31 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the application's Python workers, which may have no copy of it; once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="glyphlake-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = f"{folder}/glyphlake_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 _temporary: dict[str, str] = {}
 _written: list[tuple[str, str]] = []
 
@@ -29,6 +50,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{checkpoint_root(spark)}/glyphlake-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark.sparkContext.applicationId, path))
