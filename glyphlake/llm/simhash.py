@@ -11,7 +11,7 @@ half's values and their neighbours, however many texts there are.
 
 For looser copies a fingerprint can have several lanes of 64 bits, each with two halves.  A link then
 is a total distance of at most `distance` over all lanes, and pairs are found if any half differs in
-at most 1 bit; what that leaves out falls with the number of lanes (see the README for figures).
+at most 1 bit, so such pairs are not all found; copies.groups finds all pairs of a given Jaccard similarity.
 
 Equal fingerprints are one node.  An anchor with many fingerprints is cut into chunks, and pairs of
 chunks are compared by separate tasks, each of which returns one edge a node it could link, never all
@@ -201,11 +201,14 @@ def group_by_fingerprint(rows: DataFrame, *, distance: int = DISTANCE, lanes: in
     return found.select(id_col, "fp", "node", F.when(F.col("sound"), F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 5, distance: int = 77, lanes: int = 8, id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near copies, with all its columns: the one with the smallest id.
 
+    Near copies have a Jaccard similarity of their shingles of `similarity` or more; all such pairs are found (see copies).
     Rows that share the kept id are cut to one; documents without an id can't be told apart and all stay."""
-    found = materialize(near_duplicates(docs, shingle=shingle, distance=distance, lanes=lanes, id_col=id_col).select(id_col, "component_id").where(F.col(id_col).isNotNull()), "near-copies")
+    from .copies import groups
+
+    found = materialize(groups(docs, shingle=shingle, similarity=similarity, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull()), "near-copies")
     kept = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("__rows")).withColumnRenamed(id_col, "__kept")
     rows = docs.join(kept, docs[id_col] == F.col("__kept"), "left")
     single = rows.where((F.col("__rows") == 1) | F.col(id_col).isNull()).select(*docs.columns)
