@@ -203,6 +203,17 @@ def test_kinship(spark):
     assert [tuple(r.members) for r in kinship.families(known, 0.6, "copies").collect()] == [("a", "b", "c")]
 
 
+def test_copies_at_distance_0_are_listed(spark):
+    rng = random.Random(7)
+    base = " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(120))
+    other = " ".join(str(rng.random()) for _ in range(60))
+    rows = [(k, f"p{k}", base) for k in range(5)] + [(5, "q", base.replace(base[100:104], "zzzz")), (6, "r", other), (7, "s", other), (8, "t", ""), (9, "u", "")]
+    got = kinship.dup_pairs(kinship.sketches(spark.createDataFrame(rows, "doc_id long, path string, text string")), 0.6).collect()
+    assert {(r.a, r.b) for r in got if r.role == "member"} == {("p0", f"p{k}") for k in range(1, 5)} | {("r", "s"), ("t", "u")}
+    assert {(r.a, r.b) for r in got if r.role == "pair"} == {("p0", "q")}
+    assert all((r.distance == 0 and r.grade == "identical") == (r.role == "member") for r in got)
+
+
 def test_quotation_and_packing(spark):
     frame = spark.createDataFrame([(1, "a", "the quick brown fox"), (2, "b", "lazy dogs sleep all day"), (3, "c", None)], "doc_id long, path string, text string")
     query = "a quick brown cat and lazy dogs sleep"
