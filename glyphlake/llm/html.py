@@ -23,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -187,6 +188,11 @@ def _host_column():
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _in_one_gap(inner: list[int], outer: list[int]) -> bool:
+    """Of two lists of places in order, without a common one."""
+    return bisect(outer, inner[0]) == bisect(outer, inner[-1])
+
+
 def main_text(page: str, template: list[tuple[int, int]]) -> str:
     """The text of the slots that are kept; template is a list of (token, class) in order."""
     tokens = parse(page)
@@ -197,10 +203,13 @@ def main_text(page: str, template: list[tuple[int, int]]) -> str:
     members: dict[int, list[int]] = {}
     for number, kind in template:
         members.setdefault(kind, []).append(number)
+    # and if it nests with every larger class that holds: one lies in a single gap of the other
     fixed: set[int] = set()
-    for numbers in members.values():
+    held: list[list[int]] = []
+    for numbers in sorted(members.values(), key=lambda m: (-len(m), m)):
         at = [place.get(n, -1) for n in numbers]
-        if min(at) >= 0 and at == sorted(at):
+        if min(at) >= 0 and at == sorted(at) and all(_in_one_gap(at, other) or _in_one_gap(other, at) for other in held):
+            held.append(at)
             fixed.update(numbers)
     has_article = any(t.inside for t in tokens)
     kept = [t.text for t in tokens if t.text is not None and not t.dropped and (t.inside if has_article else t.number not in fixed)]

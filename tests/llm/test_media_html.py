@@ -86,3 +86,12 @@ def test_template_text_is_dropped_from_pages_without_an_article(spark):
 @pytest.mark.parametrize("page", ["<", "<a", "<!--", "<p", "</", "a < b > c", "<script>x", "<p>a</div>b", "<nav>m<article><p>t", "<b>" * 2000])
 def test_broken_markup_does_not_crash(page):
     assert isinstance(html.main_text(page, []), str)
+
+
+def test_classes_that_cross_do_not_both_hold():
+    page = "<div><p>a</p><p>x</p><p>b</p><p>y</p><p>c</p><p>z</p></div>"
+    number = {t.text: t.number for t in html.parse(page) if t.text}
+    crossing = [(number["a"], 1), (number["x"], 2), (number["b"], 1), (number["y"], 2), (number["c"], 1)]
+    assert html.main_text(page, crossing) == "x\ny\nz"
+    nested = [(number["a"], 1), (number["x"], 2), (number["b"], 2), (number["c"], 1)]
+    assert html.main_text(page, nested) == "y\nz"
