@@ -419,6 +419,11 @@ def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return kinship.dup_pairs(_sketches(spark, d))
 
 
+@query(None)
+def kinship_echoes(spark: SparkSession, d: str) -> DataFrame:
+    return kinship.echoes(_sketches(spark, d))
+
+
 @query(None)
 def likeness_clusters(spark: SparkSession, d: str) -> DataFrame:
     return kinship.clusters(_sketches(spark, d)).select(F.array_join("paths", ",").alias("paths"), "max_distance", "grade")

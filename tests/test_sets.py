@@ -214,6 +214,36 @@ def test_copies_at_distance_0_are_listed(spark):
     assert all((r.distance == 0 and r.grade == "identical") == (r.role == "member") for r in got)
 
 
+def test_echoes_of_equal_silhouettes(spark):
+    rng = random.Random(8)
+
+    def code(shape):
+        return " ".join(f"{rng.choice('abcdef') * rng.randint(2, 9)}{rng.randint(0, 99999)} {op} {rng.random()} ;" for op in shape)
+
+    one, two = "+-*/+*-+" * 3, "+-*/+*-+" * 3 + "%"
+    texts = [code(one) for _ in range(4)] + [code(two) for _ in range(3)]
+    texts += [texts[1], texts[1], texts[5], "", "a b"]
+    known = kinship.sketches(spark.createDataFrame([(k, f"p{k:02}", t) for k, t in enumerate(texts)], "doc_id long, path string, text string")).cache()
+    facts = {r.path: (set(r.sketch), set(r.silhouette)) for r in known.collect()}
+    first = {}
+    for path in sorted(facts):
+        first.setdefault(repr([sorted(x) for x in facts[path]]), path)
+
+    def apart(x, y, k, size):
+        union = sorted(facts[x][k] | facts[y][k])[:size]
+        return 1 - len(set(union) & facts[x][k] & facts[y][k]) / len(union)
+
+    want = {}
+    for x, y in itertools.combinations(sorted(p for p in first.values() if facts[p][1]), 2):
+        structure, byte = apart(x, y, 1, kinship.SILHOUETTE), apart(x, y, 0, kinship.SKETCH)
+        if structure <= 0.5 and byte - structure >= min(b for _, b in kinship.GAP_BOUNDS):
+            want[x, y] = (pytest.approx(byte), pytest.approx(structure))
+    got = kinship.echoes(known).collect()
+    assert {tuple(sorted((r.a, r.b))): (r.byte_distance, r.structure_distance) for r in got if r.role == "pair"} == want
+    assert sum(r.role == "pair" for r in got) == len(want) and ("p00", "p01") in want and ("p00", "p04") in want
+    assert {(r.a, r.b) for r in got if r.role == "member"} == {("p01", "p07"), ("p01", "p08"), ("p05", "p09")}
+
+
 def test_quotation_and_packing(spark):
     frame = spark.createDataFrame([(1, "a", "the quick brown fox"), (2, "b", "lazy dogs sleep all day"), (3, "c", None)], "doc_id long, path string, text string")
     query = "a quick brown cat and lazy dogs sleep"
