@@ -9,7 +9,8 @@ forward-backward marginals of its words, and its language is the one with the gr
 
 Chains are evaluated many at a time: they are laid end to end with a transition that forgets what was
 before, cut into blocks, and the blocks' transfer matrices are multiplied for all blocks at once; so
-the result is that of each chain on its own.
+the result is that of each chain on its own.  A text too long for memory is one chain as well: messages
+pass between its parts.  Shares are rounded, so a text scores the same whatever stands beside it.
 
 Defined results: `und` with score 0 if a text is null or has no letter; copies score alike; lang is
 read only for the labels of documents that are not held out, source and doc_id never.
@@ -33,9 +34,8 @@ from .common import crc_fold, map_batches
 from .sampling import held_out, spread_hash
 
 FOLDS, HELD_OUT = 4, 2
-#: Documents a language that are learned from, and words of each, from a place fixed by its text.
-SAMPLE_PER_LANG = 600
-SAMPLE_WORDS = 250
+#: Documents a language that are learned from, with their whole texts.
+SAMPLE_PER_LANG = 400
 BUCKETS = 1 << 16
 MASK = BUCKETS - 1
 LEXICON = 300
@@ -44,10 +44,12 @@ BATCH = 64
 EPOCHS = 4
 RATE = 0.15
 SEED = 5
-#: Words of a worker's chains that are evaluated together; a longer text is several chains.
-CHUNK_WORDS = 200_000
-CACHE_WORDS = 600_000
 BLOCK = 256
+#: Words whose marginals are in memory at a time: whole texts, or a part of a longer one. A number of whole blocks.
+CHUNK_WORDS = 800 * BLOCK
+CACHE_WORDS = 600_000
+#: Scores are rounded to this, so that the order of additions does not show.
+DECIMALS = 6
 #: New words whose features are summed together.
 NEW_WORDS = 20_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -69,41 +71,63 @@ def word_features(word: str, lexicon: set[str]) -> list[int]:
     return [x & MASK for x in found]
 
 
-def chain_marginals(emission: np.ndarray, starts: np.ndarray, transition: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Forward-backward marginals of chains laid end to end: emission and first are positive factors, starts marks
-    the chains' first words."""
-    total, labels = emission.shape
-    blocks = -(-total // BLOCK)
-    width = blocks * BLOCK
-    e = np.ones((width, labels))
-    e[:total] = emission
-    fresh = np.zeros(width, bool)
-    fresh[:total] = starts
-    fresh[total:] = True
-    e = e.reshape(blocks, BLOCK, labels)
-    fresh = fresh.reshape(blocks, BLOCK)
-
-    def step(state: np.ndarray, t: int) -> np.ndarray:
+class _Blocks:
+    """Chains laid end to end and cut into blocks, with the moves of one word in all blocks at once."""
+
+    def __init__(self, emission: np.ndarray, starts: np.ndarray, transition: np.ndarray, first: np.ndarray):
+        total, labels = emission.shape
+        self.count, self.transition, self.first = -(-total // BLOCK), transition, first
+        width = self.count * BLOCK
+        e = np.ones((width, labels))
+        e[:total] = emission
+        fresh = np.ones(width, bool)
+        fresh[:total] = starts
+        self.e, self.fresh = e.reshape(self.count, BLOCK, labels), fresh.reshape(self.count, BLOCK)
+
+    def step(self, state: np.ndarray, t: int) -> np.ndarray:
         """One word further for states of shape (blocks, ..., labels)."""
-        moved = state @ transition
-        new = fresh[:, t]
+        moved = state @ self.transition
+        new = self.fresh[:, t]
         if new.any():
-            moved[new] = state[new].sum(axis=-1, keepdims=True) * first
-        moved *= e[:, t].reshape(blocks, *[1] * (state.ndim - 2), labels)
+            moved[new] = state[new].sum(axis=-1, keepdims=True) * self.first
+        moved *= self.e[:, t].reshape(self.count, *[1] * (state.ndim - 2), self.e.shape[2])
         return moved
 
-    transfer = np.broadcast_to(np.eye(labels), (blocks, labels, labels)).copy()
-    for t in range(BLOCK):
-        transfer = step(transfer, t)
-        transfer /= transfer.sum(axis=(1, 2), keepdims=True)
+    def transfers(self) -> np.ndarray:
+        """What each block does to a state, up to a factor."""
+        labels = self.e.shape[2]
+        transfer = np.broadcast_to(np.eye(labels), (self.count, labels, labels)).copy()
+        for t in range(BLOCK):
+            transfer = self.step(transfer, t)
+            transfer /= transfer.sum(axis=(1, 2), keepdims=True)
+        return transfer
+
+
+def chain_transfer(emission: np.ndarray, starts: np.ndarray, transition: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What some words do to a state, up to a factor."""
+    out = np.eye(emission.shape[1])
+    for transfer in _Blocks(emission, starts, transition, first).transfers():
+        out = out @ transfer
+        out /= out.sum()
+    return out
+
+
+def chain_marginals(emission: np.ndarray, starts: np.ndarray, transition: np.ndarray, first: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> np.ndarray:
+    """Forward-backward marginals of chains laid end to end: emission and first are positive factors, starts marks
+    the chains' first words.  enter and leave are the messages into a part of a chain from what is before and behind it;
+    a part with more behind it must fill its blocks."""
+    total, labels = emission.shape
+    cut = _Blocks(emission, starts, transition, first)
+    blocks, e, fresh = cut.count, cut.e, cut.fresh
+    transfer = cut.transfers()
     into = np.empty((blocks, labels))
-    state = np.full(labels, 1 / labels)
+    state = np.full(labels, 1 / labels) if enter is None else enter
     for b in range(blocks):
         into[b] = state
         state = state @ transfer[b]
         state = state / state.sum()
     after = np.empty((blocks, labels))
-    state = np.full(labels, 1 / labels)
+    state = np.full(labels, 1 / labels) if leave is None else leave
     for b in range(blocks - 1, -1, -1):
         after[b] = state
         state = transfer[b] @ state
@@ -111,7 +135,7 @@ def chain_marginals(emission: np.ndarray, starts: np.ndarray, transition: np.nda
     alpha = np.empty((BLOCK, blocks, labels))
     state = into
     for t in range(BLOCK):
-        state = step(state, t)
+        state = cut.step(state, t)
         state = state / state.sum(axis=1, keepdims=True)
         alpha[t] = state
     beta = after
@@ -123,7 +147,7 @@ def chain_marginals(emission: np.ndarray, starts: np.ndarray, transition: np.nda
         if new.any():
             back[new] = (weighted[new] @ first)[:, None]
         beta = back / back.sum(axis=1, keepdims=True)
-    out = alpha.transpose(1, 0, 2).reshape(width, labels)[:total]
+    out = alpha.transpose(1, 0, 2).reshape(blocks * BLOCK, labels)[:total]
     return out / out.sum(axis=1, keepdims=True)
 
 
@@ -155,7 +179,7 @@ class Labeller:
     """Marginals of many texts, with the emission factors of known words kept."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.transition, self.first = model, np.exp(model.transition), np.exp(model.first)
         self.clear()
 
     def clear(self) -> None:
@@ -173,18 +197,38 @@ class Labeller:
         lengths = np.asarray([len(t) for t in texts])
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         sums = np.zeros((len(texts), len(self.model.langs)))
-        owner = np.repeat(np.arange(len(texts)), lengths)
-        transition, first = np.exp(self.model.transition), np.exp(self.model.first)
-        for k in range(0, len(ids), CHUNK_WORDS):
-            part = slice(k, min(len(ids), k + CHUNK_WORDS))
-            starts = np.zeros(part.stop - k, bool)
-            starts[[0, *(b - k for b in bounds[1:-1] if k <= b < part.stop)]] = True
-            marginal = chain_marginals(self.rows[ids[part]], starts, transition, first)
-            for lang in range(sums.shape[1]):
-                sums[:, lang] += np.bincount(owner[part], weights=marginal[:, lang], minlength=len(texts))
+        lo = 0
+        while lo < len(texts):
+            # as many whole texts as fit; a longer one is worked through by itself
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + CHUNK_WORDS, side="right")) - 1)
+            part = ids[bounds[lo] : bounds[hi]]
+            if len(part) > CHUNK_WORDS:
+                sums[lo] = self._long(part)
+            else:
+                starts = np.zeros(len(part), bool)
+                starts[bounds[lo:hi] - bounds[lo]] = True
+                marginal = chain_marginals(self.rows[part], starts, self.transition, self.first)
+                sums[lo:hi] = np.add.reduceat(marginal, bounds[lo:hi] - bounds[lo], axis=0)
+            lo = hi
         if len(self.numbers) > CACHE_WORDS:
             self.clear()
-        return sums / lengths[:, None]
+        return np.round(sums / lengths[:, None], DECIMALS)
+
+    def _long(self, ids: np.ndarray) -> np.ndarray:
+        """Sums of the marginals of one chain, a part in memory at a time: messages between the parts come first."""
+        parts = [ids[k : k + CHUNK_WORDS] for k in range(0, len(ids), CHUNK_WORDS)]
+        starts = np.zeros(CHUNK_WORDS, bool)
+        starts[0] = True
+        marks = [starts if k == 0 else np.zeros(CHUNK_WORDS, bool) for k in range(len(parts))]
+        moves = [chain_transfer(self.rows[p], m[: len(p)], self.transition, self.first) for p, m in zip(parts, marks, strict=True)]
+        even = np.full(len(self.model.langs), 1 / len(self.model.langs))
+        enter, leave = [even], [even]
+        for move in moves[:-1]:
+            enter.append(enter[-1] @ move / (enter[-1] @ move).sum())
+        for move in moves[:0:-1]:
+            leave.append(move @ leave[-1] / (move @ leave[-1]).sum())
+        found = zip(parts, marks, enter, leave[::-1], strict=True)
+        return sum(chain_marginals(self.rows[p], m[: len(p)], self.transition, self.first, a, z).sum(axis=0) for p, m, a, z in found)
 
 
 def train(samples: list[tuple[int, list[str]]], langs: list[str], *, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
@@ -272,11 +316,7 @@ def fit(docs: DataFrame, *, per_lang: int = SAMPLE_PER_LANG) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                words = tokens(text.as_py())
-                at = zlib.crc32(text.as_py()) % max(1, len(words) - SAMPLE_WORDS + 1)
-                out.append(words[at : at + SAMPLE_WORDS])
+            out = [tokens(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["lang", "words"])
 
     rows = map_batches(picked, run, "lang string, words array<string>").toArrow().to_pylist()

@@ -151,3 +151,41 @@ def test_joined_chains_are_those_on_their_own():
             b /= b.sum()
         assert np.allclose(got[at : at + n], out[::-1])
         at += n
+
+
+def random_model(langs=3, seed=1):
+    rng = np.random.default_rng(seed)
+    return langid.Model([f"l{k}" for k in range(langs)], rng.normal(size=(langid.BUCKETS, langs)) / 4, rng.normal(size=(langs, langs)), rng.normal(size=langs), set())
+
+
+def plain_shares(model, words):
+    """Forward-backward one word after the other."""
+    e, a, first = model.emissions(words), np.exp(model.transition), np.exp(model.first)
+    alpha = np.empty(e.shape)
+    for t in range(len(words)):
+        x = (alpha[t - 1] @ a if t else first) * e[t]
+        alpha[t] = x / x.sum()
+    beta, total = np.ones(e.shape[1]), np.zeros(e.shape[1])
+    for t in range(len(words) - 1, -1, -1):
+        total += alpha[t] * beta / (alpha[t] * beta).sum()
+        beta = a @ (beta * e[t])
+        beta /= beta.sum()
+    return total / len(words)
+
+
+def test_a_text_scores_the_same_beside_any_other():
+    rng, model = random.Random(4), random_model()
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    texts = [[word() for _ in range(n)] for n in (2_000, 199_000, 7, 500_000, 30_000, 1, 175_000)]
+    alone = [langid.Labeller(model).shares([t])[0] for t in texts]
+    for order in ([0, 1, 2, 3, 4, 5, 6], [3, 6, 1, 0, 5, 4, 2], [5, 2, 0, 4, 1, 6, 3]):
+        assert (langid.Labeller(model).shares([texts[k] for k in order]) == [alone[k] for k in order]).all()
+    for k in (0, 2, 3, 5):
+        assert np.allclose(alone[k], plain_shares(model, texts[k]), atol=2e-6)
+
+
+def test_language_scores_do_not_depend_on_partitions_or_columns(spark):
+    rows = multilingual(spark)
+    docs = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "doc_id long, text string, lang string, words string, id int, score string")
+    one, many = ({repr(tuple(r)) for r in langid.language(d).collect()} for d in (docs.coalesce(1), docs.orderBy("text").repartition(7)))
+    assert one == many
