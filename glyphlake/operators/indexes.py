@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import Pattern
+from ..functions import syntax
+from ..functions.patterns import Pattern, needs_backtracking
 
 #: The classes whose longest runs are kept, in the ASCII reading.
 RUN_CLASSES = {
@@ -142,27 +143,69 @@ def with_runs(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
     return docs.withColumns({f"run_{n}": longest_run(F.col("text"), n) for n in names or RUN_CLASSES})
 
 
-def required_runs(pattern: str) -> list[list[tuple[str, int]]]:
+@dataclass(frozen=True)
+class _Run:
+    """What is certain of every match's runs of a class: whether all of it is one, its least length, and the least
+    runs at its start, at its end and anywhere."""
+
+    whole: bool
+    least: int
+    start: int
+    end: int
+    best: int
+
+    def then(self, other: _Run) -> _Run:
+        start = self.least + other.start if self.whole else self.start
+        end = other.least + self.end if other.whole else other.end
+        return _Run(self.whole and other.whole, self.least + other.least, start, end, max(self.best, other.best, self.end + other.start))
+
+
+_EMPTY = _Run(True, 0, 0, 0, 0)
+
+
+def _runs(node, members: syntax.Intervals) -> _Run:
+    if isinstance(node, syntax.Char):
+        inside = node.of is not None and syntax.common(node.of, members) == node.of
+        return _Run(True, 1, 1, 1, 1) if inside else _Run(False, 1, 0, 0, 0)
+    if isinstance(node, syntax.Anchor):
+        return _EMPTY
+    if isinstance(node, syntax.Sequence):
+        out = _EMPTY
+        for part in node.parts:
+            out = out.then(_runs(part, members))
+        return out
+    if isinstance(node, syntax.Choice):
+        parts = [_runs(p, members) for p in node.parts]
+        return _Run(all(p.whole for p in parts), *(min(getattr(p, k) for p in parts) for k in ("least", "start", "end", "best")))
+    part = _runs(node.part, members)
+    if part.whole:
+        length = part.least * node.low
+        return _Run(True, length, length, length, length)
+    if not node.low:
+        return _Run(False, 0, 0, 0, 0)
+    return _Run(False, part.least * node.low, part.start, part.end, max(part.best, part.end + part.start if node.low > 1 else 0))
+
+
+def required_runs(pattern: str, unicode: bool = True) -> list[list[tuple[str, int]]]:
     """For each alternative the class runs that any match must contain; an empty list prunes nothing.
 
-    Reads alternatives of plain repeated classes only; what it can't read requires nothing."""
-    alternatives = re.split(r"\|(?![^\[]*\])", pattern) if "(" not in pattern else [pattern]
-    out = []
-    for alternative in alternatives:
-        found = []
-        for m in re.finditer(r"(\[[^\]^][^\]]*\]|\\d)(?:\{(\d+)(?:,\d*)?\}|\+)?", alternative):
-            text = "[0-9]" if m[1] == r"\d" else m[1]
-            members = _members(text)
-            least = int(m[2]) if m[2] else 1
-            if not alternative[m.end() :].startswith(("?", "*")):
-                found += [(n, least) for n, c in RUN_CLASSES.items() if members and members <= _members(c)]
-        out.append(found if "(" not in alternative else [])
+    Read from the pattern's tree; of a pattern that isn't read with certainty nothing is required."""
+    try:
+        if needs_backtracking(pattern):
+            return []
+        tree = syntax.read(pattern, unicode)
+    except (syntax.Unclear, RecursionError):
+        return []
+    while isinstance(tree, syntax.Sequence) and len(tree.parts) == 1:
+        tree = tree.parts[0]
+    branches = tree.parts if isinstance(tree, syntax.Choice) else (tree,)
+    out = [[(n, best) for n, c in RUN_CLASSES.items() if (best := _runs(b, _members(c)).best)] for b in branches]
     return out if all(out) else []
 
 
-def _members(bracket: str) -> frozenset[str]:
+def _members(bracket: str) -> syntax.Intervals:
     compiled = re.compile(bracket)
-    return frozenset(chr(c) for c in range(128) if compiled.fullmatch(chr(c)))
+    return syntax.normal([(c, c) for c in range(128) if compiled.fullmatch(chr(c))])
 
 
 def survives(requirements: list[list[tuple[str, int]]]) -> Column:

@@ -1,25 +1,25 @@
 """What any match of a pattern must contain, read from its syntax tree: the plan that narrows a search.
 
-The facts are necessary conditions only.  They give and-or-and plans of trigrams for the index, class runs for the run
+The tree is that of the search dialect; where it isn't certain nothing is required.  The facts are necessary conditions only.  They give and-or-and plans of trigrams for the index, class runs for the run
 columns, and plain substrings that Spark tests before it starts a regular expression.  An index may narrow, the
 pattern decides; with the plan off the answer is the same.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
-from re import _constants as K
-from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import syntax
 from ..functions.patterns import Pattern, needs_backtracking
 from ..operators import indexes
 
 #: Literals of an exact set, and their length, beyond which it is cut to what is still required.
 MOST_LITERALS, MOST_LENGTH = 64, 64
+#: Characters of a class that are spelled out.
+MOST_CHARACTERS = 4
 
 
 @dataclass
@@ -65,31 +65,32 @@ def _any() -> Facts:
     return Facts(None, [], None, None, 1, 1)
 
 
-def facts(pattern: str, ignore_case: bool = False) -> Facts:
-    """Facts of a pattern; of one that can't be read, or that backtracking changes, nothing is required."""
+def facts(pattern: str, ignore_case: bool = False, unicode: bool = True) -> Facts:
+    """Facts of a pattern; of one that isn't read with certainty, nothing is required."""
     try:
         if needs_backtracking(pattern):
-            raise re.error("backtracking")
-        tree = _parser.parse(pattern)
-    except (re.error, OverflowError, RecursionError):
+            raise syntax.Unclear("backtracking")
+        found = _facts(syntax.read(pattern, unicode))
+    except (syntax.Unclear, RecursionError):
         return Facts(None, [], None, None, 0, None)
-    if ignore_case or tree.state.flags & (re.IGNORECASE | re.VERBOSE):
-        low, high = tree.getwidth()
-        return Facts(None, [], None, None, low, high if high < 2**31 else None)
-    return _sequence(list(tree))
+    if ignore_case:
+        return Facts(None, [], None, None, found.least, found.most)
+    # a line's start is the text's only without flags
+    if "(?" in pattern:
+        found.anchored_start = found.anchored_end = False
+    return found
 
 
-def _sequence(nodes: list) -> Facts:
+def _sequence(parts: tuple) -> Facts:
     out = Facts(frozenset([""]))
-    out.prefixes = out.suffixes = None
     pending: frozenset[str] | None = frozenset([""])  # exact texts since the last gap
-    for op, arg in nodes:
-        if op is K.AT:
-            out.anchored_start |= arg in (K.AT_BEGINNING, K.AT_BEGINNING_STRING) and out.most == 0
-            out.anchored_end = arg in (K.AT_END, K.AT_END_STRING)
+    for node in parts:
+        if isinstance(node, syntax.Anchor):
+            out.anchored_start |= node.kind == "start" and out.most == 0
+            out.anchored_end |= node.kind == "end"
             continue
         out.anchored_end = False
-        part = _node(op, arg)
+        part = _facts(node)
         out.least += part.least
         out.most = None if out.most is None or part.most is None else out.most + part.most
         joined = _product(pending, part.exact) if pending is not None and part.exact is not None else None
@@ -112,22 +113,17 @@ def _sequence(nodes: list) -> Facts:
     return out
 
 
-def _node(op, arg) -> Facts:
-    if op is K.LITERAL:
-        return Facts(frozenset([chr(arg)]), [], None, None, 1, 1)
-    if op is K.IN:
-        chars = _class(arg)
-        return Facts(chars, [], None, None, 1, 1) if chars else _any()
-    if op in (K.ANY, K.NOT_LITERAL, K.CATEGORY):
+def _facts(node) -> Facts:
+    if isinstance(node, syntax.Char):
+        if node.of is not None and 0 < syntax.size(node.of) <= MOST_CHARACTERS:
+            return Facts(frozenset(chr(c) for a, b in node.of for c in range(a, b + 1)), [], None, None, 1, 1)
         return _any()
-    if op is K.SUBPATTERN:
-        _, on, off, inner = arg
-        if on or off:
-            low, high = inner.getwidth()
-            return Facts(None, [], None, None, low, high if high < 2**31 else None)
-        return _sequence(list(inner))
-    if op is K.BRANCH:
-        parts = [_sequence(list(b)) for b in arg[1]]
+    if isinstance(node, syntax.Sequence):
+        return _sequence(node.parts)
+    if isinstance(node, syntax.Anchor):
+        return _sequence((node,))
+    if isinstance(node, syntax.Choice):
+        parts = [_facts(b) for b in node.parts]
         exact = frozenset().union(*[p.exact for p in parts]) if all(p.exact is not None for p in parts) else None
         if exact is not None and len(exact) > MOST_LITERALS:
             exact = None
@@ -139,37 +135,20 @@ def _node(op, arg) -> Facts:
             required = [merged] if len(merged) <= MOST_LITERALS else []
         most = None if any(p.most is None for p in parts) else max(p.most for p in parts)
         return Facts(exact, required, None, None, min(p.least for p in parts), most)
-    if op in (K.MAX_REPEAT, K.MIN_REPEAT):
-        low, high, inner = arg
-        part = _sequence(list(inner))
-        most = None if high is K.MAXREPEAT or part.most is None else part.most * high
-        if low == 0:
-            return Facts(None, [], None, None, 0, most)
-        exact: frozenset[str] | None = frozenset([""])
-        for _ in range(min(low, MOST_LENGTH)):
-            exact = _product(exact, part.exact) if exact is not None and part.exact is not None else None
-        whole = low == high and low <= MOST_LENGTH
-        required = list(part.required)
-        if exact is not None and not whole and all(exact):
-            required.append(exact)
-        elif exact is None and part.exact and all(part.exact):
-            required.append(part.exact)
-        return Facts(exact if whole else None, required, None, None, part.least * low, most)
-    return Facts(None, [], None, None, 0, None)
-
-
-def _class(items: list) -> frozenset[str] | None:
-    if items and items[0][0] is K.NEGATE:
-        return None
-    out: set[str] = set()
-    for op, arg in items:
-        if op is K.LITERAL:
-            out.add(chr(arg))
-        elif op is K.RANGE and arg[1] - arg[0] < MOST_LITERALS:
-            out |= {chr(c) for c in range(arg[0], arg[1] + 1)}
-        else:
-            return None
-    return frozenset(out) if len(out) <= 4 else None
+    part = _facts(node.part)
+    most = None if node.high is None or part.most is None else part.most * node.high
+    if node.low == 0:
+        return Facts(None, [], None, None, 0, most)
+    exact: frozenset[str] | None = frozenset([""])
+    for _ in range(min(node.low, MOST_LENGTH)):
+        exact = _product(exact, part.exact) if exact is not None and part.exact is not None else None
+    whole = node.low == node.high and node.low <= MOST_LENGTH
+    required = list(part.required)
+    if exact is not None and not whole and all(exact):
+        required.append(exact)
+    elif exact is None and part.exact and all(part.exact):
+        required.append(part.exact)
+    return Facts(exact if whole else None, required, None, None, part.least * node.low, most)
 
 
 def trigram_plan(found: Facts) -> list[list[list[str]]]:
@@ -197,11 +176,11 @@ def search(docs: DataFrame, pattern: Pattern, *, postings: DataFrame | None = No
     """Documents in which the pattern is found; index, runs and guard only spare work."""
     kept = docs
     if planned and not pattern.folds and not pattern.verbose:
-        found = Facts(frozenset([pattern.text]), [], None, None, len(pattern.text), len(pattern.text)) if pattern.fixed else facts(pattern.text)
+        found = Facts(frozenset([pattern.text]), [], None, None, len(pattern.text), len(pattern.text)) if pattern.fixed else facts(pattern.text, unicode=pattern.unicode)
         plan = trigram_plan(found)
         if postings is not None and plan:
             kept = kept.join(indexes.candidates_cnf(postings, plan), "doc_id", "left_semi")
         if runs and not pattern.fixed:
-            kept = kept.where(indexes.survives(indexes.required_runs(pattern.text)))
+            kept = kept.where(indexes.survives(indexes.required_runs(pattern.text, pattern.unicode)))
         kept = kept.where(guard(F.col("text"), found))
     return kept.where(pattern.matches(F.col("text")))

@@ -39,6 +39,58 @@ def test_plans_do_not_change_answers(spark):
         assert {r.doc_id for r in prefilter.search(with_runs, pattern, runs=True).collect()} == off, text
 
 
+#: Pieces of the dialect, from which patterns are put together.
+PIECES = [
+    "the", "a", r"\<", r"\>", r"\b{start}", r"\b{end-half}", r"\b", "[[:punct:]]{3}", "[a[bc]]", "[a-z--[aeiou]]", "[a-f&&[^b]]", "[a-c~~[b-d]]", r"\[0-9]", r"\\d", r"\d", "[0-9]{2,}", "[^a-c]", ".", "x?", "(?:ab|c)+",
+    "(?P<n>t)", r"\x41", r"\x{e9}", r"\.", "[]a]", "[^]a]", "[a-]", r"[\]x]", r"[\d_]+", "(?s:.)", "[[:^digit:]]", r"\p{Lu}", "(t|th)e?", "{", "}", "]", "a{2}", "^", "$", "(?-u:a)", "(?i:TH)", r"\Qa.b\E", "[[a]x]y",
+]
+TEXTS = [
+    "the end", "x the", "bathe", "!!! ?", "...", "ax bx cx", "cx", "[0-9]", "[0-9]]]]]", "[11111", r"\ddddd", r"\d12345", "12 345 67890", "café é", "ABC Abc", "]]]]]", "bcdfg bcdfg", "a.b", "{start}the", "t-h-e", "", "aa\nthe\n",
+    "abab c", "TH th", "x]y a]y ay", "٣٤٥٦٧", "xa-", "_9_9", "a{2}aa", "c d b a", "the the", "a]", "tthe", "Éa",
+]
+
+
+def grammar(n, seed=11):
+    rng = random.Random(seed)
+    single = PIECES + [r"\<the\>", r"\[0-9]{5}", r"\\d{5}", r"\d{5}", "[a-z--[aeiou]]{5}", "[a[bc]]x"]
+    made = ["".join(rng.choice(PIECES) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "+", "{2}", "*", "|" + rng.choice(PIECES)]) for _ in range(n)]
+    return sorted({*single, *made})
+
+
+def test_plans_do_not_change_answers_of_generated_patterns(spark):
+    jvm = spark._jvm.java.util.regex.Pattern
+    tried = []
+    for text in grammar(700):
+        try:
+            jvm.compile(Pattern(text).java())
+        except Exception:
+            continue
+        tried.append(text)
+    assert len(tried) > 250
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    columns = []
+    for text in tried:
+        pattern = Pattern(text)
+        found = pattern.matches(docs.text)
+        kept = prefilter.guard(docs.text, prefilter.facts(text)) & indexes.survives(indexes.required_runs(text))
+        columns.append((found & ~kept))
+    runs = indexes.with_runs(docs).cache()
+    lost = set()
+    for k in range(0, len(columns), 100):
+        for row in runs.select("text", *[c.alias(f"c{k + i}") for i, c in enumerate(columns[k : k + 100])]).collect():
+            lost |= {(tried[int(c[1:])], row.text) for c, v in row.asDict().items() if c != "text" and v}
+    assert not lost
+    assert sum(bool(prefilter.facts(t).clauses()) for t in tried) > len(tried) / 4 and sum(bool(indexes.required_runs(t)) for t in tried) > len(tried) / 6
+
+
+def test_known_runs():
+    assert dict(indexes.required_runs("[0-9a-f]{12}")[0])["hex"] == 12
+    assert dict(indexes.required_runs("[0-9]{2}(?:[0-9]x)+")[0])["digit"] == 3
+    assert [dict(r).get("digit") for r in indexes.required_runs("[0-9]{2}|a[0-9]+")] == [2, 1]
+    assert indexes.required_runs(r"\d{5}") == [] and dict(indexes.required_runs(r"\d{5}", unicode=False)[0])["digit"] == 5
+    assert dict(indexes.required_runs(r"\[0-9]{5}")[0])["punct"] == 5
+
+
 def test_known_plans():
     assert prefilter.trigram_plan(prefilter.facts("abcd")) == [[["abc", "bcd"]]]
     assert prefilter.trigram_plan(prefilter.facts("(?:abc|xyz)[0-9]+end")) == [[["end"]], [["abc"], ["xyz"]]]
