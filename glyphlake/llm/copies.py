@@ -1,16 +1,21 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of `similarity` or more.
 
-All such pairs are covered.  Shingles have one order for all texts.  Of two sets of similarity t each
-leaves at most a share 1 - t of its shingles unshared, so among the first n - ceil(t n) + 1 of each
-there is a shared one.  Texts meet at these first shingles only, and pairs that meet are verified
-by their whole sets.  Any order is right; shingles that a bounded sample of texts repeats come last,
-so that common lines and passages bring few texts together.
-
-Equal sets are one node.  At each shingle all nodes are first compared with the least one there, which
-joins most groups in as many comparisons as rows.  Only what still has different labels at a shingle is
-then compared pair by pair: in chunks by separate tasks, which return pairs that sizes, places and parity
-bits leave possible.  Parity bits (how often shingles hash to a bit, modulo 2) of two sets differ in at most
-as many bits as the sets differ in shingles, so they never rule out a pair that is similar enough.
+SimHash anchors (see simhash) bring together the texts whose fingerprints differ in at most 3 bits.  Texts of
+similarity 0.8 differ in about ten of 64 bits, which no covering of affordable size spans, so what the anchors
+leave apart is joined exactly: shingles have one order for all texts, and of two sets of similarity t each leaves
+at most a share 1 - t of its shingles unshared, so among the first n - ceil(t n) + 1 of each there is a shared one.
+Texts meet at these first shingles.  Any order is right; shingles that a bounded sample of texts repeats come last,
+so that common lines and passages bring few texts together.  Every candidate, of anchors and shingles alike, is
+verified by the two whole sets, so all pairs of that similarity are linked and no others.
+
+A text is a node, once for each task that reads it; equal texts of a task share a node, equal nodes of several
+tasks are linked by their 128-bit names.  Candidates are narrowed before sets are moved: parity bits (how often
+shingles hash to a bit, modulo 2) of two sets differ in at most as many bits as the sets differ in shingles, so they
+never rule out a pair that is similar enough.  In a first round each node is verified with the nearest of the least
+nodes it met, which joins most groups with one set moved a node.  Only what still has different labels at a shingle
+is compared pair by pair, in chunks by separate tasks; of these, one pair for each two labels is verified before
+the others.  Shingles that the sample shows to be frequent are dealt over several tasks from the start, with a
+center each.  Joins by label are left to Spark's splitting of skewed joins.
 
 Defined results: null and empty texts, and those of white space, have no shingles and are one group; a
 text of fewer words than a shingle is one shingle; repeated rows are one group; a null id is in a group
@@ -24,42 +29,74 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, materialize, release
-from .simhash import CHUNK, components
+from .simhash import CHUNK, components, majority
+from .simhash import links as anchor_links
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: Texts whose repeated shingles are put last, and how many of these shingles at most.
 SAMPLE, COMMON = 4000, 1 << 16
-#: Longs of parity bits of a node.
-PARITY = 16
-#: Bits of the sieve of nodes whose sets are needed.
+#: Parity bits of a node at least; there are twice as many as shingles.
+PARITY = 1024
+#: Nodes that a task remembers to tell that a text has come again.
+SEEN = 1 << 18
+#: Bits of the sieve of texts whose sets are needed.
 SIEVE = 1 << 22
+#: Sets that are compared with one center by one task.
+SPOKES = 256
 
 
-def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The text's distinct shingles by their hashes as signed longs, sorted."""
+def words(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(LOWER_AZ).split()
+
+
+def name_of(tokens: list[bytes]) -> bytes:
+    """128 bits that stand for a text's words."""
     import xxhash
 
-    tokens = (text or b"").translate(LOWER_AZ).split()
-    if not tokens:
-        return np.zeros(0, np.int64)
-    grams = {b" ".join(tokens)} if len(tokens) < shingle else set(map(b" ".join, zip(*(tokens[i:] for i in range(shingle)), strict=False)))
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)).view(np.int64))
+    return xxhash.xxh3_128_digest(b" ".join(tokens), SEED)
 
 
-def name_of(found: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set: the node's name, and what tells apart sets that share it."""
+def shingle_hashes(tokens: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of every shingle, repeats included."""
     import xxhash
 
-    return tuple(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes(), SEED), ">i8").tolist())
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    grams = [b" ".join(tokens)] if len(tokens) < shingle else map(b" ".join, zip(*(tokens[i:] for i in range(shingle)), strict=False))
+    return np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, max(1, len(tokens) - shingle + 1))
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The text's distinct shingles by their hashes as signed longs, sorted."""
+    return np.sort(np.unique(shingle_hashes(words(text), shingle)).view(np.int64))
+
+
+def parity(found: np.ndarray) -> bytes:
+    """For each residue whether an odd number of shingles has it; the width is a power of two."""
+    width = max(PARITY, 1 << math.ceil(math.log2(max(1, 2 * len(found)))))
+    flips = np.bincount((found.view(np.uint64) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """Parity bits of a smaller width, as longs."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, width // 64), axis=0)
 
 
-def parity(found: np.ndarray) -> list[int]:
-    flips = np.bincount((found.view(np.uint64) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(flips.astype(np.uint8)).view(np.int64).tolist()
+def apart(x: bytes, y: bytes) -> int:
+    """Bits that differ in the smaller width of two."""
+    width = 8 * min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(dtype=np.int64))
+
+
+def most_apart(n: np.ndarray, similarity: float) -> np.ndarray:
+    """In how many shingles two sets of n in all may differ."""
+    return n * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
 def first_shingles(found: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
@@ -68,73 +105,107 @@ def first_shingles(found: np.ndarray, common: np.ndarray, rank: np.ndarray, simi
     if len(common):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         late = np.where(common[at] == found, rank[at] + 1, 0)
-    return found[np.lexsort((found, late))][: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
-
-
-def _array(rows: list, kind: pa.DataType) -> pa.Array:
-    return pa.array(rows, pa.list_(kind))
+    return found[np.lexsort((found, late))][: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1] if len(found) else found
 
 
-def common_shingles(docs: DataFrame, shingle: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a bounded sample have, sorted, with their ranks: the most common is last."""
+def common_shingles(docs: DataFrame, shingle: int, text_col: str, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles that several texts of a bounded sample have, sorted; their ranks, the most common last; and over how
+    many tasks the texts are dealt that meet there, by the share of the sample."""
+    none = np.zeros(0, np.int64)
     total = docs.count()
     if not total:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, none
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([_array([shingles(x.as_py(), shingle) for x in batch.column(0)], pa.int64())], names=["s"])
+            yield pa.RecordBatch.from_arrays([pa.array([shingles(x.as_py(), shingle) for x in batch.column(0)], pa.list_(pa.int64()))], names=["s"])
 
-    texts = docs.select(F.col(text_col).cast("binary").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(total)) < SAMPLE)
+    texts = docs.select(F.col(text_col).cast("binary").alias("text")).where(F.rand(SEED) < SAMPLE / total)
     found = texts.mapInArrow(run, "s array<long>").select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = found.orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    hashes = np.array([r["h"] for r in rows], np.int64)
+    hashes, n = np.array([r["h"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64)
+    tasks = np.ceil(n / min(SAMPLE, total) * total / chunk).astype(np.int64)
     order = np.argsort(hashes)
-    return hashes[order], (len(rows) - order).astype(np.int64)
+    return hashes[order], (len(rows) - order).astype(np.int64), tasks[order]
 
 
-def _sieve(nodes: DataFrame) -> np.ndarray:
-    """Bits of a fixed number that are set for the nodes, and for few others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(SIEVE, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy().view(np.uint64) % np.uint64(SIEVE)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
-    out = np.zeros(SIEVE // 8, np.uint8)
-    for row in nodes.mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(bytes(row["bits"]), np.uint8)
-    return np.unpackbits(out).astype(bool)
-
-
-def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, text_col: str) -> DataFrame:
-    """(node, s): the sets of some nodes, hashed again from the texts; the sieve keeps most others from being moved."""
-    nodes = materialize(nodes.distinct(), "candidates")
-    wanted = np.packbits(_sieve(nodes)).tobytes()
+def hashed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray, np.ndarray], *, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, node) for every row, and name, n, fp, bits and first shingles for the first row of a node."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    hashes, rank, tasks = common
+    firsts_type = pa.list_(pa.struct([("key", pa.int64()), ("tasks", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(wanted, np.uint8))
+        seen: dict[bytes, int] = {}
+        node = TaskContext.get().partitionId() << 33
         for batch in batches:
-            found = [(name_of(s)[0], s) for s in (shingles(x.as_py(), shingle) for x in batch.column(0))]
-            found = [(name, s) for name, s in found if bits[name % SIEVE]]
-            yield pa.RecordBatch.from_arrays([pa.array([name for name, _ in found], pa.int64()), _array([s for _, s in found], pa.int64())], names=["node", "s"])
-
-    rows = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "node long, s array<long>")
-    return materialize(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-
-def _possible(bits_a: Column, bits_b: Column, n_a: Column, n_b: Column, similarity: float) -> Column:
-    apart = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return (F.least(n_a, n_b) >= F.lit(similarity) * F.greatest(n_a, n_b) - 1e-6) & (apart <= (n_a + n_b) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left, right = sets.select(F.col("node").alias("a"), "s"), sets.select(F.col("node").alias("b"), F.col("s").alias("t"))
-    shared = F.size(F.array_intersect("s", "t"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("o"), (F.size("s") + F.size("t") - shared).alias("u"))
-    return both.where(F.col("o") / F.col("u") >= similarity).select("a", "b")
+            nodes, names, sizes, fps, bits, firsts = [], [], [], [], [], []
+            for text in batch.column(2):
+                tokens = words(text.as_py())
+                name = name_of(tokens)
+                known = seen.get(name)
+                nodes.append(node if known is None else known)
+                if known is not None:
+                    for column in (names, sizes, fps, bits, firsts):
+                        column.append(None)
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen[name] = node
+                node += 1
+                every = shingle_hashes(tokens, shingle)
+                found = np.sort(np.unique(every).view(np.int64))
+                first = first_shingles(found, hashes, rank, similarity)
+                deal = np.ones(len(first), np.int64)
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, first), len(hashes) - 1)
+                    deal = np.where(hashes[at] == first, np.maximum(1, tasks[at]), 1)
+                names.append(name)
+                sizes.append(len(found))
+                fps.append(majority(every))
+                bits.append(parity(found))
+                firsts.append([{"key": k, "tasks": t} for k, t in zip(first.tolist(), deal.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(bits, pa.binary()), pa.array(firsts, firsts_type)],
+                names=["id", "h", "node", "name", "n", "fp", "bits", "firsts"],
+            )
+
+    rows = docs.select(F.col(id_col).alias("id"), row_hash(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, h long, node long, name binary, n int, fp long, bits binary, firsts array<struct<key:long,tasks:int>>")
+
+
+def row_hash(text_col: str):
+    """With its id it stands for a row."""
+    return F.xxhash64(F.col(text_col).cast("binary"))
+
+
+# candidates
+
+
+def _meetings(nodes: DataFrame) -> DataFrame:
+    """(key, tasks, part, node, pos, least): nodes at the first shingles at which others are too."""
+    met = nodes.select("node", F.posexplode("firsts").alias("pos", "x")).select("x.key", "x.tasks", "node", "pos")
+    met = met.withColumn("part", F.when(F.col("tasks") > 1, F.pmod(F.xxhash64("node"), "tasks")).otherwise(F.lit(0)).cast("int"))
+    at = Window.partitionBy("key", "part")
+    met = met.withColumn("least", F.min("node").over(at)).withColumn("most", F.max("node").over(at))
+    return met.where("least < most or tasks > 1").drop("most")
+
+
+def _stars(met: DataFrame) -> DataFrame:
+    """(a, b): each node with the least of its task at a shingle, and these with the shingle's least."""
+    spokes = met.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    heads = met.where("tasks > 1").select("key", "least").distinct()
+    tops = heads.groupBy("key").agg(F.min("least").alias("a"))
+    return spokes.unionByName(heads.join(tops, "key").where("a < least").select("a", F.col("least").alias("b"))).distinct()
+
+
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes whose fingerprints are equal, or were linked at an anchor."""
+    by = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    equal = nodes.select("node", "fp").join(by, "fp").where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    x, y = (by.select(F.col("fp").alias(k), F.col("first").alias(f"node_{k}")) for k in "ab")
+    near = anchor_links(by.select(F.col("fp").alias("node")), roots=False).join(x, "a").join(y, "b")
+    return equal.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
 
 def _meeting(similarity: float):
@@ -153,15 +224,15 @@ def _meeting(similarity: float):
             p, q = np.nonzero(ok)
             for at in range(0, len(p), 1 << 16):
                 i, j = left[k : k + step][p[at : at + (1 << 16)]], right[q[at : at + (1 << 16)]]
-                apart = np.bitwise_count(g["bits"][i] ^ g["bits"][j]).sum(axis=1, dtype=np.int64)
-                near = apart <= (g["n"][i] + g["n"][j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+                differ = np.bitwise_count(g["bits"][i] ^ g["bits"][j]).sum(axis=1, dtype=np.int64)
+                near = differ <= most_apart(g["n"][i] + g["n"][j], similarity)
                 a, b = g["node"][i[near]], g["node"][j[near]]
                 yield np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def arrays(table: pa.Table) -> dict[str, np.ndarray]:
             out = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "left", "node", "label", "n", "pos")}
-            out["bits"] = np.concatenate([c.flatten().to_numpy() for c in table.column("bits").chunks]).view(np.uint64).reshape(table.num_rows, -1)
+            out["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, -1)
             return out
 
         def groups(rest: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,65 +270,171 @@ def _meeting(similarity: float):
     return run
 
 
-def links(docs: DataFrame, nodes: DataFrame, *, shingle: int, similarity: float, text_col: str, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): pairs of nodes (node, n, first shingles, bits) that are similar enough and join all such pairs."""
+def _compared(met: DataFrame, labels: DataFrame, facts: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """(a, b): pairs of different labels that met and can be similar enough."""
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
-        sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), shingle, text_col)
-        found = materialize(verified(pairs, sets, similarity), "links")
-        release(sets)
-        return found
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([folded(x.as_py(), PARITY).tobytes() for x in batch.column(2)], pa.binary())], names=["node", "n", "bits"])
 
+    rows = met.join(labels, F.col("node") == F.col("k"), "left").select("key", "tasks", "node", "pos", F.coalesce("label", "node").alias("label"))
+    spread = [F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")]
     at = Window.partitionBy("key")
-    met = nodes.select("node", "n", F.posexplode("firsts").alias("pos", "key"))
-    met = met.withColumn("least", F.min("node").over(at)).withColumn("most", F.max("node").over(at)).where("least < most").drop("most")
-    met = materialize(met, "meetings")
-    facts = nodes.select("node", "n", "bits")
-    a, b = (facts.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-    stars = met.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(a, "a").join(b, "b").where(_possible(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
-    known = checked(stars)
-    labels = components(known).select(F.col("node").alias("k"), "label")
-    # what the least nodes left apart
-    rows = met.join(labels, F.col("node") == F.col("k"), "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
-    rows = rows.withColumn("low", F.min("label").over(at)).withColumn("high", F.max("label").over(at)).withColumn("size", F.count(F.lit(1)).over(at)).where("low < high")
+    few = rows.where("tasks = 1").withColumns({"low": F.min("label").over(at), "high": F.max("label").over(at), "size": F.count(F.lit(1)).over(at)})
+    many = rows.where("tasks > 1")
+    many = many.join(many.groupBy("key").agg(*spread), "key")
+    rows = few.unionByName(many).where("low < high")
     parts = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     # a pair of chunks is compared once, each with itself as well
     sides = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), (own <= k).alias("left")))
     sides = F.concat(sides, F.array(F.struct(own.alias("i"), own.alias("j"), F.lit(False).alias("left"))))
-    work = rows.withColumn("sides", sides).select("key", "node", "label", "n", "pos", F.inline("sides")).join(facts.select("node", "bits"), "node")
+    small = facts.select("node", "n", "bits").mapInArrow(fold, "node long, n int, bits binary")
+    work = rows.withColumn("sides", sides).select("key", "node", "label", "pos", F.inline("sides")).join(small, "node")
     work = work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = work.select("key", "i", "j", "left", "node", "label", "n", "pos", "bits").mapInArrow(_meeting(similarity), "a long, b long").distinct()
-    return known.unionByName(checked(pairs))
+    return work.select("key", "i", "j", "left", "node", "label", "n", "pos", "bits").mapInArrow(_meeting(similarity), "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(id, component_id) for every document; the component is named by its smallest id."""
-    common, rank = common_shingles(docs, shingle, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
+# verification
+
+
+def _narrowed(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, apart): the pairs whose sizes and parity bits leave them possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            far = np.array([apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+            keep = pa.array(far <= most_apart(n, similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(far).filter(keep)], names=["a", "b", "apart"])
+
+    x, y = (facts.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    both = pairs.join(x, "a").join(y, "b").where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-6)
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, apart long")
+
+
+def _sieve(names: DataFrame) -> np.ndarray:
+    """Bits of a fixed number that are set for the names, and for few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(SIEVE, bool)
+        for batch in batches:
+            bits[[int.from_bytes(x.as_py()[:8], "little") % SIEVE for x in batch.column(0)]] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(SIEVE // 8, np.uint8)
+    for row in names.mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(bytes(row["bits"]), np.uint8)
+    return out
+
+
+def _sets(docs: DataFrame, names: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """(name, s): sets of the named texts and of few others, hashed again from the texts that pass the sieve."""
+    wanted = _sieve(names).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(wanted, np.uint8))
+        for batch in batches:
+            found = []
+            for text in batch.column(0):
+                tokens = words(text.as_py())
+                name = name_of(tokens)
+                if bits[int.from_bytes(name[:8], "little") % SIEVE]:
+                    found.append((name, np.sort(np.unique(shingle_hashes(tokens, shingle)).view(np.int64)).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["name", "s"])
+
+    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "name binary, s binary")
+
+
+def _similar(similarity: float):
+    """Of rows (a, part, b, s), in whose groups the center's own row comes first (b null), the pairs that are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center, own = None, np.zeros(0, np.int64)
         for batch in batches:
-            found = [shingles(x.as_py(), shingle) for x in batch.column(1)]
-            names = [name_of(s) for s in found]
-            columns = [batch.column(0), *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)), pa.array([len(s) for s in found], pa.int32())]
-            firsts = _array([first_shingles(s, common, rank, similarity) if len(s) else s for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, firsts, _array([parity(s) for s in found], pa.int64())], names=["id", "node", "check", "n", "firsts", "bits"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = materialize(rows.mapInArrow(run, f"id {kind}, node long, check long, n int, firsts array<long>, bits array<long>"), "shingles")
-    # sets that share a name without being equal (of which none is to be expected) are not linked
-    named = rows.groupBy("node").agg(F.min("id").alias("first"), (F.min("check") == F.max("check")).alias("sound"))
-    named = materialize(named, "nodes")
-    nodes = rows.select("node", "n", "firsts", "bits").join(named.where("sound").select("node"), "node", "left_semi").dropDuplicates(["node"])
-    nodes = materialize(nodes, "node-shingles")
-    names = materialize(rows.select("id", "node"), "names")
-    release(rows)
-    found = links(docs, nodes, shingle=shingle, similarity=similarity, text_col=text_col, chunk=chunk)
-    labels = components(found).select(F.col("node").alias("k"), "label")
-    placed = named.join(labels, F.col("node") == F.col("k"), "left").select("node", "first", "sound", F.coalesce("label", "node").alias("label"))
-    least = placed.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_node = placed.join(least, "label").select("node", "sound", "component_id")
-    return names.join(by_node, "node").select(F.col("id").alias(id_col), F.when(F.col("sound"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+            found = []
+            for a, b, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                other = np.frombuffer(s.as_py(), np.int64)
+                if b is None:
+                    center, own = a, other
+                    continue
+                if a != center:
+                    raise ValueError(f"the set of {a} is missing")
+                at = np.searchsorted(own, other)
+                shared = int((own[np.minimum(at, len(own) - 1)] == other).sum()) if len(own) else 0
+                if shared / max(1, len(own) + len(other) - shared) >= similarity:
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def verified(docs: DataFrame, pairs: DataFrame, facts: DataFrame, *, shingle: int, similarity: float, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; a set is moved once for each of its pairs, a center's once a task."""
+    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPOKES)).cast("int").alias("parts"))
+    dealt = pairs.select("a", "b").join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    spokes = dealt.select("a", "part", "b", F.col("b").alias("node"))
+    heads = dealt.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("node")).distinct()
+    needs = materialize(spokes.unionByName(heads).join(facts.select("node", "name"), "node").select("name", "a", "part", "b"), "needs")
+    sets = _sets(docs, needs.select("name"), shingle, text_col)
+    # a text of several rows has its set once
+    sets = sets.join(needs.select("name").distinct(), "name", "left_semi").dropDuplicates(["name"])
+    rows = needs.join(sets, "name").select("a", "part", "b", "s").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    found = materialize(rows.mapInArrow(_similar(similarity), "a long, b long"), "links")
+    release(needs)
+    return found
+
+
+# groups
+
+
+def labelled(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """(id, h, label) of every row; rows of one label are joined by near copies."""
+    common = common_shingles(docs, shingle, text_col, chunk)
+    rows = materialize(hashed(docs, common, shingle=shingle, similarity=similarity, id_col=id_col, text_col=text_col), "shingles")
+    nodes = rows.where("n is not null")
+    facts = nodes.select("node", "name", "n", "bits")
+    # the same text in several tasks
+    twins = nodes.select("node", F.min("node").over(Window.partitionBy("name")).alias("own")).where("node > own")
+    twins = materialize(twins, "twins")
+    known = twins.select(F.col("own").alias("a"), F.col("node").alias("b"))
+
+    def distinct_texts(pairs: DataFrame) -> DataFrame:
+        for k in ("a", "b"):
+            pairs = pairs.join(twins.select(F.col("node").alias("t"), F.col("own").alias("o")), F.col(k) == F.col("t"), "left").withColumn(k, F.coalesce("o", k)).select("a", "b")
+        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return verified(docs, pairs, facts, shingle=shingle, similarity=similarity, text_col=text_col)
+
+    def names() -> DataFrame:
+        return components(known).select(F.col("node").alias("k"), "label")
+
+    met = materialize(_meetings(nodes), "meetings")
+    near = materialize(_narrowed(distinct_texts(_stars(met).unionByName(_by_fingerprint(nodes))), facts, similarity), "pairs")
+    known = known.unionByName(check(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b")))
+    release(near)
+    labels = names()
+    rest = materialize(_narrowed(distinct_texts(_compared(met, labels, facts, similarity, chunk)), facts, similarity), "pairs")
+    release(met)
+    la, lb = (labels.select(F.col("k").alias(f"k_{k}"), F.col("label").alias(f"label_{k}")) for k in "ab")
+    for best in (True, False):
+        la, lb = (labels.select(F.col("k").alias(f"k_{k}"), F.col("label").alias(f"label_{k}")) for k in "ab")
+        open_ = rest.join(la, F.col("a") == F.col("k_a"), "left").join(lb, F.col("b") == F.col("k_b"), "left")
+        open_ = open_.select("a", "b", "apart", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y")).where("x <> y")
+        if best:
+            of = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
+            open_ = open_.groupBy(*of).agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
+        open_ = materialize(open_.select("a", "b"), "pairs")
+        if open_.isEmpty():
+            break
+        known = known.unionByName(check(open_))
+        labels = names()
+    return rows.select("id", "h", "node").join(labels, F.col("node") == F.col("k"), "left").select("id", "h", F.coalesce("label", "node").alias("label"))
+
+
+def groups(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """(id, component_id) for every document; the component is named by its smallest id."""
+    rows = materialize(labelled(docs, shingle=shingle, similarity=similarity, id_col=id_col, text_col=text_col, chunk=chunk), "labelled")
+    least = rows.groupBy("label").agg(F.min("id").alias("component_id"))
+    return rows.join(least, "label").select(F.col("id").alias(id_col), "component_id")

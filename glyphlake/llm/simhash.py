@@ -9,9 +9,7 @@ threshold, 2, of that anchor.  So each fingerprint is sent home and to every anc
 most 16), and only homes are compared with visitors at an anchor.  An anchor sees a 2^26th of a
 half's values and their neighbours, however many texts there are.
 
-For looser copies a fingerprint can have several lanes of 64 bits, each with two halves.  A link then
-is a total distance of at most `distance` over all lanes, and pairs are found if any half differs in
-at most 1 bit, so such pairs are not all found; copies.groups finds all pairs of a given Jaccard similarity.
+Looser copies, of a given similarity of their shingles, are built on these links in `copies`.
 
 Equal fingerprints are one node.  An anchor with many fingerprints is cut into chunks, and pairs of
 chunks are compared by separate tasks, each of which returns one edge a node it could link, never all
@@ -44,35 +42,34 @@ SLICE = 1 << 16
 MAX_ROUNDS = 60
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, lanes: int = 1) -> tuple[int, ...]:
-    """The lanes' majority bits as signed longs: one lane takes XXH64, more take XXH3 of 128 bits, two at a time."""
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SLICE):
+        ones += np.unpackbits(hashes[at : at + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The majority bits of the XXH64 of the text's shingles, as a signed long."""
     import xxhash
 
     tokens = (text or b"").translate(LOWER_AZ).split()
     if not tokens:
-        return (0,) * lanes
-    grams = [b" ".join(tokens)] if len(tokens) < shingle else list(map(b" ".join, zip(*(tokens[i:] for i in range(shingle)), strict=False)))
-    bits = []
-    for k in range(1 if lanes == 1 else -(-lanes // 2)):
-        digest = xxhash.xxh64_digest if lanes == 1 else xxhash.xxh3_128_digest
-        ones, width = 0, 8 if lanes == 1 else 16
-        for at in range(0, len(grams), SLICE):
-            raw = np.frombuffer(b"".join([digest(g, SEED + k) for g in grams[at : at + SLICE]]), np.uint8).reshape(-1, width)
-            ones = ones + np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
-        bits.append(np.packbits(2 * ones > len(grams)))
-    return tuple(np.concatenate(bits).view(">i8")[:lanes].tolist())
-
-
-def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) with fp the lanes of the fingerprint as signed longs."""
+        return 0
+    grams = [b" ".join(tokens)] if len(tokens) < shingle else map(b" ".join, zip(*(tokens[i:] for i in range(shingle)), strict=False))
+    return majority(np.frombuffer(b"".join([xxhash.xxh64_digest(g, SEED) for g in grams]), ">u8"))
+
+
+def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp) with fp the fingerprint as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(x.as_py(), shingle, lanes) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], pa.int64())], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp array<long>").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
 def _syndrome(half: Column) -> Column:
@@ -84,12 +81,10 @@ def _syndrome(half: Column) -> Column:
     return out
 
 
-def anchors(nodes: DataFrame, lanes: int = 1) -> DataFrame:
-    """(anchor, home, node): each node at the home and at every anchor within 2 of either half of every lane."""
+def anchors(nodes: DataFrame) -> DataFrame:
+    """(anchor, home, node): each fingerprint at the home and at every anchor within 2 of either half."""
     low = F.lit((1 << 31) - 1).cast("long")
-    halves = F.array(
-        *[F.struct(F.lit(2 * k + h).cast("long").alias("half"), F.shiftrightunsigned(F.col("fp")[k], 32 * h).bitwiseAND(low).alias("bits")) for k in range(lanes) for h in range(2)]
-    )
+    halves = F.array(*[F.struct(F.lit(h).cast("long").alias("half"), F.shiftrightunsigned(F.col("node"), 32 * h).bitwiseAND(low).alias("bits")) for h in range(2)])
     rows = nodes.select("node", F.inline(halves)).withColumn("s", _syndrome(F.col("bits")))
     home = F.expr("if(s > 0, bits ^ shiftleft(1L, s - 1), bits)")
     # two flips reach a code word if their places add up (xor) to the syndrome
@@ -99,11 +94,12 @@ def anchors(nodes: DataFrame, lanes: int = 1) -> DataFrame:
     return rows.select("node", "half", F.inline(at)).select((F.col("anchor") + F.shiftleft(F.col("half"), 40)).alias("anchor"), "home", "node")
 
 
-def _forest(homes: np.ndarray, others: np.ndarray, home_fp: np.ndarray, other_fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def _forest(homes: np.ndarray, others: np.ndarray, distance: int, roots: bool) -> list[tuple[int, int]]:
     """What links between homes and others join: each node with the least node it is joined with, so that anchors
-    which share that node say the same.  A block of homes is in memory at a time."""
+    which share that node say the same, or the links of a spanning forest.  A block of homes is in memory at a time."""
     nodes = np.unique(np.concatenate([homes, others]))
     parent = list(range(len(nodes)))
+    made = []
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -114,22 +110,24 @@ def _forest(homes: np.ndarray, others: np.ndarray, home_fp: np.ndarray, other_fp
     place_h, place_o = np.searchsorted(nodes, homes), np.searchsorted(nodes, others)
     step = max(1, (1 << 20) // max(1, len(others)))
     for k in range(0, len(homes), step):
-        apart = np.zeros((min(step, len(homes) - k), len(others)), np.int64)
-        for lane in range(home_fp.shape[1]):
-            apart += np.bitwise_count(home_fp[k : k + step, None, lane] ^ other_fp[None, :, lane])
+        apart = np.bitwise_count(homes[k : k + step, None].view(np.uint64) ^ others[None, :].view(np.uint64))
         for i, j in zip(*np.nonzero(apart <= distance), strict=True):
-            a, b = root(int(place_h[k + i])), root(int(place_o[j]))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    return [(int(nodes[k]), int(nodes[r])) for k in range(len(nodes)) if (r := root(k)) != k]
+            a, b = int(place_h[k + i]), int(place_o[j])
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                made.append((int(nodes[max(a, b)]), int(nodes[min(a, b)])))
+    return [(int(nodes[k]), int(nodes[r])) for k in range(len(nodes)) if (r := root(k)) != k] if roots else made
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): edges that join all nodes within `distance` bits of each other that share an anchor.
+def links(nodes: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK, roots: bool = True) -> DataFrame:
+    """(a, b): edges that join all fingerprints (node) within `distance` bits of each other.
 
-    In one lane, and for at most 3 bits, these are all pairs."""
+    With roots each node is joined with the least one that its anchors reach; else the edges are linked pairs themselves."""
+    if not 0 <= distance <= 3:
+        raise ValueError("two halves of radius 1 cover distances up to 3")
     at = Window.partitionBy("anchor")
-    rows = anchors(nodes, lanes)
+    rows = anchors(nodes)
     rows = rows.withColumn("n", F.count(F.lit(1)).over(at)).withColumn("homes", F.sum(F.col("home").cast("int")).over(at)).where("n > 1 and homes > 0")
     # homes at their anchor are compared with all that are there, in chunks by the node
     parts = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
@@ -137,16 +135,15 @@ def links(nodes: DataFrame, distance: int = DISTANCE, lanes: int = 1, chunk: int
     pairs = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(True).alias("left")))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean>>"))
     pairs = F.concat(pairs, F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(False).alias("left"))))
     work = rows.withColumn("pairs", pairs).select("anchor", "node", F.inline("pairs"))
-    work = work.withColumn("fp", F.array("node")) if lanes == 1 else work.join(nodes.select("node", "fp"), "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(list(batches))
         node, left = group.column("node").to_numpy(), group.column("left").to_numpy()
-        fp = np.concatenate([c.flatten().to_numpy() for c in group.column("fp").chunks]).view(np.uint64).reshape(len(node), -1)
-        edges = _forest(node[left], node[~left], fp[left], fp[~left], distance)
+        edges = _forest(node[left], node[~left], distance, roots)
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return contracted(work.groupBy("anchor", "i", "j").applyInArrow(compare, "a long, b long"))
+    edges = work.groupBy("anchor", "i", "j").applyInArrow(compare, "a long, b long")
+    return contracted(edges) if roots else edges.distinct()
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -178,44 +175,41 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, node, component_id) for every document; the component is named by its smallest id."""
-    rows = materialize(fingerprints(docs, shingle=shingle, lanes=lanes, id_col=id_col, text_col=text_col), "fingerprints")
-    return group_by_fingerprint(rows, distance=distance, lanes=lanes, id_col=id_col)
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id) for every document; the component is named by its smallest id."""
+    rows = materialize(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
+    return group_by_fingerprint(rows, distance=distance, id_col=id_col)
 
 
-def group_by_fingerprint(rows: DataFrame, *, distance: int = DISTANCE, lanes: int = 1, id_col: str = "doc_id") -> DataFrame:
-    """Components of a table of fingerprints.  A node of one lane is the lane itself, of more lanes their hash;
-    fingerprints that share a hash without being equal (of which none is to be expected) are not linked."""
-    if lanes == 1 and not 0 <= distance <= 3:
-        raise ValueError("two halves of radius 1 cover distances up to 3")
-    node = F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")
-    rows = rows.withColumn("node", node)
-    nodes = rows.groupBy("node").agg(F.min(id_col).alias("first"), F.min("fp").alias("fp"), F.max("fp").alias("most"))
-    nodes = materialize(nodes.select("node", "first", "fp", (F.col("fp") == F.col("most")).alias("sound")), "nodes")
-    labels = components(links(nodes.where("sound"), distance, lanes)).select(F.col("node").alias("k"), "label")
-    named = nodes.join(labels, F.col("node") == F.col("k"), "left").select("node", "first", "sound", F.coalesce("label", "node").alias("label"))
+def group_by_fingerprint(rows: DataFrame, *, distance: int = DISTANCE, id_col: str = "doc_id") -> DataFrame:
+    """Components of a table of fingerprints (id, fp); equal fingerprints are one node."""
+    nodes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "nodes")
+    labels = components(links(nodes.select(F.col("fp").alias("node")), distance)).select(F.col("node").alias("k"), "label")
+    named = nodes.join(labels, F.col("fp") == F.col("k"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_node = named.join(least, "label").select("node", "sound", "component_id")
-    found = rows.join(by_node, "node")
-    return found.select(id_col, "fp", "node", F.when(F.col("sound"), F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))
+    by_node = named.join(least, "label").select("fp", "component_id")
+    return rows.join(by_node, "fp").select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near copies, with all its columns: the one with the smallest id.
+    """One row of each group of near copies, with all its columns: one with the smallest id.
 
     Near copies have a Jaccard similarity of their shingles of `similarity` or more; all such pairs are found (see copies).
-    Rows that share the kept id are cut to one; documents without an id can't be told apart and all stay."""
-    from .copies import groups
-
-    found = materialize(groups(docs, shingle=shingle, similarity=similarity, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull()), "near-copies")
-    kept = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("__rows")).withColumnRenamed(id_col, "__kept")
-    rows = docs.join(kept, docs[id_col] == F.col("__kept"), "left")
-    single = rows.where((F.col("__rows") == 1) | F.col(id_col).isNull()).select(*docs.columns)
-    # the few ids on several rows: only their texts are brought together
-    several = rows.where("__rows > 1").select(*docs.columns)
-    first = several.groupBy(id_col).agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("r")).select("r.*")
-    return single.unionByName(first)
+    A row is told by its id and text: rows that share an id but are in different groups all count by themselves, and
+    of rows that share both one stays, the least by its columns as JSON.  Rows without an id all stay.  Null and empty
+    texts are one group; an empty table gives none."""
+    from .copies import labelled, row_hash
+
+    found = labelled(docs, shingle=shingle, similarity=similarity, id_col=id_col, text_col=text_col).where("id is not null")
+    found = materialize(found.groupBy("id", "h", "label").agg(F.count(F.lit(1)).alias("n")), "near-copies")
+    kept = found.groupBy("label").agg(F.min(F.struct("id", "h")).alias("k")).select("k.id", "k.h")
+    kept = materialize(kept.join(found.select("id", "h", "n"), ["id", "h"]).select(F.col("id").alias("kept_id"), F.col("h").alias("kept_h"), "n"), "kept")
+    # the documents' columns are one, so that they may have any names
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"), F.col(id_col).alias("id"), row_hash(text_col).alias("h"))
+    rows = rows.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("h") == F.col("kept_h")), "left")
+    single = rows.where("id is null or n = 1").select("r")
+    several = rows.where("n > 1").groupBy("id", "h").agg(F.min_by("r", F.to_json("r")).alias("r")).select("r")
+    return single.unionByName(several).select("r.*")
 
 
 def hex_fingerprint(fp: Column) -> Column:

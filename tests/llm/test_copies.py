@@ -60,10 +60,27 @@ def test_groups_with_a_common_passage(spark, chunk):
     assert got == brute(rows)
 
 
+def test_a_first_passage_that_most_share_is_dealt_over_tasks(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(copies, "SPOKES", 4)
+    base, rows = words(rng, 40), []
+    for k in range(60):
+        text = list(base)
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(len(text))] = f"w{rng.randrange(5)}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert max(copies.common_shingles(docs, 5, "text", 8)[2]) > 4
+    assert {r.doc_id: r.component_id for r in copies.groups(docs, chunk=8).collect()} == brute(rows)
+
+
 def test_parity_bits_never_differ_more_than_the_sets():
     rng = np.random.default_rng(1)
-    for n in (5, 100, 3000):
+    for n in (5, 100, 700, 3000):
         a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
         b = np.unique(np.concatenate([a[: n * 4 // 5], rng.integers(-(2**63), 2**63 - 1, n // 5)]))
-        apart = sum(int(x ^ y).bit_count() for x, y in zip(np.array(copies.parity(a)).view(np.uint64).tolist(), np.array(copies.parity(b)).view(np.uint64).tolist(), strict=True))
-        assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
+        c = np.unique(rng.integers(-(2**63), 2**63 - 1, n * 9 // 8))
+        x, y, z = map(copies.parity, (a, b, c))
+        assert copies.apart(x, y) <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert n < 100 or copies.apart(x, z) > copies.most_apart(len(a) + len(c), 0.8)
+        assert (copies.folded(x, 1024) == np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, 16), axis=0)).all()

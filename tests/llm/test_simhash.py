@@ -43,7 +43,7 @@ def test_fingerprints_of_all_rows(spark):
     got = simhash.near_duplicates(cases.frame(spark)).collect()
     want = [(r[0], plain_fingerprint(r[1])) for r in rows]
     named = [(i, fp, c) for (i, fp), c in zip(want, brute_components(want, 3), strict=True)]
-    assert sorted(((r.doc_id, r.fp[0] % 2**64, r.component_id) for r in got), key=repr) == sorted(named, key=repr)
+    assert sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in got), key=repr) == sorted(named, key=repr)
 
 
 def test_links_of_close_fingerprints_are_complete(spark):
@@ -57,8 +57,8 @@ def test_links_of_close_fingerprints_are_complete(spark):
             for b in rng.sample(range(64), rng.randint(1, 5)):
                 x ^= 1 << b
             fps.append(x)
-    table = [(i, [int(np.uint64(x).view(np.int64))]) for i, x in enumerate(fps)]
-    got = simhash.group_by_fingerprint(spark.createDataFrame(table, "doc_id long, fp array<long>")).collect()
+    table = [(i, int(np.uint64(x).view(np.int64))) for i, x in enumerate(fps)]
+    got = simhash.group_by_fingerprint(spark.createDataFrame(table, "doc_id long, fp long")).collect()
     want = brute_components(list(enumerate(fps)), 3)
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
 
@@ -66,7 +66,7 @@ def test_links_of_close_fingerprints_are_complete(spark):
 def test_every_half_has_one_home_and_its_neighbours(spark):
     rng = random.Random(4)
     rows = [(int(np.uint64(rng.getrandbits(64)).view(np.int64)),) for _ in range(50)]
-    nodes = spark.createDataFrame(rows, "node long").withColumn("fp", F.array("node"))
+    nodes = spark.createDataFrame(rows, "node long")
     per = simhash.anchors(nodes).groupBy("node").agg(F.sum(F.col("home").cast("int")).alias("homes"), F.count(F.lit(1)).alias("n"), F.countDistinct("anchor").alias("d")).collect()
     assert all(r.homes == 2 and r.n == r.d and r.n in (2, 17, 32) for r in per)
 
@@ -75,7 +75,7 @@ def test_chunks_give_the_same_groups(spark):
     rng = random.Random(6)
     base = rng.getrandbits(64)
     fps = sorted({base ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(0, 64, 7)})
-    nodes = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "node long").withColumn("fp", F.array("node"))
+    nodes = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "node long")
     labels = [{r.label for r in simhash.components(simhash.links(nodes, chunk=c)).collect()} for c in (16, 4096)]
     assert labels[0] == labels[1] and len(labels[0]) == 1
 
@@ -90,3 +90,11 @@ def test_one_of_each_group_stays(spark):
     assert set(range(12)) <= set(ids)
     assert list(kept[0].asDict()) == cases.frame(spark).columns
     assert simhash.keep_one(cases.empty(spark)).collect() == []
+
+
+def test_rows_that_share_an_id_count_by_themselves(spark):
+    rng = random.Random(9)
+    a, b, c = (cases.words(rng, 40) for _ in range(3))
+    rows = [(5, a, {"x": 1}), (5, b, {"x": 2}), (7, c, {"x": 3}), (7, c, {"x": 1}), (8, c + " tail", {"x": 5}), (None, a, {"x": 6}), (None, None, None), (9, None, None), (10, "", None)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")).collect()
+    assert sorted(((r.doc_id, r.text, (r.m or {}).get("x")) for r in got), key=repr) == sorted([(5, a, 1), (5, b, 2), (7, c, 1), (None, a, 6), (None, None, None), (9, None, None)], key=repr)
