@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -88,10 +90,91 @@ def test_broken_markup_does_not_crash(page):
     assert isinstance(html.main_text(page, []), str)
 
 
+def members(*pairs):
+    return [html.Member(token, kind) for token, kind in pairs]
+
+
 def test_classes_that_cross_do_not_both_hold():
     page = "<div><p>a</p><p>x</p><p>b</p><p>y</p><p>c</p><p>z</p></div>"
     number = {t.text: t.number for t in html.parse(page) if t.text}
-    crossing = [(number["a"], 1), (number["x"], 2), (number["b"], 1), (number["y"], 2), (number["c"], 1)]
+    crossing = members((number["a"], 1), (number["x"], 2), (number["b"], 1), (number["y"], 2), (number["c"], 1))
     assert html.main_text(page, crossing) == "x\ny\nz"
-    nested = [(number["a"], 1), (number["x"], 2), (number["b"], 2), (number["c"], 1)]
+    nested = members((number["a"], 1), (number["x"], 2), (number["b"], 2), (number["c"], 1))
     assert html.main_text(page, nested) == "y\nz"
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def site(spark, page, n=8, host="s.example"):
+    return extracted(spark, [(i, f"http://{host}/{i}", page.format(i=i, w="word" * (i + 3))) for i in range(n)])
+
+
+def test_a_line_of_all_articles_of_a_host_is_template_text(spark):
+    page = "<html><body><nav>menu</nav><article><h1>Title {i}</h1><p>Read our offers now</p><p>story {i} about {w} and {w}</p></article></body></html>"
+    got = site(spark, page)
+    assert got[3] == "Title 3\nstory 3 about " + "word" * 6 + " and " + "word" * 6
+    # without the template the line stays, as on a host of one page
+    assert extracted(spark, [(1, "http://o.example/1", page.format(i=1, w="x"))])[1] == "Title 1\nRead our offers now\nstory 1 about x and x"
+    assert html.main_text(page.format(i=3, w="x"), []) == "Title 3\nRead our offers now\nstory 3 about x and x"
+
+
+def test_articles_that_a_host_repeats_are_kept(spark):
+    page = "<html><body><article><h1>Same</h1><p>one text on all pages</p></article><footer>f {i}</footer></body></html>"
+    assert set(site(spark, page).values()) == {"Same\none text on all pages"}
+
+
+def test_the_slot_of_most_text_is_the_main_one_without_an_article(spark):
+    page = "<html><body><div id='top'>item {i}</div><div id='text'><div class='entry-header'><h1>Title {i}</h1></div><div class='body'><p>story {i} of {w}</p><p>more {w} {w}</p></div></div><div id='side'><p>other {i}</p></div></body></html>"
+    assert site(spark, page)[2] == "Title 2\nstory 2 of " + "word" * 5 + "\nmore " + " ".join(["word" * 5] * 2)
+
+
+def test_titles_related_work_and_inline_elements_stay(spark):
+    page = "<article><div class='entry-header'><h1>Title {i}</h1></div><section id='related-work'><p>work {i}</p></section><p>one<wbr>two<img src=x>three <b>{w}</b></p><section id='comments'><p>nice {i}</p></section><div class='x ad'>buy {i}</div></article>"
+    assert site(spark, page)[1] == "Title 1\nwork 1\nonetwothree " + "word" * 4
+
+
+def test_pages_of_equal_rows_and_hosts(spark):
+    page = "<body><div><p>Welcome</p><p>Menu of all</p></div><div><p>story {i}</p></div></body>"
+    rows = [(i, f"http://{h}.example/{i}", page.format(i=i)) for h in "ab" for i in range(4)] + [(50, "HTTP://A.example:80/0", page.format(i=0)), (51, None, page.format(i=0)), (0, "http://a.example/0", page.format(i=0))]
+    got = html.extract(spark.createDataFrame([(*r, "c", 1) for r in rows], "page_id long, url string, html string, host string, template int")).collect()
+    assert len(got) == len(rows) and all(r.text == (f"story {r.page_id % 50}" if r.page_id != 51 else "Welcome\nMenu of all\nstory 0") for r in got)
+
+
+def test_reading_is_linear():
+    began = time.perf_counter()
+    for page in ('<a b="x ' * 130_000, "<p class='" * 100_000 + ">", "<div>" * 100_000 + "</x>" * 100_000, "<!" * 500_000, "<script>" * 100_000):
+        html.parse(page)
+    assert time.perf_counter() - began < 10
+
+
+def brute_template(pages):
+    """Texts that stand once on each page of a host that has them, on half of them or more, in a class of at least two tokens."""
+    vectors = {}
+    for k, page in enumerate(pages):
+        for token in html.parse(page):
+            vectors.setdefault(token.number, [0] * len(pages))[k] += 1
+    classes = {}
+    for number, vector in vectors.items():
+        if max(vector) == 1 and sum(vector) >= max(html.LEAST_PAGES, html.LEAST_SHARE * len(pages)):
+            classes.setdefault(tuple(vector), set()).add(number)
+    return {frozenset(c) for c in classes.values() if len(c) >= html.LEAST_TOKENS}
+
+
+def test_templates_are_those_of_the_occurrence_vectors(spark):
+    rng = random.Random(7)
+    pages = []
+    for i in range(20):
+        optional = "<div id='o'><p>Optional box</p><p>More of it</p></div>" if rng.random() < 0.7 else ""
+        items = "".join(f"<li>item {rng.randrange(4)}</li>" for _ in range(rng.randint(1, 4)))
+        pages.append(f"<body><div id='t'><p>Site name</p>{optional}<ul>{items}</ul></div><div id='m'><p>story {i}</p><p>{rng.choice(['yes', 'no'])}</p></div><p>The end</p></body>")
+    rows = html.templates(spark.createDataFrame([(f"http://h.example/{i}", p) for i, p in enumerate(pages)], "url string, html string")).collect()
+    found = {}
+    for m in rows[0].template:
+        found.setdefault(m["class"], set()).add(m["token"])
+    assert {frozenset(c) for c in found.values()} == brute_template(pages) and len(found) >= 2
+    texts = {t.number: t.text for p in pages for t in html.parse(p)}
+    gone = {texts[n] for c in found.values() for n in c} - {None}
+    got = extracted(spark, [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)])
+    assert {"Site name", "The end"} <= gone and not any(line in gone for text in got.values() for line in text.split("\n"))
