@@ -1,7 +1,8 @@
 """Benchmark decontamination with a positional inverted index split by documents.
 
 The index is dealt by documents, as large search engines do: every block of documents has its own
-term dictionary and, for each term, the ascending list of positions at which it stands.  A phrase is
+term dictionary and, for each term, the ascending list of positions at which it stands.  It is stored, and
+searches read it from there.  A phrase is
 looked up in every block by itself: its rarest term in that block gives the starting points, and the
 lists of its other terms, moved by their offsets, are intersected from the rarest on.  So no posting
 ever moves between tasks, no list of a frequent term meets another one whole, and the phrases, a set
@@ -18,21 +19,24 @@ phrase; repeated documents or items are separate rows.  Columns that are not nam
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ
+from .common import LOWER_AZ, materialize, release
 
 #: ASCII bytes other than digits and letters become spaces, A-Z become a-z.
 WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in LOWER_AZ)
 WINDOW = 10
+#: Other words that may stand between a phrase's words in a proximity match.
+SLOP = 5
 #: Text bytes in a block of the index; a single longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: Bytes of benchmark text that are sent to the tasks at once; more items are matched in several passes.
-QUERY_BYTES = 64 << 20
+QUERY_BYTES = 4 << 20
 INDEX_SCHEMA = "doc_ids array<{id}>, starts binary, terms binary, offsets binary, positions binary"
 
 
@@ -61,7 +65,7 @@ class Block:
 
     def lookup(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
         """Every occurrence of a phrase in a document: its number and its first position."""
-        numbers = {t: i for i, t in enumerate(self.terms)}
+        numbers = self.numbers
         known = np.asarray([numbers.get(t, -1) for t in phrases.terms] + [-2], np.int64)  # -2: behind a short phrase's end
         terms = known[phrases.words]
         live = np.flatnonzero((terms != -1).all(axis=1))
@@ -94,10 +98,14 @@ class Block:
         inside = begin + length <= self.starts[np.minimum(doc, len(self.starts) - 1)]
         return live[phrase[inside]], begin[inside]
 
+    @cached_property
+    def numbers(self) -> dict[bytes, int]:
+        return {t: i for i, t in enumerate(self.terms)}
+
     def near(self, phrase: list[bytes], slop: int) -> list[tuple[int, int, int]]:
         """Proximity: (document, first, last position) of the shortest spans that hold the phrase's words in
         order with at most `slop` other words between them, one for each place of the first word."""
-        numbers = {t: i for i, t in enumerate(self.terms)}
+        numbers = self.numbers
         if not phrase or any(t not in numbers for t in phrase):
             return []
         lists = [self.positions[self.offsets[k] : self.offsets[k + 1]] for k in map(numbers.__getitem__, phrase)]
@@ -114,21 +122,27 @@ class Block:
 class Phrases:
     """Distinct phrases as rows of term numbers, and the items that each comes from."""
 
-    def __init__(self, items: list[tuple[object, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
         numbers: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], set] = {}
-        for item, text in items:
-            found = [numbers.setdefault(w, len(numbers)) for w in words(text)]
-            for i in range(max(1, len(found) - window + 1) if found else 0):
-                owners = seen.setdefault(tuple(found[i : i + window]), set())
-                if item is not None:
-                    owners.add(item)
-        self.terms = list(numbers)
-        self.lengths = np.asarray([len(p) for p in seen], np.int64)
-        self.words = np.full((len(seen), window), len(numbers), np.int64)
-        for k, p in enumerate(seen):
-            self.words[k, : len(p)] = p
-        self.items = list(seen.values())
+        rows, owners = [], []
+        for k, (_, text) in enumerate(items):
+            found = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words(text)), np.int32)
+            if 0 < len(found) < window:
+                found = np.concatenate([found, np.full(window - len(found), -1, np.int32)])
+            if len(found):
+                rows.append(np.lib.stride_tricks.sliding_window_view(found, window))
+                owners.append(np.full(len(rows[-1]), k, np.int32))
+        self.terms, self.names = list(numbers), [name for name, _ in items]
+        every = np.concatenate(rows) if rows else np.zeros((0, window), np.int32)
+        self.words, which = np.unique(every, axis=0, return_inverse=True)
+        self.lengths = (self.words >= 0).sum(axis=1)
+        self.words = np.where(self.words < 0, np.int32(len(numbers)), self.words)
+        # the items of phrase p are owners[starts[p] : starts[p + 1]]
+        pairs = np.unique(np.stack([which.ravel(), np.concatenate(owners)]), axis=1) if rows else np.zeros((2, 0), np.int64)
+        self.starts, self.owners = np.searchsorted(pairs[0], np.arange(len(self.words) + 1)), pairs[1]
+
+    def items(self, phrase: int) -> set[str]:
+        return {self.names[k] for k in self.owners[self.starts[phrase] : self.starts[phrase + 1]].tolist()} - {None}
 
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,6 +174,11 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def stored_index(docs: DataFrame, **columns: str) -> DataFrame:
+    """The index, written to the shared folder: searches read the postings, not the texts."""
+    return materialize(build_index(docs, **columns), "postings")
+
+
 def _unpack(batch: pa.RecordBatch, k: int) -> tuple[list, Block]:
     raw = {n: batch.column(n)[k].as_py() for n in ("starts", "terms", "offsets", "positions")}
     offsets = np.frombuffer(raw["offsets"], "<i8")
@@ -190,11 +209,14 @@ def search(index: DataFrame, items: DataFrame, *, window: int = WINDOW, item_id:
 
     A benchmark of several pieces passes over each block in turn, which gathers what was found in it."""
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    stages = list(_passes(items, item_id, item_text))
+    pieces = _passes(items, item_id, item_text)
+    piece = next(pieces)
     blocks = index.withColumns({"found": F.array().cast("array<struct<doc:long,first:long,last:long>>"), "named": F.array().cast("array<array<string>>")})
-    for number, piece in enumerate(stages):
+    written = None
+    while piece is not None:
         sent = index.sparkSession.sparkContext.broadcast(Phrases(piece, window))
-        final = number == len(stages) - 1
+        piece = next(pieces, None)
+        final = piece is None
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, final=final) -> Iterator[pa.RecordBatch]:
             phrases = sent.value
@@ -220,6 +242,12 @@ def search(index: DataFrame, items: DataFrame, *, window: int = WINDOW, item_id:
                         yield pa.RecordBatch.from_arrays([*own.columns[:-2], pa.array([found], FOUND), pa.array([[sorted(n) for n in names]], pa.list_(pa.list_(pa.string())))], names=own.schema.names)
 
         blocks = blocks.mapInArrow(run, f"id {kind}, n_words long, spans {SPANS}, items array<string>" if final else blocks.schema)
+        if not final:
+            blocks = materialize(blocks, "matches")
+            sent.unpersist()
+            if written is not None:
+                release(written)
+            written = blocks
     return blocks.withColumnRenamed("id", id_col)
 
 
@@ -232,7 +260,7 @@ def _occurrences(block: Block, phrases: Phrases, n_docs: int) -> tuple[list[list
     first = begin - block.starts[doc]
     for d, w, a in zip(doc.tolist(), which.tolist(), first.tolist(), strict=True):
         spans[d].append((a, a + int(phrases.lengths[w]) - 1))
-        names[d] |= phrases.items[w]
+        names[d] |= phrases.items(w)
     return spans, names
 
 
@@ -247,26 +275,30 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search_near(index: DataFrame, phrase: str, *, slop: int, id_col: str = "doc_id") -> DataFrame:
-    """Proximity matches of one phrase: (document, first, last) word positions in the document."""
-    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    wanted = words(phrase.encode())
+def search_near(index: DataFrame, items: DataFrame, *, slop: int = SLOP, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Proximity matches of each item's first `window` words: (document, item_id, first, last) as word positions, where
+    they stand in order with at most `slop` other words between; one row for each place of the first word."""
+    kind, item_kind = index.schema["doc_ids"].dataType.elementType.simpleString(), items.schema[item_id].dataType.simpleString()
+    out = None
+    for piece in _passes(items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")), "i", "t"):
+        sent = index.sparkSession.sparkContext.broadcast([(name, words(text)[:window]) for name, text in piece])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids, block = _unpack(batch, k)
-                found = block.near(wanted, slop)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[d] for d, _, _ in found], batch.column("doc_ids").type.value_type), *[pa.array([int(x[i] - block.starts[x[0]]) for x in found], pa.int64()) for i in (1, 2)]], names=["id", "first", "last"]
-                )
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    ids, block = _unpack(batch, k)
+                    found = [(ids[d], name, int(a - block.starts[d]), int(z - block.starts[d])) for name, phrase in sent.value for d, a, z in block.near(phrase, slop)]
+                    kinds = [batch.column("doc_ids").type.value_type, pa.string(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], names=["id", "item", "first", "last"])
 
-    return index.mapInArrow(run, f"id {kind}, first long, last long").withColumnRenamed("id", id_col)
+        part = index.mapInArrow(run, f"id {kind}, item string, first long, last long")
+        out = part if out is None else out.unionByName(part)
+    return out.select(F.col("id").alias(id_col), F.col("item").cast(item_kind).alias(item_id), "first", "last")
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every document."""
-    found = search(build_index(docs), items, window=window)
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every document; the postings are stored first."""
+    found = search(stored_index(docs), items, window=window)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
@@ -274,7 +306,10 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW) ->
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents without any phrase of the items, with all their columns; rows stay where they are."""
+    """The documents without any phrase of the items, with all their columns.
+
+    Rows pass through blocks of the index that are searched at once and not kept, so no row moves.  Documents with null
+    or empty texts stay; repeated rows are judged alike; a long text is a block of its own; without items all stay."""
     out = docs
     for piece in _passes(items, item_id, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(Phrases(piece, window))

@@ -71,7 +71,46 @@ def test_dropping_and_empty_tables(spark):
     assert not any(r.contaminated for r in decontam.contamination(frame, bench.limit(0)).collect())
 
 
+def test_postings_are_stored_and_read_back(spark, tmp_path):
+    items, docs = items_and_docs(2)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    decontam.build_index(frame.repartition(4)).write.parquet(str(tmp_path / "index"))
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    found = {(r.doc_id, r.n_words, sum(s.last - s.first + 1 for s in r.spans)) for r in decontam.search(stored, bench, window=4).collect()}
+    assert found == {b[:3] for b in brute(docs, items, 4)}
+    assert spark.read.schema(stored.schema).parquet(*decontam.stored_index(frame).inputFiles()).count() >= 1
+
+
+def test_columns_may_have_any_names(spark):
+    items, docs = items_and_docs(3)
+    rows = [(*d, 1, "x", [1], "y", None) for d in docs]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, id int, terms string, starts array<int>, items string, spans int")
+    got = decontam.contamination(frame, spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "text as doc_id", "1 as spans"), window=4)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs, items, 4)
+
+
+def near_by_brute(docs, items, slop, window):
+    """Each place of a phrase's first word, followed by the next place of each further word."""
+    out = []
+    for doc_id, text in docs:
+        w = split(text)
+        for item, body in items:
+            phrase = split(body)[:window]
+            for k in range(len(w)) if phrase else ():
+                at = k if w[k] == phrase[0] else None
+                for p in phrase[1:]:
+                    at = None if at is None else next((j for j in range(at + 1, len(w)) if w[j] == p), None)
+                if at is not None and at - k + 1 - len(phrase) <= slop:
+                    out.append((doc_id, item, k, at))
+    return sorted(out, key=repr)
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "red small fox"), (2, "red fox"), (3, "fox red"), (4, "red a b c d fox"), (5, None)], "doc_id long, text string")
-    found = decontam.search_near(decontam.build_index(docs), "Red fox", slop=2).collect()
-    assert sorted(tuple(r) for r in found) == [(1, 0, 2), (2, 0, 1)]
+    docs = [(1, "red small fox"), (2, "red fox"), (3, "fox red"), (4, "red a b c d fox"), (5, None)]
+    index = decontam.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = decontam.search_near(index, spark.createDataFrame([(9, "Red fox")], "item_id long, text string"), slop=2).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 9, 0, 2), (2, 9, 0, 1)]
+    items, docs = items_and_docs(4)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.search_near(decontam.stored_index(frame), bench, slop=3, window=4).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == near_by_brute(docs, items, 3, 4)
