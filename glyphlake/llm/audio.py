@@ -4,7 +4,7 @@ A payload is stored as a mono 8-bit PCM WAV file, one byte a sample, which keeps
 The stored file is read back, and its samples are resampled by a polyphase filter, cut into
 overlapped windows, and turned into log-mel energies; segments of sound come from two thresholds
 with hysteresis on the frames' energy.  Features of a span of frames have a fixed shape, so they are
-kept as fixed-shape Arrow tensors beside the span's start and end time.
+stored as fixed-shape Arrow tensors beside the span's start and end time, one Arrow stream a document.
 
 Long payloads are worked through in pieces that overlap by the filter's and the window's reach, so
 memory is bounded and the result is that of one pass.
@@ -33,7 +33,7 @@ RATE_IN, RATE_OUT = 16_000, 10_000
 TAPS_EACH = 8
 WINDOW, HOP, MELS = 256, 128, 24
 #: Frames of a tensor.
-SPAN = 32
+SPAN = 16
 PAD = 64
 #: Hysteresis in dB above the payload's quietest decile: a segment opens above the first, closes below the second.
 OPEN_DB, CLOSE_DB = 3.0, 1.5
@@ -119,7 +119,7 @@ class Features:
     segments: list[tuple[int, int]]  # first and last frame
 
     def spans(self) -> Iterator[tuple[float, float, np.ndarray]]:
-        """Start, end (seconds) and a SPAN x MELS tensor of each stretch of frames; the last is padded with its floor."""
+        """Start, end (seconds) and a SPAN x MELS tensor of each stretch of frames; the last is padded with the floor."""
         for k in range(0, len(self.log_mel), SPAN):
             block = self.log_mel[k : k + SPAN]
             size = len(block)
@@ -127,10 +127,11 @@ class Features:
                 block = np.concatenate([block, np.full((SPAN - size, MELS), -100.0, np.float32)])
             yield k * HOP / RATE_OUT, ((k + size - 1) * HOP + WINDOW) / RATE_OUT, block
 
-    def digest(self) -> str:
-        """Frames, segments and the time they cover, mean energy, and the mean log-mel spectrum in whole dB."""
+    def digest(self, tensors: pa.Table) -> str:
+        """Frames, segments and the time they cover, mean energy, and the mean log-mel spectrum of the stored tensors in whole dB."""
         held = sum(b - a + 1 for a, b in self.segments)
-        mean = self.log_mel.mean(axis=0, dtype=np.float64)
+        mel = tensors.column("log_mel").combine_chunks().to_numpy_ndarray().reshape(-1, MELS)[: len(self.energy)]
+        mean = mel.mean(axis=0, dtype=np.float64)
         return f"frames={len(self.energy)};segments={len(self.segments)};sound={held * HOP / RATE_OUT:.3f};energy={self.energy.mean(dtype=np.float64):.1f};mel={','.join(f'{round(float(x))}' for x in mean)}"
 
 
@@ -175,17 +176,30 @@ def tensor_type() -> pa.DataType:
     return pa.fixed_shape_tensor(pa.float32(), (SPAN, MELS))
 
 
-def tensor_table(key: object, found: Features) -> pa.Table:
-    """(id, start_s, end_s, log_mel) with log_mel a fixed-shape tensor column, as written to Arrow or Parquet files."""
+def tensor_table(found: Features) -> pa.Table:
+    """(start_s, end_s, log_mel): a row a span, with log_mel a column of fixed-shape tensors."""
     spans = list(found.spans())
     values = np.stack([t for _, _, t in spans]).astype(np.float32)
-    return pa.table({"id": pa.array([key] * len(spans)), "start_s": [s for s, _, _ in spans], "end_s": [e for _, e, _ in spans], "log_mel": pa.FixedShapeTensorArray.from_numpy_ndarray(values)})
+    return pa.table({"start_s": [s for s, _, _ in spans], "end_s": [e for _, e, _ in spans], "log_mel": pa.FixedShapeTensorArray.from_numpy_ndarray(values)})
+
+
+def tensors_encode(table: pa.Table) -> bytes:
+    """An Arrow stream, which keeps the tensors' type and shape."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def tensors_decode(stored: bytes) -> pa.Table:
+    return pa.ipc.open_stream(stored).read_all()
 
 
 def media(docs: DataFrame, *, with_file: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row a document: the payload's and the stored file's digests and the feature string; the file itself if asked for."""
+    """One row a document: the payload's and the stored file's digests, the feature string and the stored tensors with
+    their time spans, from which it is made; the file itself if asked for."""
     kind = docs.schema[id_col].dataType.simpleString()
-    fields = [("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")] + [("media", "binary")] * with_file
+    fields = [("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("tensors", "binary")] + [("media", "binary")] * with_file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +208,9 @@ def media(docs: DataFrame, *, with_file: bool = False, text_col: str = "text", i
                 raw = text.as_py() or b""
                 stored = wav_encode(padded(raw))
                 rate, back = wav_decode(stored)
-                row = [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(stored), hashlib.sha256(stored).hexdigest(), features(rate, back).digest()] + [stored] * with_file
+                found = features(rate, back)
+                tensors = tensors_encode(tensor_table(found))
+                row = [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(stored), hashlib.sha256(stored).hexdigest(), found.digest(tensors_decode(tensors)), tensors] + [stored] * with_file
                 for values, value in zip(out, row, strict=True):
                     values.append(value)
             kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
