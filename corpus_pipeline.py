@@ -7,31 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphlake.llm import decontam, mixing, quality, sharding, simhash
-from glyphlake.llm.common import materialize, table
+from glyphlake.llm.common import materialize, release, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.  Null and empty texts score alike; repeated rows share their fate;
+    an empty table stays empty, and without labels of both kinds all documents stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity above 0.8."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more, all such pairs.
+
+    Found by SimHash anchors and verified by whole sets; what anchors leave apart is joined exactly.  Null and empty
+    texts are one group, rows without an id all stay, of repeated rows one stays."""
     return simhash.keep_one(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any ten words in a row of a benchmark item."""
+    """Documents without any ten words in a row of a benchmark item, or a whole shorter item.  Null and empty texts
+    stay; repeated rows are judged alike; without items all stay."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources meet their target weights."""
+    """Documents repeated or left out so that sources meet their target weights.  A null source is one of its own, null
+    texts have no words, repeated rows count by themselves."""
     return mixing.mix(docs)
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and their slot in it."""
+    """Documents with their shard and their slot in it; every row is placed, null and repeated ones as well."""
     return sharding.shard_documents(docs)
 
 
@@ -48,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what the stages before it wrote is deleted as soon as it has been read."""
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if written is not None:
+            release(written)
+        written = docs
     return docs
