@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -36,8 +37,10 @@ _written: list[tuple[str, str]] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests, one machine)."""
+    """The shared folder the cluster names.  Where none is set, the warehouse, and in local mode a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/glyphlake"
     if not root:
         app = spark.sparkContext.applicationId
         if app not in _temporary:
@@ -57,6 +60,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def _clean_at_exit() -> None:
+    """What an application has written for itself goes with it, if its session still runs."""
+    spark = SparkSession.getActiveSession() if _written else None
+    if spark is not None:
+        with contextlib.suppress(Exception):
+            clean(spark)
+
+
 def clean(spark: SparkSession) -> int:
     """Delete the tables that this application has written here, once no result reads them any more."""
     app, jvm, gone = spark.sparkContext.applicationId, spark.sparkContext._jvm, 0
