@@ -12,6 +12,7 @@ punctuation are kept; labels, language, source and doc_id are never read by the
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from operator import eq
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, materialize, release
 from .sampling import held_out, labelled_sample
 
 SAMPLE_PER_CLASS = 2_500
@@ -122,21 +123,29 @@ def probability(text: bytes | None, parts: _Parts) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> np.ndarray:
-    """The model: one number a feature.  Features are taken in the tasks; the driver gets the sample's only."""
+    """The model: one number a feature.  Features are taken in the tasks; the driver gets the sample's only, a part
+    of the sample at a time, into one array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [document_features(x.as_py()) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in made], pa.binary()), pa.array([w.astype("<f4").tobytes() for _, w in made], pa.binary())], names=["y", "ids", "share"]
-            )
-
-    rows = []
-    for batch in map_batches(labelled_sample(docs, labels, label, per_class), run, "y int, ids binary, share binary").toArrow().to_batches():
-        for y, ids, share in zip(*batch.columns, strict=True):
-            rows.append((np.frombuffer(ids.as_py(), "<i4"), np.frombuffer(share.as_py(), "<f4"), y.as_py()))
+            packed = [i.astype("<i4").tobytes() + w.astype("<f4").tobytes() for i, w in made]
+            marks = [int.from_bytes(hashlib.blake2b(x, digest_size=7).digest()) for x in packed]
+            columns = [batch.column(1), pa.array([len(i) for i, _ in made], pa.int32()), pa.array(marks, pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["y", "n", "mark", "packed"])
+
+    sample = materialize(map_batches(labelled_sample(docs, labels, label, per_class), run, "y int, n int, mark long, packed binary"), "quality-sample")
+    size = sample.agg(F.sum("n")).first()[0] or 0
+    ids, share = np.empty(size, "<i4"), np.empty(size, "<f4")
+    heads, at = [], 0
+    for y, n, mark, packed in sample.toLocalIterator():
+        ids[at : at + n], share[at : at + n] = np.frombuffer(packed, "<i4", n), np.frombuffer(packed, "<f4", n, 4 * n)
+        heads.append((y, n, mark, at))
+        at += n
     # the scan's order is not fixed, the training's must be
-    rows.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes()))
+    heads.sort()
+    release(sample)
+    rows = [(ids[k : k + n], share[k : k + n], y) for y, n, _, k in heads]
     return train(rows) if {r[2] for r in rows} == {0, 1} else np.zeros(BUCKETS + 2)
 
 
