@@ -13,8 +13,9 @@ tasks are linked by their 128-bit names.  Candidates are narrowed before sets ar
 shingles hash to a bit, modulo 2) of two sets differ in at most as many bits as the sets differ in shingles, so they
 never rule out a pair that is similar enough.  In a first round each node is verified with the nearest of the least
 nodes it met, which joins most groups with one set moved a node.  Only what still has different labels at a shingle
-is compared pair by pair, in chunks by separate tasks; of these, one pair for each two labels is verified before
-the others.  Shingles that the sample shows to be frequent are dealt over several tasks from the start, with a
+is compared, in chunks by separate tasks, and the pairs that parity bits leave are verified.  At shingles with many
+such pairs rounds verify each label's best pair first, which joins what is left of large groups; what is of different
+labels even then is verified pair by pair.  Shingles that the sample shows to be frequent are dealt over several tasks from the start, with a
 center each.  Joins by label are left to Spark's splitting of skewed joins.
 
 Defined results: null and empty texts, and those of white space, have no shingles and are one group; a
@@ -42,6 +43,8 @@ SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 SAMPLE, COMMON = 4000, 1 << 16
 #: Parity bits of a node at least; there are twice as many as shingles.
 PARITY = 1024
+#: Pairs a row, beyond which a shingle's pairs are verified in rounds, and how many such rounds there are.
+MOST_PAIRS, ROUNDS = 4, 3
 #: Nodes that a task remembers to tell that a text has come again.
 SEEN = 1 << 18
 #: Bits of the sieve of texts whose sets are needed.
@@ -94,6 +97,11 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(dtype=np.int64))
 
 
+def meeting_width(n: int) -> int:
+    """Parity bits that a node of n shingles takes along to each: enough to tell unlike sets, fewer than it has."""
+    return 1 << max(8, min(12, math.ceil(math.log2(max(1, n)))), math.ceil(math.log2(max(1, n / 2))))
+
+
 def most_apart(n: np.ndarray, similarity: float) -> np.ndarray:
     """In how many shingles two sets of n in all may differ."""
     return n * ((1 - similarity) / (1 + similarity)) + 1e-6
@@ -122,11 +130,11 @@ def common_shingles(docs: DataFrame, shingle: int, text_col: str, chunk: int) ->
 
     texts = docs.select(F.col(text_col).cast("binary").alias("text")).where(F.rand(SEED) < SAMPLE / total)
     found = texts.mapInArrow(run, "s array<long>").select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = found.orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    hashes, n = np.array([r["h"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64)
+    rows = found.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    hashes, n = rows.column("h").to_numpy(), rows.column("n").to_numpy().astype(np.float64)
     tasks = np.ceil(n / min(SAMPLE, total) * total / chunk).astype(np.int64)
     order = np.argsort(hashes)
-    return hashes[order], (len(rows) - order).astype(np.int64), tasks[order]
+    return hashes[order], (rows.num_rows - order).astype(np.int64), tasks[order]
 
 
 def hashed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray, np.ndarray], *, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
@@ -201,17 +209,36 @@ def _stars(met: DataFrame) -> DataFrame:
 
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     """(a, b): nodes whose fingerprints are equal, or were linked at an anchor."""
-    by = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
-    equal = nodes.select("node", "fp").join(by, "fp").where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    x, y = (by.select(F.col("fp").alias(k), F.col("first").alias(f"node_{k}")) for k in "ab")
-    near = anchor_links(by.select(F.col("fp").alias("node")), roots=False).join(x, "a").join(y, "b")
-    return equal.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    by = materialize(nodes.select("node", "fp", F.min("node").over(Window.partitionBy("fp")).alias("first")), "fingerprints")
+    equal = by.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    firsts = by.where("first = node")
+    x, y = (firsts.select(F.col("fp").alias(k), F.col("node").alias(f"node_{k}")) for k in "ab")
+    near = anchor_links(firsts.select(F.col("fp").alias("node")), roots=False).join(x, "a").join(y, "b")
+    return equal.unionByName(near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
+
+
+def _differ(bits: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Parity bits that differ in pairs of rows, in the smaller width of the two."""
+    sizes = np.array([len(x) for x in bits])
+    least = np.minimum(sizes[i], sizes[j])
+    out = np.zeros(len(i), np.int64)
+    for size in np.unique(least).tolist():
+        at = np.flatnonzero(least == size)
+        rows, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        table = np.array([folded(bits[r], 8 * size) for r in rows.tolist()])
+        x, y = place[: len(at)], place[len(at) :]
+        step = max(1, (1 << 21) // size)
+        for k in range(0, len(at), step):
+            out[at[k : k + step]] = np.bitwise_count(table[x[k : k + step]] ^ table[y[k : k + step]]).sum(axis=1, dtype=np.int64)
+    return out
 
 
-def _meeting(similarity: float):
-    """Pairs of the two sides of each group of rows (key, i, j, left, node, label, n, pos, bits) that can be similar enough."""
+def _meeting(similarity: float, most: int | None):
+    """Pairs of the two sides of each group of rows (key, i, j, left, node, label, n, pos, bits) that can be similar
+    enough.  Of a group with more than `most` pairs a row, for each label only the pair with the fewest bits apart; the
+    group's key, in a row of its own, says that there is more."""
 
-    def compare(g: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def possible(g: dict) -> Iterator[np.ndarray]:
         left, right = np.nonzero(g["left"])[0], np.nonzero(~g["left"])[0]
         step = max(1, (1 << 20) // max(1, len(right)))
         for k in range(0, len(left), step):
@@ -222,17 +249,39 @@ def _meeting(similarity: float):
             # at the first shingle that two sets share, no more is shared than what follows it in both
             ok &= 1 + np.minimum(n - 1 - g["pos"][x], m - 1 - g["pos"][y]) >= need
             p, q = np.nonzero(ok)
-            for at in range(0, len(p), 1 << 16):
-                i, j = left[k : k + step][p[at : at + (1 << 16)]], right[q[at : at + (1 << 16)]]
-                differ = np.bitwise_count(g["bits"][i] ^ g["bits"][j]).sum(axis=1, dtype=np.int64)
-                near = differ <= most_apart(g["n"][i] + g["n"][j], similarity)
-                a, b = g["node"][i[near]], g["node"][j[near]]
-                yield np.minimum(a, b), np.maximum(a, b)
+            i, j = left[k : k + step][p], right[q]
+            differ = _differ(g["bits"], i, j)
+            near = differ <= most_apart(g["n"][i] + g["n"][j], similarity)
+            yield np.stack([i[near], j[near], differ[near]])
+
+    def best(g: dict, found: np.ndarray) -> np.ndarray:
+        label, order = np.concatenate([g["label"][found[0]], g["label"][found[1]]]), np.tile(found[2], 2)
+        order = np.lexsort((order, label))
+        first = np.flatnonzero(np.diff(label[order], prepend=label[order][0] - 1))
+        return found[:, np.unique(order[first] % found.shape[1])]
+
+    def compare(g: dict) -> Iterator[pa.RecordBatch]:
+        kept, more = np.zeros((3, 0), np.int64), False
+        for found in possible(g):
+            kept = np.concatenate([kept, found], axis=1)
+            if most is not None and kept.shape[1] > most * len(g["node"]):
+                kept, more = best(g, kept), True
+            elif most is None and kept.shape[1] > 1 << 16:
+                yield pairs(g, kept)
+                kept = kept[:, :0]
+        if kept.shape[1]:
+            yield pairs(g, best(g, kept) if more else kept)
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array(g["key"][:1])], names=["a", "b", "key"])
+
+    def pairs(g: dict, kept: np.ndarray) -> pa.RecordBatch:
+        a, b = g["node"][kept[0]], g["node"][kept[1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def arrays(table: pa.Table) -> dict[str, np.ndarray]:
+        def arrays(table: pa.Table) -> dict:
             out = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "left", "node", "label", "n", "pos")}
-            out["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+            out["bits"] = table.column("bits").to_pylist()
             return out
 
         def groups(rest: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,9 +289,7 @@ def _meeting(similarity: float):
             cut = np.nonzero((np.diff(g["key"]) != 0) | (np.diff(g["i"]) != 0) | (np.diff(g["j"]) != 0))[0] + 1
             edges = [0, *cut.tolist(), len(g["key"])]
             for lo, hi in zip(edges, edges[1:], strict=False):
-                for a, b in compare({c: v[lo:hi] for c, v in g.items()}):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield from compare({c: v[lo:hi] for c, v in g.items()})
 
         def last_start(batch: pa.RecordBatch) -> int:
             same = np.ones(batch.num_rows, bool)
@@ -270,12 +317,12 @@ def _meeting(similarity: float):
     return run
 
 
-def _compared(met: DataFrame, labels: DataFrame, facts: DataFrame, similarity: float, chunk: int) -> DataFrame:
-    """(a, b): pairs of different labels that met and can be similar enough."""
+def _compared(met: DataFrame, labels: DataFrame, facts: DataFrame, similarity: float, chunk: int, most: int | None) -> DataFrame:
+    """(a, b, key): pairs of different labels that met and can be similar enough, and keys at which there are more."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([folded(x.as_py(), PARITY).tobytes() for x in batch.column(2)], pa.binary())], names=["node", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([folded(x, meeting_width(n)).tobytes() for n, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.binary())], names=["node", "n", "bits"])
 
     rows = met.join(labels, F.col("node") == F.col("k"), "left").select("key", "tasks", "node", "pos", F.coalesce("label", "node").alias("label"))
     spread = [F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")]
@@ -292,25 +339,25 @@ def _compared(met: DataFrame, labels: DataFrame, facts: DataFrame, similarity: f
     small = facts.select("node", "n", "bits").mapInArrow(fold, "node long, n int, bits binary")
     work = rows.withColumn("sides", sides).select("key", "node", "label", "pos", F.inline("sides")).join(small, "node")
     work = work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return work.select("key", "i", "j", "left", "node", "label", "n", "pos", "bits").mapInArrow(_meeting(similarity), "a long, b long").distinct()
+    return work.select("key", "i", "j", "left", "node", "label", "n", "pos", "bits").mapInArrow(_meeting(similarity, most), "a long, b long, key long").distinct()
 
 
 # verification
 
 
 def _narrowed(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, apart): the pairs whose sizes and parity bits leave them possible."""
+    """(a, b, name_a, name_b, apart): pairs of different texts whose sizes and parity bits leave them possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-            far = np.array([apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+            n = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
+            far = np.array([apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(6), batch.column(7), strict=True)], np.int64)
             keep = pa.array(far <= most_apart(n, similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(far).filter(keep)], names=["a", "b", "apart"])
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (*batch.columns[:4], pa.array(far))], names=["a", "b", "name_a", "name_b", "apart"])
 
-    x, y = (facts.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-    both = pairs.join(x, "a").join(y, "b").where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-6)
-    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, apart long")
+    x, y = (facts.select(*[F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in ("node", "name", "n", "bits")]) for k in "ab")
+    both = pairs.join(x, "a").join(y, "b").where("name_a <> name_b").where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-6)
+    return both.select("a", "b", "name_a", "name_b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, name_a binary, name_b binary, apart long")
 
 
 def _sieve(names: DataFrame) -> np.ndarray:
@@ -369,16 +416,16 @@ def _similar(similarity: float):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, facts: DataFrame, *, shingle: int, similarity: float, text_col: str) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, *, shingle: int, similarity: float, text_col: str) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; a set is moved once for each of its pairs, a center's once a task."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPOKES)).cast("int").alias("parts"))
-    dealt = pairs.select("a", "b").join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
-    spokes = dealt.select("a", "part", "b", F.col("b").alias("node"))
-    heads = dealt.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("node")).distinct()
-    needs = materialize(spokes.unionByName(heads).join(facts.select("node", "name"), "node").select("name", "a", "part", "b"), "needs")
-    sets = _sets(docs, needs.select("name"), shingle, text_col)
+    dealt = pairs.withColumn("parts", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("a")) / F.lit(SPOKES)).cast("int"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    dealt = dealt.withColumn("first", F.row_number().over(Window.partitionBy("a", "part").orderBy("b")) == 1)
+    spoke = F.struct(F.col("name_b").alias("name"), "b")
+    head = F.struct(F.col("name_a").alias("name"), F.lit(None).cast("long").alias("b"))
+    needs = materialize(dealt.select("a", "part", F.inline(F.when(F.col("first"), F.array(spoke, head)).otherwise(F.array(spoke)))), "needs")
     # a text of several rows has its set once
-    sets = sets.join(needs.select("name").distinct(), "name", "left_semi").dropDuplicates(["name"])
+    sets = _sets(docs, needs.select("name"), shingle, text_col).dropDuplicates(["name"])
     rows = needs.join(sets, "name").select("a", "part", "b", "s").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     found = materialize(rows.mapInArrow(_similar(similarity), "a long, b long"), "links")
     release(needs)
@@ -396,40 +443,34 @@ def labelled(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIM
     facts = nodes.select("node", "name", "n", "bits")
     # the same text in several tasks
     twins = nodes.select("node", F.min("node").over(Window.partitionBy("name")).alias("own")).where("node > own")
-    twins = materialize(twins, "twins")
-    known = twins.select(F.col("own").alias("a"), F.col("node").alias("b"))
-
-    def distinct_texts(pairs: DataFrame) -> DataFrame:
-        for k in ("a", "b"):
-            pairs = pairs.join(twins.select(F.col("node").alias("t"), F.col("own").alias("o")), F.col(k) == F.col("t"), "left").withColumn(k, F.coalesce("o", k)).select("a", "b")
-        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = materialize(twins.select(F.col("own").alias("a"), F.col("node").alias("b")), "twins")
 
     def check(pairs: DataFrame) -> DataFrame:
-        return verified(docs, pairs, facts, shingle=shingle, similarity=similarity, text_col=text_col)
+        return verified(docs, pairs, shingle=shingle, similarity=similarity, text_col=text_col)
 
     def names() -> DataFrame:
         return components(known).select(F.col("node").alias("k"), "label")
 
     met = materialize(_meetings(nodes), "meetings")
-    near = materialize(_narrowed(distinct_texts(_stars(met).unionByName(_by_fingerprint(nodes))), facts, similarity), "pairs")
-    known = known.unionByName(check(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b")))
-    release(near)
+    near = _narrowed(_stars(met).unionByName(_by_fingerprint(nodes)).distinct(), facts, similarity)
+    near = near.groupBy("b").agg(F.min(F.struct("apart", "a", "name_a", "name_b")).alias("x")).select("x.a", "b", "x.name_a", "x.name_b")
+    tried = materialize(near, "pairs")
+    known = known.unionByName(check(tried))
     labels = names()
-    rest = materialize(_narrowed(distinct_texts(_compared(met, labels, facts, similarity, chunk)), facts, similarity), "pairs")
-    release(met)
-    la, lb = (labels.select(F.col("k").alias(f"k_{k}"), F.col("label").alias(f"label_{k}")) for k in "ab")
-    for best in (True, False):
-        la, lb = (labels.select(F.col("k").alias(f"k_{k}"), F.col("label").alias(f"label_{k}")) for k in "ab")
-        open_ = rest.join(la, F.col("a") == F.col("k_a"), "left").join(lb, F.col("b") == F.col("k_b"), "left")
-        open_ = open_.select("a", "b", "apart", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y")).where("x <> y")
-        if best:
-            of = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
-            open_ = open_.groupBy(*of).agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
-        open_ = materialize(open_.select("a", "b"), "pairs")
-        if open_.isEmpty():
+    open_ = met
+    for most in (*[MOST_PAIRS] * ROUNDS, None):
+        rest = materialize(_compared(open_, labels, facts, similarity, chunk, most), "met")
+        pairs = rest.where("a is not null").select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialize(_narrowed(pairs, facts, similarity), "pairs")
+        if not pairs.isEmpty():
+            tried = tried.select("a", "b").unionByName(pairs.select("a", "b"))
+            known = known.unionByName(check(pairs))
+            labels = names()
+        more = rest.where("a is null").select("key").distinct()
+        if more.isEmpty():
             break
-        known = known.unionByName(check(open_))
-        labels = names()
+        open_ = met.join(more, "key", "left_semi")
+    release(met)
     return rows.select("id", "h", "node").join(labels, F.col("node") == F.col("k"), "left").select("id", "h", F.coalesce("label", "node").alias("label"))
 
 

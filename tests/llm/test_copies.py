@@ -83,4 +83,6 @@ def test_parity_bits_never_differ_more_than_the_sets():
         x, y, z = map(copies.parity, (a, b, c))
         assert copies.apart(x, y) <= len(set(a.tolist()) ^ set(b.tolist()))
         assert n < 100 or copies.apart(x, z) > copies.most_apart(len(a) + len(c), 0.8)
+        rows = [x, y, z, copies.folded(x, 1024).tobytes()]
+        assert copies._differ(rows, np.array([0, 0, 2, 1]), np.array([1, 2, 0, 3])).tolist() == [copies.apart(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (2, 0), (1, 3))]
         assert (copies.folded(x, 1024) == np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, 16), axis=0)).all()
