@@ -8,6 +8,7 @@ is verified on the documents that a candidate set leaves.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import syntax
 from ..functions.patterns import Pattern, needs_backtracking
+from ..storage import kept
 
 #: The classes whose longest runs are kept, in the ASCII reading.
 RUN_CLASSES = {
@@ -221,17 +223,59 @@ def survives(requirements: list[list[tuple[str, int]]]) -> Column:
     return out
 
 
+def stored_postings(docs: DataFrame, key: str) -> DataFrame:
+    """The postings of a corpus, built once an application and sorted by trigram: a query reads the row groups of its trigrams."""
+    return kept(docs.sparkSession, f"postings:{key}", lambda path: build(docs, path))
+
+
+def stored_runs(docs: DataFrame, key: str) -> DataFrame:
+    """(doc_id, run_...): the class runs of a corpus, built once an application; a prune reads the columns it needs."""
+    return kept(docs.sparkSession, f"runs:{key}", lambda path: with_runs(docs).select("doc_id", *[f"run_{n}" for n in RUN_CLASSES]).write.parquet(path))
+
+
 def persist_generation(spark: SparkSession, docs: DataFrame, root: str, generation: str) -> str:
     """Build an index generation and publish it: readers follow the pointer table, which is replaced last."""
     target = f"{root}/generation-{generation}"
     build(docs, target)
-    spark.createDataFrame([(generation, target)], "generation string, path string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
+    publish(spark, root, target)
     return target
 
 
+def publish(spark: SparkSession, root: str, target: str) -> None:
+    """Move the pointer: a file of a higher number is made beside the old ones and renamed into sight, so that readers
+    see the old target or the new one, never none."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(conf)
+    number = max((n for n, _ in _pointers(spark, root)), default=-1) + 1
+    hidden = jvm.org.apache.hadoop.fs.Path(f"{root}/_next-{uuid.uuid4().hex}")
+    out = system.create(hidden, False)
+    out.write(bytearray(target.encode()))
+    out.close()
+    if not system.rename(hidden, jvm.org.apache.hadoop.fs.Path(f"{root}/current-{number:012d}")):
+        raise RuntimeError(f"another writer has published generation {number} of {root}")
+    for old, path in _pointers(spark, root):
+        if old < number - 1:
+            system.delete(path, False)
+
+
+def _pointers(spark: SparkSession, root: str) -> list:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    names = [s.getPath() for s in system.listStatus(path)]
+    return sorted(((int(p.getName()[8:]), p) for p in names if p.getName().startswith("current-")), key=lambda x: x[0])
+
+
+def published(spark: SparkSession, root: str) -> str | None:
+    """What the newest pointer names."""
+    found = _pointers(spark, root)
+    return spark.read.text(found[-1][1].toString(), wholetext=True).first()["value"] if found else None
+
+
 def current_generation(spark: SparkSession, root: str) -> DataFrame:
-    path = spark.read.parquet(f"{root}/current").first()["path"]
-    return spark.read.parquet(path)
+    return spark.read.parquet(published(spark, root))
 
 
 def reclaim(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
@@ -240,7 +284,7 @@ def reclaim(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
     top = jvm.org.apache.hadoop.fs.Path(root)
     system = top.getFileSystem(spark._jsc.hadoopConfiguration())
     found = sorted((s.getModificationTime(), s.getPath().getName()) for s in system.listStatus(top) if s.getPath().getName().startswith("generation-"))
-    live = spark.read.parquet(f"{root}/current").first()["path"].rstrip("/").rpartition("/")[2]
+    live = published(spark, root).rstrip("/").rpartition("/")[2]
     gone = [n for _, n in found[: max(0, len(found) - keep)] if n != live]
     for name in gone:
         system.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..corpus import Corpus
 from ..functions.paths import glob_applies
-from ..functions.patterns import Pattern
+from ..functions.patterns import Pattern, either
 from .search import any_line
 
 
@@ -37,8 +39,19 @@ class PatternSet:
 
     def line_hits(self, corpus: Corpus) -> DataFrame:
         """(path, line, pattern_id), one row for a pattern on a line."""
-        lines = corpus.lines().select("path", F.col("line_number"), self.which(F.col("line")).alias("found"))
-        return lines.select("path", F.col("line_number").alias("line"), F.explode("found").alias("pattern_id"))
+        # inside a document first: only lines with some pattern become rows
+        parts = F.split(F.col("text"), "\n", -1)
+        kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+        hits = F.filter(F.transform(kept, lambda line, at: F.struct((at + 1).cast("long").alias("line"), self.which(line).alias("found"))), lambda x: F.size(x["found"]) > 0)
+        rows = corpus.df.where(F.rlike("text", F.lit(self.anywhere()))) if self.guarded() else corpus.df
+        return rows.select("path", F.inline(hits)).select("path", "line", F.explode("found").alias("pattern_id"))
+
+    def guarded(self) -> bool:
+        """Whether one expression over a whole document tells that no line can match: lines' ends must not matter."""
+        return not any(p.whole_line or p.multiline or (not p.fixed and re.search(r"[\^$]|\\[AzZ]", p.text)) for p in self.patterns.values())
+
+    def anywhere(self) -> str:
+        return either(list(self.patterns.values()))
 
     def buffer_mask(self, corpus: Corpus) -> DataFrame:
         """As document_mask, with the whole text as one subject, so that matches may cross lines."""
@@ -66,21 +79,23 @@ class RowPlan:
         return out.limit(self.limit) if self.limit else out
 
 
-#: Patterns of a table that are tested together; more are tested in several passes.
+#: Patterns of a table that are sent to the tasks at once; more are tested in several passes.
 TABLE_PATTERNS = 5_000
 
 
 def from_table(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
-    """Attribution by a table of patterns (pattern_id, pattern): a join by predicate, a bounded block of patterns at a time.
+    """Attribution by a table of patterns (pattern_id, pattern): the documents' columns and the patterns', a row a match.
 
-    For pattern sets that are data; a set known to the driver is a PatternSet."""
-    blocks = max(1, -(-patterns.count() // TABLE_PATTERNS))
+    For pattern sets that are data; a set known to the driver is a PatternSet.  A block of patterns of bounded number is
+    one array of constants of a pass, so that each expression is compiled once and no join by predicate is needed."""
+    kind = patterns.schema["pattern_id"].dataType
+    rows = patterns.select("pattern_id", "pattern").where(F.col("pattern").isNotNull()).toLocalIterator()
     out = None
-    for k in range(blocks):
-        block = patterns.where(F.pmod(F.xxhash64("pattern_id"), F.lit(blocks)) == k) if blocks > 1 else patterns
-        part = docs.join(F.broadcast(block), F.call_function("rlike", F.col(text), F.col("pattern")))
+    while block := list(islice(rows, TABLE_PATTERNS)):
+        found = F.array_compact(F.array(*[F.when(F.rlike(F.col(text), F.lit(p)), F.struct(F.lit(k).cast(kind).alias("pattern_id"), F.lit(p).alias("pattern"))) for k, p in block]))
+        part = docs.select("*", F.inline(found))
         out = part if out is None else out.unionByName(part)
-    return out
+    return docs.select("*", F.lit(None).cast(kind).alias("pattern_id"), F.lit(None).cast("string").alias("pattern")).limit(0) if out is None else out
 
 
 @dataclass(frozen=True)

@@ -32,20 +32,15 @@ def extract(text: Column, start: int, length: int) -> Column:
     return F.substring(text, start + 1, length)
 
 
-def shelf(docs: DataFrame, parts: int = 64) -> DataFrame:
+def shelf(docs: DataFrame) -> DataFrame:
     """(doc_id, start, stop): places of documents laid end to end by id, one separator between them.
 
-    The running sum goes over a table of sizes, first within ranges of ids and then over the ranges."""
-    sizes = docs.select("doc_id", (F.length("text") + 1).cast("long").alias("size"))
-    bounds = sizes.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    width = F.greatest(F.lit(1.0), (F.col("high") - F.col("low") + 1) / F.lit(float(parts)))
-    ranged = sizes.crossJoin(F.broadcast(bounds)).select("doc_id", "size", F.floor((F.col("doc_id") - F.col("low")) / width).alias("part"))  # bounds is one row
-    inner = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("part").agg(F.sum("size").alias("total"))
-    bases = sums.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # `parts` rows
-    placed = ranged.withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(F.broadcast(bases), "part")
-    start = F.col("base") + F.col("before")
-    return placed.select("doc_id", start.alias("start"), (start + F.col("size") - 1).alias("stop"))
+    Rows without an id come last, rows of one id in the order of their texts' hashes.  The running sum goes over a table
+    of sizes, first within ranges of ids and then over the ranges."""
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    sizes = docs.select("doc_id", size.alias("size"), F.xxhash64("text").alias("h"), (size + 1).alias("room"))
+    placed = global_rank(sizes, [F.col("doc_id").asc_nulls_last(), "h", "size"], "start", "shelf", "room")
+    return placed.select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("stop"))
 
 
 def document_at(places: DataFrame, catalog: DataFrame, pos: str = "pos") -> DataFrame:
@@ -61,7 +56,9 @@ def document_at(places: DataFrame, catalog: DataFrame, pos: str = "pos") -> Data
     reaching = catalog.select(F.explode(F.sequence(F.floor(F.col("start") / width) + 1, F.greatest(F.floor(F.col("start") / width) + 1, F.floor(F.col("stop") / width)))).alias("range"), "start", "stop", "doc_id")
     reaching = reaching.where(F.col("range") * width <= F.col("stop")).select((F.col("range") * width).alias("at"), F.col("doc_id").alias("doc"), F.col("start").alias("first"), F.lit(None).cast("long").alias(pos), "range")
     order = Window.partitionBy("range").orderBy("at", F.col(pos).isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.unionByName(reaching).select(pos, F.last("doc", ignorenulls=True).over(order).alias("doc_id"), F.last("first", ignorenulls=True).over(order).alias("start"))
+    # a document without an id is one as well, so the two are carried together
+    known = F.last(F.when(F.col("first").isNotNull(), F.struct("doc", "first")), ignorenulls=True).over(order)
+    filled = both.unionByName(reaching).select(pos, known.alias("d")).select(pos, F.col("d.doc").alias("doc_id"), F.col("d.first").alias("start"))
     return filled.where(F.col(pos).isNotNull()).select(pos, "doc_id", (F.col(pos) - F.col("start")).alias("offset"))
 
 

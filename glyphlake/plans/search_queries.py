@@ -389,10 +389,10 @@ def class_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9a-f]{12}|[0-9]{6}')")
 def class_run_prune(spark: SparkSession, d: str) -> DataFrame:
-    """The runs let few documents through; the pattern then decides."""
-    needed = indexes.required_runs("[0-9a-f]{12}|[0-9]{6}")
-    docs = indexes.with_runs(table(spark, d, "documents"), sorted({n for a in needed for n, _ in a}))
-    return docs.where(indexes.survives(needed)).where(Pattern("[0-9a-f]{12}|[0-9]{6}").matches(F.col("text"))).select("doc_id")
+    """The persisted runs let few documents through; the pattern then decides."""
+    needed, docs = indexes.required_runs("[0-9a-f]{12}|[0-9]{6}"), table(spark, d, "documents")
+    some = indexes.stored_runs(docs, d).where(indexes.survives(needed)).select("doc_id")
+    return docs.join(some, "doc_id", "left_semi").where(Pattern("[0-9a-f]{12}|[0-9]{6}").matches(F.col("text"))).select("doc_id")
 
 
 # scalars

@@ -196,9 +196,22 @@ def best_lines(spark: SparkSession, d: str) -> DataFrame:
 GRAMS = "grams AS (SELECT DISTINCT doc_id, substr(text, CAST(i AS BIGINT), 3) AS trigram FROM documents, LATERAL (SELECT unnest(generate_series(1, length(text) - 2)) AS i))"
 
 
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    """The persisted index of the documents: built by the first query that needs it."""
+    return indexes.stored_postings(table(spark, d, "documents"), d)
+
+
+@query(f"WITH {GRAMS} SELECT count(*) AS postings, count(DISTINCT trigram) AS trigrams, count(DISTINCT doc_id) AS documents FROM grams")
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """What the persisted index holds."""
+    per = _postings(spark, d).groupBy("trigram").agg(F.count(F.lit(1)).alias("n"))
+    documents = _postings(spark, d).select("doc_id").distinct().agg(F.count(F.lit(1)).alias("documents"))
+    return per.agg(F.sum("n").alias("postings"), F.count(F.lit(1)).alias("trigrams")).crossJoin(documents)  # one row each
+
+
 @query(f"WITH {GRAMS} SELECT trigram, count(*) AS df FROM grams GROUP BY trigram")
 def trigram_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return indexes.frequencies(indexes.postings(table(spark, d, "documents")))
+    return indexes.frequencies(_postings(spark, d))
 
 
 @query(f"WITH {GRAMS} SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id")
@@ -208,27 +221,27 @@ def document_trigrams(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {GRAMS} SELECT doc_id FROM grams WHERE trigram IN ('Lic', 'ice', 'cen', 'ens', 'nse') GROUP BY doc_id HAVING count(*) = 5")
 def trigram_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return indexes.candidates_literal(indexes.postings(table(spark, d, "documents")), "License")
+    return indexes.candidates_literal(_postings(spark, d), "License")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(text, 'License')")
 def trigram_verified(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    found = indexes.candidates_literal(indexes.postings(docs), "License")
+    found = indexes.candidates_literal(_postings(spark, d), "License")
     return indexes.verify(docs, found, Pattern("License", fixed=True)).select("doc_id")
 
 
 @query(f"""WITH {GRAMS}, g AS (SELECT doc_id, bool_or(trigram = 'Lic') AS a, bool_or(trigram = 'ice') AS b, bool_or(trigram = 'GNU') AS c, bool_or(trigram = 'ver') AS e FROM grams GROUP BY doc_id)
 SELECT doc_id FROM g WHERE ((a AND b) OR c) AND e""")
 def boolean_plan_candidates(spark: SparkSession, d: str) -> DataFrame:
-    rows = indexes.postings(table(spark, d, "documents"))
+    rows = _postings(spark, d)
     return indexes.candidates_cnf(rows, [[["Lic", "ice"], ["GNU"]], [["ver"]]])
 
 
 @query("SELECT doc_id FROM documents WHERE contains(text, 'qz') OR contains(text, '@') OR length(text) < 3")
 def short_needle_candidates(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    rows = indexes.postings(docs)
+    rows = _postings(spark, d)
     narrowed = indexes.candidates_short(rows, docs, "qz").union(indexes.candidates_short(rows, docs, "@")).distinct()
     kept = docs.join(narrowed, "doc_id", "left_semi")
     return kept.where(F.contains("text", F.lit("qz")) | F.contains("text", F.lit("@")) | (F.length("text") < 3)).select("doc_id")
@@ -472,7 +485,24 @@ def planned_search(spark: SparkSession, d: str) -> DataFrame:
     from . import prefilter
 
     docs = table(spark, d, "documents")
-    return prefilter.search(docs, Pattern("(GNU|MIT) (General|License)[a-z ]*[A-Z]"), postings=indexes.postings(docs)).select("doc_id")
+    return prefilter.search(docs, Pattern("(GNU|MIT) (General|License)[a-z ]*[A-Z]"), postings=_postings(spark, d)).select("doc_id")
+
+
+TRICKY = (r"\<the\>", "[[:punct:]]{3}", "[a[bc]]x", r"\b{start}the", "[a-z--[aeiou]]{5}", r"\[0-9]{2}", r"\d{5}", "(?i:LICENSE)", "Licen[cs]e|GNU")
+
+
+@query(r"""SELECT doc_id, n AS pattern FROM documents, (VALUES (0, '\bthe\b'), (1, '[[:punct:]]{3}'), (2, '[abc]x'), (3, '\bthe'), (4, '[b-df-hj-np-tv-z]{5}'), (5, '\[0-9\]{2}'), (6, '[0-9]{5}'), (7, '(?i)license'),
+(8, 'Licen[cs]e|GNU')) p(n, re) WHERE CASE WHEN n = 0 THEN regexp_matches(text, '(^|[^\pL\pM\p{Nd}\p{Pc}])the([^\pL\pM\p{Nd}\p{Pc}]|$)') WHEN n = 3 THEN regexp_matches(text, '(^|[^\pL\pM\p{Nd}\p{Pc}])the') ELSE regexp_matches(text, re) END""")
+def planned_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns whose spelling is easily misread, each through the index, the runs and the guard."""
+    from . import prefilter
+
+    docs = table(spark, d, "documents").join(indexes.stored_runs(table(spark, d, "documents"), d), "doc_id")
+    out = None
+    for n, text in enumerate(TRICKY):
+        part = prefilter.search(docs, Pattern(text), postings=_postings(spark, d), runs=True).select("doc_id", F.lit(n).alias("pattern"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(None)

@@ -77,11 +77,31 @@ def clean(spark: SparkSession) -> int:
             path = jvm.org.apache.hadoop.fs.Path(name)
             gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
             _written.remove((owner, name))
+    for k in [k for k in _kept if k[0] == app]:
+        del _kept[k]
     return gone
 
 
-def global_rank(df: DataFrame, order: list, out: str, label: str = "rank") -> DataFrame:
-    """Rows with their place, from 0, in a total order: sorted by ranges, counted by range, and added up.
+_kept: dict[tuple[str, str], str] = {}
+
+
+def kept(spark: SparkSession, key: str, make) -> DataFrame:
+    """A table that an application writes once, in the shared checkpoint folder, and reads from then on.
+
+    make(path) writes it; key names what it is made from."""
+    ship(spark)
+    app = spark.sparkContext.applicationId
+    if (app, key) not in _kept:
+        path = f"{checkpoint_root(spark)}/glyphlake-kept-{uuid.uuid4().hex}"
+        make(path)
+        _kept[app, key] = path
+        _written.append((app, path))
+    return spark.read.parquet(_kept[app, key])
+
+
+def global_rank(df: DataFrame, order: list, out: str, label: str = "rank", size: str | None = None) -> DataFrame:
+    """Rows with their place, from 0, in a total order: sorted by ranges, counted by range, and added up.  With size, the
+    place is the sum of that column over the rows before.
 
     The sorted rows are written with their range and place in it, so that both readings see the same; the table of
     range sizes has a row a range."""
@@ -91,6 +111,10 @@ def global_rank(df: DataFrame, order: list, out: str, label: str = "rank") -> Da
     part, place = "__part", "__place"
     ranged = df.orderBy(*order).select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(place))
     placed = materialize(ranged, label)
-    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.col(place)
+    if size is not None:
+        inner = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        placed, before = placed.withColumn("__before", F.coalesce(F.sum(size).over(inner), F.lit(0))), F.col("__before")
+    sizes = placed.groupBy(part).agg((F.count(F.lit(1)) if size is None else F.sum(size)).alias("__n"))
     starts = sizes.select(F.col(part).alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    return placed.join(F.broadcast(starts), F.col(part) == F.col("__p")).withColumn(out, F.col("__start") + F.col(place)).drop(part, place, "__p", "__start")
+    return placed.join(F.broadcast(starts), F.col(part) == F.col("__p")).withColumn(out, F.col("__start") + before).drop(part, place, "__p", "__start", "__before")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.patterns import Pattern
-from ..operators.indexes import postings
+from ..operators.indexes import postings, publish, published
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -30,10 +30,10 @@ class IndexKeeper:
     root: str
 
     def current(self) -> tuple[int, DataFrame | None, DataFrame | None]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        target = published(self.spark, self.root)
+        if target is None:
             return -1, None, None
-        number = self.spark.read.parquet(f"{self.root}/current").first()["number"]
+        number = int(target.rpartition("-")[2])
         return number, self.spark.read.parquet(f"{self.root}/postings-{number}"), self.spark.read.parquet(f"{self.root}/docs-{number}")
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
@@ -50,7 +50,7 @@ class IndexKeeper:
             kept = docs.join(gone, "doc_id", "left_anti").unionByName(kept)
         new_rows.sortWithinPartitions("trigram", "doc_id").write.mode("overwrite").parquet(f"{self.root}/postings-{batch_id}")
         kept.write.mode("overwrite").parquet(f"{self.root}/docs-{batch_id}")
-        self.spark.createDataFrame([(batch_id,)], "number long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/current")
+        publish(self.spark, self.root, f"{self.root}/postings-{batch_id}")
 
     def follow(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
         return changes.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -58,7 +58,7 @@ def test_needles_and_substrings(docs):
 
 def test_places_of_a_shelf(docs):
     known = texts(docs)
-    catalog = substrings.shelf(docs, parts=7)
+    catalog = substrings.shelf(docs)
     whole = "".join(known[k] + "\0" for k in sorted(known))
     got = {r.doc_id: (r.start, r.stop) for r in catalog.collect()}
     assert all(whole[a:b] == known[k] for k, (a, b) in got.items())
@@ -96,7 +96,7 @@ def test_class_runs_only_prune(spark):
     for pattern in ("[0-9]{3}", r"\d{2}[A-Z]{2}", "[a-z]{4}|[0-9]{4}", "(a|b)+", "[ab]+_?"):
         kept = {r.doc_id for r in frame.where(indexes.survives(indexes.required_runs(pattern))).collect()}
         assert {i for i, t in rows if regex.search(pattern, t)} <= kept
-    assert indexes.required_runs("(a|b)+") == []
+    assert indexes.required_runs("(a|b)*") == [] and dict(indexes.required_runs("(a|b)+")[0])["hex"] == 1
     one = frame.where("doc_id = 0").first()
     assert one.run_digit == max((len(x) for x in regex.findall("[0-9]+", rows[0][1])), default=0)
 
@@ -261,3 +261,11 @@ def test_symbols(spark):
 
 def test_declared_schemas():
     assert len(schemas.SCHEMAS) == 22 and all(len(s) <= 64 for _, s in schemas.SCHEMAS.values())
+
+
+def test_a_shelf_keeps_documents_without_an_id_and_far_ids(spark):
+    docs = spark.createDataFrame([(None, "ab"), (5, "abc"), (2**40, "x"), (7, ""), (None, None)], "doc_id long, text string")
+    rows = sorted(tuple(r) for r in substrings.shelf(docs).select("start", "stop", "doc_id").collect())
+    assert rows[:3] == [(0, 3, 5), (4, 4, 7), (5, 6, 2**40)] and [r[2] for r in rows[3:]] == [None, None] and rows[3][0] == 7
+    asked = substrings.document_at(spark.createDataFrame([(0,), (4,), (6,), (7,)], "pos long"), substrings.shelf(docs)).collect()
+    assert sorted((r.pos, r.doc_id, r.offset) for r in asked if r.pos < 7) == [(0, 5, 0), (4, 7, 0), (6, 2**40, 1)] and [r.doc_id for r in asked if r.pos == 7] == [None]
