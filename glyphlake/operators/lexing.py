@@ -5,11 +5,11 @@ These run as Arrow functions and table functions over whole documents; the rules
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CODE, COMMENT, LITERAL = 0, 1, 2
@@ -78,24 +78,19 @@ def tokens(df: DataFrame, rules: Rules, text: str = "text", keep: tuple[str, ...
     return df.select(*keep, F.inline(lex(F.col(text))))
 
 
-def scanner(rules: list[tuple[str, Callable[[str], object] | None]]) -> Callable[[str], tuple[list, str]]:
-    """A lexer with actions on one text: results of the actions (None drops a token) and the rest that no rule matched."""
-    compiled = Rules(tuple(p for p, _ in rules)).compiled()
-
-    def run(text: str) -> tuple[list, str]:
-        out, at = [], 0
-        while at < len(text):
-            found = longest_at(compiled, text, at)
-            if found is None or found[0] == at:
-                break
-            action = rules[found[1][0]][1]
-            value = action(text[at : found[0]]) if callable(action) else None
-            if value is not None:
-                out.append(value)
-            at = found[0]
-        return out, text[at:]
-
-    return run
+def actions(df: DataFrame, rules: dict[str, str | None], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep..., ordinal, rule, value): the tokens of each text that stand in a row from its start, under their rules' SQL
+    expressions over `token` (None drops a token); a last row with rule -1 holds the rest that no rule matched."""
+    found = tokens(df, Rules(tuple(rules)), text, keep)
+    first_gap = F.min(F.when(F.col("rule") == -1, F.col("start"))).over(Window.partitionBy(*keep))
+    rows = found.withColumn("gap", first_gap)
+    value = F.lit(None).cast("string")
+    for k, made in enumerate(rules.values()):
+        value = F.when(F.col("rule") == k, F.expr(made).cast("string") if made is not None else F.lit(None)).otherwise(value)
+    kept = F.array(*[F.lit(k) for k, made in enumerate(rules.values()) if made is not None]).cast("array<bigint>")
+    done = rows.where(F.col("gap").isNull() | (F.col("start") < F.col("gap"))).where(F.array_contains(kept, F.col("rule"))).select(*keep, F.col("start").alias("ordinal"), "rule", value.alias("value"))
+    rest = rows.where(F.col("start") >= F.col("gap")).groupBy(*keep).agg(F.min("gap").alias("ordinal"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "token"))), lambda x: x["token"]), "").alias("value"))
+    return done.unionByName(rest.select(*keep, "ordinal", F.lit(-1).cast("long").alias("rule"), "value"))
 
 
 @dataclass(frozen=True)
@@ -186,8 +181,14 @@ def spans(df: DataFrame, pattern: str, text: str = "line", keep: tuple[str, ...]
             def of(value: str | None) -> list[dict]:
                 if value is None:
                     return []
-                at = lambda k: len(value[:k].encode())
-                return [{"start": at(m.start()), "end": at(m.end()), "match": m[0]} for m in compiled.finditer(value, start, len(value) if stop is None else stop)]
+                out, place, size = [], 0, 0
+                for m in compiled.finditer(value, start, len(value) if stop is None else stop):
+                    # bytes up to the match are those up to the last one and between
+                    size += len(value[place : m.start()].encode())
+                    place, end = m.end(), size + len(m[0].encode())
+                    out.append({"start": size, "end": end, "match": m[0]})
+                    size = end
+                return out
 
             yield column.map(of)
 

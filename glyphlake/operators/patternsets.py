@@ -139,7 +139,7 @@ def positions(text: Column, needle: str) -> Column:
 def pattern_ends(df: DataFrame, patterns: dict[str, str], text: str = "line", keep: tuple[str, ...] = ("doc_id", "line_number")) -> DataFrame:
     """(keep..., pattern_id, end): every place where some match of a pattern ends, overlapping matches included.
 
-    Arrow batches; the pattern is tried at every start, and every length counts."""
+    Arrow batches; a look-behind reads each pattern backwards from every place, so a text is passed once a pattern."""
     import regex
 
     compiled = list(patterns.values())
@@ -148,19 +148,7 @@ def pattern_ends(df: DataFrame, patterns: dict[str, str], text: str = "line", ke
 
     @F.pandas_udf("array<struct<pattern_id:long,end:long>>")
     def ends(column: pd.Series) -> pd.Series:
-        made = [regex.compile(p) for p in compiled]
-
-        def of(value: str | None) -> list[dict]:
-            out = []
-            for i, p in enumerate(made):
-                found = set()
-                for start in range(len(value or "") + 1):
-                    for end in range(start, len(value or "") + 1):
-                        if p.fullmatch(value or "", start, end):
-                            found.add(end)
-                out += [{"pattern_id": i, "end": e} for e in sorted(found)]
-            return out
-
-        return column.map(of)
+        made = [regex.compile(f"(?<=(?:{p}))") for p in compiled]
+        return column.map(lambda value: [{"pattern_id": i, "end": m.end()} for i, p in enumerate(made) for m in p.finditer(value or "")])
 
     return df.select(*keep, F.inline(ends(F.col(text))))

@@ -348,10 +348,21 @@ def vimgrep_rows(spark: SparkSession, d: str) -> DataFrame:
     return sinks.vimgrep(corpus(spark, d), YEAR)
 
 
-@query(f"""WITH {LINES}, m AS (SELECT path, line_number FROM lines WHERE regexp_matches(line, '[0-9]{{4}}'))
-SELECT path, line_number AS ordinal, 'match' AS kind FROM m UNION ALL SELECT DISTINCT path, 0, 'begin' FROM m UNION ALL SELECT DISTINCT path, 4611686018427387904, 'end' FROM m""")
+@query(f"""WITH {LINES}, m AS (SELECT path, line_number, line, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY path ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM lines),
+h AS (SELECT *, regexp_extract_all(line, '[0-9]{{4}}') AS found, string_split_regex(line, '[0-9]{{4}}')[1] AS gap FROM m WHERE regexp_matches(line, '[0-9]{{4}}'))
+SELECT path, line_number AS ordinal, 'match' AS kind, line || chr(10) AS text, CAST(place AS BIGINT) AS place, CAST(len(found) AS BIGINT) AS matches, CAST(strlen(gap) AS BIGINT) AS first_start, found[1] AS first_match FROM h
+UNION ALL SELECT path, 0, 'begin', NULL, NULL, NULL, NULL, NULL FROM h GROUP BY path
+UNION ALL SELECT path, 4611686018427387904, 'end', NULL, NULL, CAST(sum(len(found)) AS BIGINT), NULL, NULL FROM h GROUP BY path
+UNION ALL SELECT NULL, 4611686018427387905, 'summary', NULL, NULL, CAST(coalesce(sum(len(found)), 0) AS BIGINT), NULL, NULL FROM h""")
 def json_records(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.json_records(corpus(spark, d), YEAR).select("path", "ordinal", F.get_json_object("record", "$.type").alias("kind"))
+    of = lambda path: F.get_json_object("record", path)
+    spans = F.from_json(of("$.data.submatches"), "array<struct<match:struct<text:string>,start:int,end:int>>")
+    rows = sinks.json_records(corpus(spark, d), YEAR)
+    return rows.select(
+        "path", "ordinal", of("$.type").alias("kind"), of("$.data.lines.text").alias("text"), of("$.data.absolute_offset").cast("long").alias("place"),
+        F.coalesce(of("$.data.stats.matches").cast("long"), F.when(spans.isNotNull(), F.size(spans)).cast("long")).alias("matches"),
+        spans[0]["start"].cast("long").alias("first_start"), spans[0]["match"]["text"].alias("first_match"),
+    )
 
 
 @query(f"""WITH {LINES}, m AS (SELECT path, line_number, line FROM lines WHERE regexp_matches(line, '[0-9]{{4}}'))
@@ -417,7 +428,12 @@ def comment_lines(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).lines().where(comment_only(F.col("line"))).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+SPACE = "[\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+@query(f"""WITH {LINES}, w AS (SELECT path, line_number, string_split_regex(line, '{SPACE}') AS p FROM lines),
+n AS (SELECT path, line_number, p, unnest(generate_series(2, len(p) - 2)) AS i FROM w)
+SELECT DISTINCT path, line_number FROM n WHERE p[i] = p[i + 1] AND regexp_full_match(p[i], '[a-z]+')""")
 def lookaround_lines(spark: SparkSession, d: str) -> DataFrame:
     """Backtracking patterns are run only where they are allowed."""
     p = Pattern(r"(?<=\s)([a-z]+)\s\1(?=\s)", backtracking=True)

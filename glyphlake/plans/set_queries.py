@@ -92,11 +92,14 @@ def needle_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return Needles(["anan", "www"]).occurrences(table(spark, d, "documents"))
 
 
-@query(None)
+@query(f"""WITH {LINES}, c AS (SELECT doc_id, line, unnest(generate_series(1, length(line) - 1)) AS i FROM lines WHERE contains(line, 'th') OR contains(line, 'an')),
+e AS (SELECT doc_id, 0 AS pattern_id, i + 1 AS "end" FROM c WHERE substr(line, i, 2) = 'th' UNION ALL SELECT doc_id, 0, i + 2 FROM c WHERE regexp_full_match(substr(line, i, 3), 'th[a-z]')
+  UNION ALL SELECT doc_id, 1, i + 1 FROM c WHERE substr(line, i, 2) = 'an')
+SELECT doc_id, CAST(pattern_id AS BIGINT) AS pattern_id, count(*) AS n, CAST(sum("end") AS BIGINT) AS ends FROM e GROUP BY doc_id, pattern_id""")
 def match_ends(spark: SparkSession, d: str) -> DataFrame:
-    """All ends of all matches, on the lines of the benchmark's items."""
-    items = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("line"))
-    return pattern_ends(items, {"th": "th[a-z]?", "an": "an(?:an)*"}, keep=("item_id",))
+    """All ends of all matches on the documents' lines, added up by document."""
+    found = pattern_ends(corpus(spark, d).lines(), {"th": "th[a-z]?", "an": "an(?:an)*"})
+    return found.groupBy("doc_id", "pattern_id").agg(F.count(F.lit(1)).alias("n"), F.sum("end").alias("ends"))
 
 
 @query(f"WITH {DOCS} SELECT d.doc_id, p.pattern_id FROM docs d, (VALUES (0, '[0-9]{{4}}'), (1, 'the of'), (2, 'zz')) p(pattern_id, pattern) WHERE regexp_matches(d.text, p.pattern)")
@@ -405,10 +408,18 @@ def reachability(spark: SparkSession, d: str) -> DataFrame:
 # lexing and kinship
 
 
-@query(None)
+TOKENS = "[A-Za-z]+|[0-9]+[.][0-9]+|[0-9]+|[ \\t\\n]+|[^ \\t\\nA-Za-z0-9]"
+
+
+@query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '(?s){TOKENS}') AS x FROM documents), u AS (SELECT doc_id, unnest(x) AS token, unnest(generate_series(1, len(x))) AS i FROM t),
+v AS (SELECT doc_id, token, coalesce(sum(length(token)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u)
+SELECT doc_id, CAST(CASE WHEN regexp_matches(token, '^[A-Za-z]') THEN 0 WHEN regexp_full_match(token, '[0-9]+') THEN 1 WHEN regexp_matches(token, '^[0-9]') THEN 2 WHEN regexp_matches(token, '^[ \t\n]') THEN 3 ELSE 4 END AS BIGINT) AS rule,
+  count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(length(token)) AS BIGINT) AS size FROM v GROUP BY 1, 2""")
 def longest_match_tokens(spark: SparkSession, d: str) -> DataFrame:
-    rules = lexing.Rules((r"[A-Za-z]+", r"[0-9]+", r"[0-9]+\.[0-9]+", r"\s+", r"[^\sA-Za-z0-9]"))
-    return lexing.tokens(table(spark, d, "benchmark"), rules, keep=("item_id",))
+    """The tokens of all documents, added up by rule."""
+    rules = lexing.Rules((r"[A-Za-z]+", r"[0-9]+", r"[0-9]+\.[0-9]+", r"[ \t\n]+", r"[^ \t\nA-Za-z0-9]"))
+    found = lexing.tokens(table(spark, d, "documents"), rules)
+    return found.groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.sum(F.col("end") - F.col("start")).alias("size"))
 
 
 @query(None)
@@ -416,9 +427,12 @@ def comment_scope(spark: SparkSession, d: str) -> DataFrame:
     return lexing.scoped_matches(table(spark, d, "pages"), "[a-z]+", (lexing.COMMENT,), lexing.FAMILIES["markup"], text="html", keep=("page_id",))
 
 
-@query(None)
+@query("""WITH s AS (SELECT doc_id, regexp_extract_all(text, '[a-z]*th[a-z]*') AS m, string_split_regex(text, '[a-z]*th[a-z]*') AS g FROM documents),
+u AS (SELECT doc_id, unnest(m) AS match, unnest(list_slice(g, 1, len(m))) AS gap, unnest(generate_series(1, len(m))) AS i FROM s WHERE len(m) > 0),
+v AS (SELECT doc_id, match, sum(strlen(gap) + strlen(match)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM u)
+SELECT doc_id, CAST(e - strlen(match) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", match FROM v""")
 def byte_spans(spark: SparkSession, d: str) -> DataFrame:
-    return lexing.spans(table(spark, d, "benchmark"), r"\w*th\w*", text="text", keep=("item_id",))
+    return lexing.spans(table(spark, d, "documents"), "[a-z]*th[a-z]*", text="text", keep=("doc_id",))
 
 
 def _sketches(spark: SparkSession, d: str) -> DataFrame:
@@ -505,7 +519,8 @@ def planned_patterns(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query(None)
+@query("""SELECT * FROM (VALUES ('License', 7, 7, false, false, false, 'License'), ('(GNU|MIT) [A-Z]+', 5, NULL, false, false, false, 'GNU |MIT '), ('[0-9]{4}', 4, 4, false, false, false, ''),
+('a*', 0, NULL, true, false, false, ''), ('^the (cat|dog)s?$', 7, 8, false, true, true, 'the cat|the dog')) t(pattern, "least", "most", nullable, anchored_start, anchored_end, required)""")
 def pattern_facts(spark: SparkSession, d: str) -> DataFrame:
     """What matches of some patterns must contain."""
     from . import prefilter
@@ -563,6 +578,69 @@ def code_units(spark: SparkSession, d: str) -> DataFrame:
     return units.functions(Corpus(code), 1).select("path", "line_start", "line_end", "headline")
 
 
-@query(None)
+@query(f"""WITH {LINES}, w AS (SELECT path, regexp_extract_all(line, '(?:^|\\s)(?:def|fn|func|function|class|struct|enum|trait|interface|type|const)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1) AS defined,
+  unnest(list_distinct(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]{{2,}}'))) AS symbol FROM lines), k AS (SELECT path, symbol, list_contains(defined, symbol) AS defines FROM w),
+uses AS (SELECT DISTINCT symbol, path FROM k WHERE NOT defines), defs AS (SELECT DISTINCT symbol, path FROM k WHERE defines), one AS (SELECT path FROM uses WHERE symbol = 'License'),
+two AS (SELECT u.path, min(u.symbol) AS via FROM one JOIN defs d ON one.path = d.path JOIN uses u ON u.symbol = d.symbol WHERE u.path NOT IN (SELECT path FROM one) GROUP BY u.path)
+SELECT path, 'License' AS via, CAST(1 AS BIGINT) AS hops FROM one UNION ALL SELECT path, via, CAST(2 AS BIGINT) FROM two""")
 def symbol_ripple(spark: SparkSession, d: str) -> DataFrame:
     return kinship.ripple(corpus(spark, d).lines(), "License")
+
+
+@query(f"""WITH {DOCS}, v AS (SELECT CASE doc_id % 4 WHEN 0 THEN 'node_modules/.cache/' WHEN 1 THEN 'x/.git/worktrees/' WHEN 2 THEN 'my.cache/' ELSE '' END || path AS path FROM docs)
+SELECT path, path LIKE 'node_modules/.cache/%' OR path LIKE 'x/.git/worktrees/%' AS mirror FROM v""")
+def mirror_paths(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.paths import is_mirror
+
+    heads = F.element_at(F.array(*[F.lit(x) for x in ("node_modules/.cache/", "x/.git/worktrees/", "my.cache/", "")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    paths = corpus(spark, d).df.select(F.concat(heads, F.col("path")).alias("path"))
+    return paths.select("path", is_mirror(F.col("path")).alias("mirror"))
+
+
+@query("SELECT doc_id, contains(text, '(c)') AS a, contains(text, 'e.g. [x]') AS b, contains(text, 'a+b') AS c, contains(text, '. ') AS d FROM documents")
+def escaped_literals(spark: SparkSession, d: str) -> DataFrame:
+    """Texts made expressions that match only themselves."""
+    from ..functions import matching as M
+
+    found = {n: Pattern(M.escape(x)).matches(F.col("text")) for n, x in (("a", "(c)"), ("b", "e.g. [x]"), ("c", "a+b"), ("d", ". "))}
+    return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in found.items()])
+
+
+@query("""SELECT o_orderkey, (SELECT i FROM (SELECT unnest(generate_series(0, 62)) AS i) WHERE (o_custkey * 2654435761) >> i & 1 = 1 ORDER BY i LIMIT 1 OFFSET 2) AS third FROM orders""")
+def bit_selects(spark: SparkSession, d: str) -> DataFrame:
+    """The place of the third one of a bit set."""
+    from ..functions import succinct
+
+    return table(spark, d, "orders").select("o_orderkey", succinct.select(F.col("o_custkey") * F.lit(2654435761), 2).alias("third"))
+
+
+@query("""WITH s AS (SELECT doc_id, regexp_extract_all(substr(text, 1, 60), '[a-z]+') AS m, string_split_regex(substr(text, 1, 60), '[a-z]+') AS g FROM documents WHERE regexp_matches(substr(text, 1, 60), '[a-z]')),
+u AS (SELECT doc_id, unnest(m) AS match, unnest(list_slice(g, 1, len(m))) AS gap, unnest(generate_series(1, len(m))) AS i FROM s),
+v AS (SELECT doc_id, match, sum(length(gap) + length(match)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM u)
+SELECT doc_id, CAST(e - length(match) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", match FROM v""")
+def window_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Matches within the first sixty characters, with their spans."""
+    from ..functions import matching as M
+
+    return table(spark, d, "documents").select("doc_id", F.inline(M.finditer("[a-z]+", stop=60)(F.col("text")))).drop("groups")
+
+
+@query(f"""WITH {DOCS} SELECT path, md5(text) AS digest, CAST(length(text) AS BIGINT) AS size FROM docs WHERE doc_id % 50 = 0""")
+def standard_input(spark: SparkSession, d: str) -> DataFrame:
+    """Documents held by the caller, laid into a corpus as rows."""
+    held = [tuple(r) for r in corpus(spark, d).df.where("doc_id % 50 = 0").select("doc_id", "path", "text").toLocalIterator()]
+    rows = Corpus.from_rows(spark, held).df
+    return rows.select("path", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("size"))
+
+
+@query("""WITH q AS (SELECT item_id, text FROM benchmark WHERE item_id % 50 = 0), g AS (SELECT DISTINCT item_id, substr(text, CAST(i AS BIGINT), 32) AS piece FROM q, LATERAL (SELECT unnest(generate_series(1, length(text) - 31)) AS i))
+SELECT item_id, doc_id, count(*) AS pieces FROM g JOIN documents d ON contains(d.text, g.piece) GROUP BY ALL""")
+def quoted_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many 32-character pieces of each query item stand in each document: queries are the items with ids divisible by 50."""
+    pieces = table(spark, d, "benchmark").where("item_id % 50 = 0 and length(text) >= 32")
+    pieces = pieces.select("item_id", F.explode(F.sequence(F.lit(1), F.length("text") - 31)).alias("i"), "text").select("item_id", F.expr("substring(text, i, 32)").alias("piece")).distinct()
+    # every document gives its pieces once a distinct one; only those of the queries, a stated set, are kept
+    wanted = [r["piece"] for r in pieces.select("piece").distinct().toLocalIterator()]
+    docs = table(spark, d, "documents")
+    found = docs.select("doc_id", F.explode(F.array_intersect(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{32}))"), F.lit(1))), F.array(*[F.lit(w) for w in wanted]))).alias("piece")) if wanted else docs.select("doc_id", F.lit("").alias("piece")).limit(0)
+    return found.join(pieces, "piece").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..corpus import Corpus
+from ..corpus import Corpus, line_grid
 from ..functions.patterns import Pattern
-from ..operators.search import matching_lines, with_position
+from ..operators.search import matching_lines, with_context
 
 SOFT_BUDGET, HARD_BUDGET = 100 << 10, 256 << 20
 
@@ -30,14 +30,39 @@ def vimgrep(corpus: Corpus, pattern: Pattern) -> DataFrame:
     return rows.select(F.concat_ws(":", "path", "line_number", column.cast("string"), "line").alias("value"))
 
 
-def json_records(corpus: Corpus, pattern: Pattern) -> DataFrame:
-    """(path, ordinal, record): begin, match and end records of each file that matches, as JSON."""
-    lines = with_position(matching_lines(corpus, pattern), pattern)
-    match = F.to_json(F.struct(F.lit("match").alias("type"), F.struct(F.col("path"), F.col("line_number"), F.col("column"), F.col("line").alias("text")).alias("data")))
-    per = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    begin = per.select("path", F.lit(0).cast("long").alias("ordinal"), F.to_json(F.struct(F.lit("begin").alias("type"), F.struct("path").alias("data"))).alias("record"))
-    end = per.select("path", F.lit(2**62).cast("long").alias("ordinal"), F.to_json(F.struct(F.lit("end").alias("type"), F.struct("path", F.col("n").alias("matched_lines")).alias("data"))).alias("record"))
-    return begin.unionByName(lines.select("path", F.col("line_number").alias("ordinal"), match.alias("record"))).unionByName(end)
+def submatches(line: Column, pattern: Pattern) -> Column:
+    """The matches on a line as (match, start, end), in bytes from 0; empty ones are left out."""
+    java = pattern.java()
+    found, gaps = F.regexp_extract_all(line, F.lit(f"({java})"), F.lit(1)), F.split(line, java, -1)
+    size = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.octet_length(x))
+
+    def span(match: Column, k: Column) -> Column:
+        start = size(F.slice(gaps, F.lit(1), k + 1)) + size(F.slice(found, F.lit(1), k))
+        return F.struct(F.struct(match.alias("text")).alias("match"), start.alias("start"), (start + F.octet_length(match)).alias("end"))
+
+    return F.transform(F.filter(found, lambda m: m != ""), span)
+
+
+def json_records(corpus: Corpus, pattern: Pattern, before: int = 0, after: int = 0) -> DataFrame:
+    """(path, ordinal, record): begin, match, context and end records of each file that matches, and a last summary
+    (path null), as JSON.  Offsets and spans are in bytes, a file's statistics stand in its end record."""
+    rows = with_context(corpus.lines(), pattern.matches(F.col("line")), before, after) if before or after else matching_lines(corpus, pattern).withColumn("kind", F.lit("match"))
+    grid = line_grid(corpus.lines()).select("doc_id", "line_number", F.col("start").alias("absolute_offset"))
+    lines = rows.select("doc_id", "path", "line_number", "line", "kind").join(grid, ["doc_id", "line_number"])
+    own = F.when(F.col("kind") == "match", submatches(F.col("line"), pattern)).otherwise(F.array().cast("array<struct<match:struct<text:string>,start:int,end:int>>"))
+    lines = lines.withColumn("submatches", own)
+    text = F.struct(F.concat("line", F.lit("\n")).alias("text")).alias("lines")
+    of = F.struct(F.struct(F.col("path").alias("text")).alias("path"), text, "line_number", "absolute_offset", "submatches")
+    body = lines.select("path", F.col("line_number").alias("ordinal"), F.to_json(F.struct(F.col("kind").alias("type"), of.alias("data"))).alias("record"))
+    per = lines.where("kind = 'match'").groupBy("path").agg(F.count(F.lit(1)).alias("matched_lines"), F.sum(F.size("submatches")).alias("matches"))
+    name = F.struct(F.struct(F.col("path").alias("text")).alias("path"))
+    begin = per.select("path", F.lit(0).cast("long").alias("ordinal"), F.to_json(F.struct(F.lit("begin").alias("type"), name.alias("data"))).alias("record"))
+    stats = F.struct(F.struct(F.col("path").alias("text")).alias("path"), F.struct("matched_lines", "matches").alias("stats"))
+    end = per.select("path", F.lit(2**62).cast("long").alias("ordinal"), F.to_json(F.struct(F.lit("end").alias("type"), stats.alias("data"))).alias("record"))
+    total = per.agg(F.count(F.lit(1)).alias("searches_with_match"), F.coalesce(F.sum("matched_lines"), F.lit(0)).alias("matched_lines"), F.coalesce(F.sum("matches"), F.lit(0)).alias("matches"))
+    summary = F.struct(F.lit("summary").alias("type"), F.struct(F.struct("searches_with_match", "matched_lines", "matches").alias("stats")).alias("data"))
+    last = total.select(F.lit(None).cast("string").alias("path"), F.lit(2**62 + 1).cast("long").alias("ordinal"), F.to_json(summary).alias("record"))
+    return begin.unionByName(body).unionByName(end).unionByName(last)
 
 
 def within_budget(rows: DataFrame, size: Column, order: list[str], budget: int, group: str) -> DataFrame:

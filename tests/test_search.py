@@ -114,3 +114,14 @@ def test_members(spark):
 def test_manifest_does_not_depend_on_order(spark):
     df = spark.range(100).withColumn("x", F.col("id") * 2)
     assert sinks.manifest(df).first() == sinks.manifest(df.repartition(7)).first() != sinks.manifest(df.where("id > 0")).first()
+
+
+def test_json_has_context_spans_and_a_summary(spark):
+    import json
+
+    small = Corpus.from_rows(spark, [(1, "a", "é x\nnone\nab éab\nlast"), (2, "b", "nothing")])
+    rows = [json.loads(r.record) for r in sinks.json_records(small, Pattern("ab"), before=1).orderBy(F.col("path").asc_nulls_last(), "ordinal").collect()]
+    assert [r["type"] for r in rows] == ["begin", "context", "match", "end", "summary"]
+    data = rows[2]["data"]
+    assert data["absolute_offset"] == 10 and data["lines"]["text"] == "ab éab\n" and [(m["match"]["text"], m["start"], m["end"]) for m in data["submatches"]] == [("ab", 0, 2), ("ab", 5, 7)]
+    assert rows[1]["data"]["submatches"] == [] and rows[3]["data"]["stats"] == {"matched_lines": 1, "matches": 2} and rows[4]["data"]["stats"]["searches_with_match"] == 1

@@ -158,7 +158,8 @@ def test_lexer(spark):
     assert lexing.longest_at(rules.compiled(), "if", 0) == (2, [0, 1]) and lexing.longest_at(rules.compiled(), "if", 0, frozenset([1])) == (2, [1])
     assert lexing.longest_at(lexing.Rules((r"a|ab|abc", r"ab?")).compiled(), "xabcd", 1) == (4, [0])
     assert lexing.shortest_at(rules.compiled(), "12", 0) == (1, [2])
-    assert lexing.scanner([(r"\d+", int), (r"\s+", None), (r"[a-z]+", str.upper)])("ab 12 ?x") == (["AB", 12], "?x")
+    acted = lexing.actions(spark.createDataFrame([(1, "ab 12 ?x 3"), (2, "7 z"), (3, "")], "doc_id long, text string"), {r"\d+": "cast(token as int) + 1", r"\s+": None, r"[a-z]+": "upper(token)"})
+    assert sorted(tuple(r) for r in acted.collect()) == [(1, 0, 2, "AB"), (1, 3, 0, "13"), (1, 6, -1, "?x 3"), (2, 0, 0, "8"), (2, 2, 2, "Z")]
 
 
 def test_comment_spans(spark):
