@@ -189,3 +189,15 @@ def test_language_scores_do_not_depend_on_partitions_or_columns(spark):
     docs = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "doc_id long, text string, lang string, words string, id int, score string")
     one, many = ({repr(tuple(r)) for r in langid.language(d).collect()} for d in (docs.coalesce(1), docs.orderBy("text").repartition(7)))
     assert one == many
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    docs, labels, _ = labelled(spark, 200)
+    rng = random.Random(2)
+    clean, toxic = (" ".join(cases.words(rng, 60_000).split()[:60_000]) for _ in range(2))
+    toxic = toxic + " vile zorking zorkish vile zorkable vile"
+    more = spark.createDataFrame([(9000, clean, "en", "s", 1, "f"), (9001, toxic, "en", "s", 1, "f"), (9002, clean.upper().replace(" ", "!! "), "en", "s", 1, "f")], docs.schema)
+    found = {r.doc_id: r.score for r in toxicity.toxicity(docs.unionByName(more), labels).collect()}
+    assert found[9001] > found[9000]
+    found = {r.doc_id: r.predicted for r in quality.quality(docs.unionByName(more), labels).collect()}
+    assert (found[9000], found[9002]) == (1, 0)

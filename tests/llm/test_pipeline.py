@@ -5,6 +5,8 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from glyphlake.llm import decontam, mixing, quality  # noqa: E402
 
+from . import cases  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -34,3 +36,22 @@ def test_run_on_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_take_awkward_rows_and_any_columns(spark, tmp_path):
+    docs = cases.frame(spark).withColumns({"label": F.lit(1), "node": F.lit("x"), "y": F.lit(2), "__h": F.lit(3), "__own": F.lit(4), "m": F.create_map(F.lit("k"), F.lit(1))})
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(12)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "two words"), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path)).cache()
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert (out.columns == docs.columns) == (name != "shards")
+        found = out.groupBy("doc_id", "text").count().collect()
+        assert len(found) <= docs.select("doc_id", "text").distinct().count() + docs.select("source").distinct().count()
+        if name == "near_copies":
+            assert {r.doc_id for r in found} == {None, *range(13), 17, 18, 21, 22, 23, 24} - {17} and sum(r["count"] for r in found if r.doc_id is not None) == len([r for r in found if r.doc_id is not None])
+        if name == "benchmarks":
+            assert out.count() == rows - docs.where("text = 'two words'").count()
+        if name == "shards":
+            assert out.count() == rows and out.select("shard", "slot").distinct().count() == rows
