@@ -90,3 +90,48 @@ def closure(edges: DataFrame, ring: Semiring = BOOLEAN, rounds: int = 30) -> Dat
             return new
         paths = new
     raise RuntimeError(f"no fixed point after {rounds} rounds")
+
+
+def fold(nodes: DataFrame, edges: DataFrame, gather: Callable[[Column], Column], combine: Callable[[Column, Column], Column], rounds: int = 200) -> DataFrame:
+    """(node, value) folded over a graph without cycles: a node's own value (nodes: node, value) combined with what its
+    children's values (edges: parent, child) gather to, null for a leaf.  A round settles the nodes all of whose children are."""
+    kind = nodes.schema["value"].dataType.simpleString()
+    links = materialize(edges.select("parent", "child").distinct().join(nodes.select(F.col("node").alias("child")), "child", "left_semi"), "links")
+    open_, done = materialize(nodes.select("node", "value"), "open"), None
+    for _ in range(rounds):
+        waiting = links.join(open_.select(F.col("node").alias("child")), "child", "left_semi").select(F.col("parent").alias("node")).distinct()
+        ready = open_.join(waiting, "node", "left_anti")
+        if done is not None:
+            heard = links.join(done.select(F.col("node").alias("child"), F.col("value").alias("v")), "child").groupBy(F.col("parent").alias("node")).agg(gather(F.col("v")).alias("below"))
+            ready = ready.join(heard, "node", "left")
+        else:
+            ready = ready.withColumn("below", F.lit(None).cast(kind))
+        settled = materialize(ready.select("node", combine(F.col("value"), F.col("below")).cast(kind).alias("value")), "settled")
+        if settled.isEmpty():
+            raise ValueError("the graph has a cycle")
+        done = settled if done is None else materialize(done.unionByName(settled), "done")
+        open_ = materialize(open_.join(settled.select("node"), "node", "left_anti"), "open")
+        if open_.isEmpty():
+            return done
+    raise RuntimeError(f"nodes are open after {rounds} rounds")
+
+
+def refine(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, block): the coarsest partition that respects labels (nodes: node, label) and moves (edges: src, kind, dst),
+    so that nodes of a block lead by the same kinds to the same blocks; a block is named by its least node.
+
+    A node's moves are compared by their number and the sum of their hashes, which combines before rows move."""
+    blocks = nodes.groupBy("label").agg(F.min("node").alias("block"))
+    state = materialize(nodes.join(blocks, nodes["label"].eqNullSafe(blocks["label"])).select("node", "block"), "blocks")
+    count = state.select("block").distinct().count()
+    for _ in range(rounds):
+        moves = edges.join(state.select(F.col("node").alias("dst"), F.col("block").alias("to")), "dst").select(F.col("src").alias("node"), "kind", "to").distinct()
+        marks = moves.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("kind", "to").cast("decimal(38,0)")).alias("h"))
+        signed = state.join(marks, "node", "left").fillna({"n": 0}).withColumn("h", F.coalesce("h", F.lit(0)))
+        least = signed.groupBy("block", "n", "h").agg(F.min("node").alias("new"))
+        state = materialize(signed.join(least, ["block", "n", "h"]).select("node", F.col("new").alias("block")), "blocks")
+        now = state.select("block").distinct().count()
+        if now == count:
+            return state
+        count = now
+    raise RuntimeError(f"blocks still split after {rounds} rounds")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -53,6 +54,39 @@ class PatternSet:
     def anywhere(self) -> str:
         return either(list(self.patterns.values()))
 
+    def roll_call(self, df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """(keep..., pattern_id) of the patterns found in each text, for large sets: one pass of an automaton over all
+        texts that matches must contain names the patterns that are possible, and only these are tried."""
+        import ahocorasick
+
+        from ..plans import prefilter
+
+        needed: dict[str, set[int]] = {}
+        always = []
+        for i, p in enumerate(self.patterns.values()):
+            facts = prefilter.facts(p.text, unicode=p.unicode) if not p.fixed else None
+            clauses = [frozenset([p.text])] if p.fixed else facts.clauses()
+            if p.folds or p.verbose or not clauses:
+                always.append(i)
+                continue
+            for literal in max(clauses, key=lambda c: (min(map(len, c)), -len(c))):
+                needed.setdefault(literal, set()).add(i)
+
+        @F.pandas_udf("array<int>")
+        def possible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            automaton = ahocorasick.Automaton()
+            for literal, numbers in needed.items():
+                automaton.add_word(literal, numbers)
+            automaton.make_automaton()
+            for column in batches:
+                yield column.map(lambda value: sorted(set(always).union(*(numbers for _, numbers in automaton.iter(value or "")))) if needed else always)
+
+        rows = df.select(*keep, F.col(text).alias("__text"), F.explode(possible(F.col(text))).alias("__i"))
+        found = F.lit(False)
+        for i, p in enumerate(self.patterns.values()):
+            found = F.when(F.col("__i") == i, p.matches(F.col("__text"))).otherwise(found)
+        return rows.where(found).select(*keep, F.col("__i").cast("long").alias("pattern_id"))
+
     def buffer_mask(self, corpus: Corpus) -> DataFrame:
         """As document_mask, with the whole text as one subject, so that matches may cross lines."""
         return corpus.df.select("doc_id", "path", self.which(F.col("text")).alias("patterns")).where(F.size("patterns") > 0)

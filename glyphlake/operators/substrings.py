@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +32,63 @@ def locate(docs: DataFrame, needle: str) -> DataFrame:
     return Needles([needle]).occurrences(docs).select("doc_id", F.col("start").alias("pos"))
 
 
+def suffix_ranks(codes: np.ndarray) -> np.ndarray:
+    """The suffix array of a text of code points, by doubling the compared length."""
+    n = len(codes)
+    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+    size = 1
+    while True:
+        behind = np.full(n, -1, np.int64)
+        behind[: max(0, n - size)] = rank[size:]
+        order = np.lexsort((behind, rank))
+        step = (np.diff(rank[order]) != 0) | (np.diff(behind[order]) != 0)
+        rank[order] = np.concatenate([[0], np.cumsum(step)]) if n else order
+        if not n or rank[order[-1]] == n - 1:
+            return order
+        size *= 2
+
+
+class Codex:
+    """A text's suffixes in order, as its last column: strings are counted from their last character backwards."""
+
+    def __init__(self, text: str):
+        codes = np.concatenate([np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1, [0]])
+        self.order = suffix_ranks(codes)
+        self.last = codes[self.order - 1]
+        self.sorted, starts = np.unique(self.last, return_index=False, return_counts=True)
+        self.first = dict(zip(self.sorted.tolist(), (np.cumsum(starts) - starts).tolist(), strict=True))
+        # places of each character in the last column, ascending: how many stand before a row
+        self.places = {c: np.flatnonzero(self.last == c) for c in self.sorted.tolist()}
+
+    def whole(self) -> tuple[int, int]:
+        return 0, len(self.last)
+
+    def extend(self, rows: tuple[int, int], character: str) -> tuple[int, int]:
+        """The rows that begin with a character and what the given rows begin with."""
+        c = ord(character) + 1
+        if c not in self.first:
+            return 0, 0
+        low, high = np.searchsorted(self.places[c], rows).tolist()
+        return self.first[c] + low, self.first[c] + high
+
+    def count(self, needle: str) -> int:
+        rows = self.whole()
+        for character in reversed(needle):
+            rows = self.extend(rows, character)
+        return rows[1] - rows[0]
+
+
+def backward_counts(docs: DataFrame, needles: list[str]) -> DataFrame:
+    """(doc_id, needle_id, n): how often each string stands in each text, for many strings over one index a text."""
+
+    @F.pandas_udf("array<long>")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            yield column.map(lambda text: [c.count(x) for c in [Codex(text or "")] for x in needles])
+
+    return docs.select("doc_id", F.posexplode(count("text")).alias("needle_id", "n")).where("n > 0")
+
+
 def extract(text: Column, start: int, length: int) -> Column:
     return F.substring(text, start + 1, length)
 

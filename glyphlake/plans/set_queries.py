@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..corpus import Corpus, line_grid
 from ..functions.patterns import Pattern
-from ..operators import graphs, indexes, kinship, lexing, ranking, substrings
+from ..operators import graphs, indexes, kinship, lexing, ranking, snapshots, substrings
 from ..operators.patternsets import Needles, PatternSet, RowPlan, from_table, pattern_ends
 from ..streaming.fresh import latest
 from .registry import DOCS, LINES, corpus, query, table
@@ -644,3 +644,77 @@ def quoted_items(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     found = docs.select("doc_id", F.explode(F.array_intersect(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{32}))"), F.lit(1))), F.array(*[F.lit(w) for w in wanted]))).alias("piece")) if wanted else docs.select("doc_id", F.lit("").alias("piece")).limit(0)
     return found.join(pieces, "piece").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"))
+
+
+# snapshots, codecs, folds
+
+
+@query(f"""WITH {DOCS}, p AS (SELECT string_split(path, '/') AS parts, strlen(text) AS size FROM docs), a AS (SELECT unnest(generate_series(0, len(parts) - 1)) AS k, parts, size FROM p)
+SELECT array_to_string(list_slice(parts, 1, k), '/') AS folder, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM a GROUP BY 1""")
+def folder_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.folders(corpus(spark, d).census()).select("folder", "files", "bytes")
+
+
+@query(f"WITH {AMENDED} SELECT coalesce(d.doc_id, a.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'delete' WHEN d.doc_id IS NULL THEN 'insert' ELSE 'update' END AS op FROM documents d FULL JOIN amended a USING (doc_id) WHERE d.text IS DISTINCT FROM a.text")
+def change_journal(spark: SparkSession, d: str) -> DataFrame:
+    docs, amendment = _amendment(spark, d)
+    return snapshots.journal(docs, amendment.overlay(docs))
+
+
+@query("""WITH b AS (SELECT DISTINCT date_trunc('hour', ts) AS s FROM events WHERE event_type = 'error')
+SELECT start FROM (SELECT unnest(generate_series((SELECT min(s) FROM b), (SELECT max(s) FROM b), INTERVAL 1 HOUR)) AS start) WHERE start NOT IN (SELECT s FROM b)""")
+def clean_hours(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.clean_windows(table(spark, d, "events").where("event_type = 'error'"), "ts")
+
+
+@query("""WITH u AS (SELECT DISTINCT event_type, user_id FROM events), g AS (SELECT event_type, user_id - coalesce(lag(user_id) OVER (PARTITION BY event_type ORDER BY user_id), 0) AS gap FROM u)
+SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 ELSE 4 END) AS BIGINT) AS bytes, true AS same FROM g GROUP BY event_type""")
+def packed_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The users of each kind of event as a posting list of bytes, and read back."""
+    from ..functions import codecs
+
+    lists = table(spark, d, "events").groupBy("event_type").agg(F.sort_array(F.collect_set("user_id")).alias("users"))
+    rows = lists.select("event_type", "users", codecs.packed("users").alias("raw"))
+    return rows.select("event_type", F.size("users").cast("long").alias("n"), F.octet_length("raw").cast("long").alias("bytes"), (codecs.unpacked("raw") == F.col("users")).alias("same"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.n_nationkey AS p, b.n_nationkey AS c FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey * 2 + 1 OR b.n_nationkey = a.n_nationkey + 5),
+r(node, below, n) AS (SELECT n_nationkey, n_nationkey, 1 FROM nation UNION SELECT r.node, e.c, r.n + 1 FROM r JOIN e ON r.below = e.p)
+SELECT node, CAST(max(n) AS BIGINT) AS value FROM r GROUP BY node""")
+def folded_depths(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes on the longest way down from each, as a fold over a graph without cycles."""
+    keys = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
+    edges = keys.select(F.col("node").alias("parent"), F.explode(F.array(F.col("node") * 2 + 1, F.col("node") + 5)).alias("child"))
+    return graphs.fold(keys.withColumn("value", F.lit(1).cast("long")), edges, F.max, lambda own, below: own + F.coalesce(below, F.lit(0)))
+
+
+@query("""WITH c AS (SELECT unnest(string_split(text, '')) AS c FROM documents)
+SELECT CASE WHEN regexp_matches(c, '[a-z]') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(c, '[aeiou]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(c, '[0-9a-f]') THEN 4 ELSE 0 END AS classes, count(*) AS n FROM c WHERE c <> '' GROUP BY 1""")
+def character_minterms(spark: SparkSession, d: str) -> DataFrame:
+    """How many characters stand in each part of the coarsest partition by three classes."""
+    from ..functions import syntax
+
+    sets = [syntax.read(x).parts[0].of for x in ("[a-z]", "[aeiou]", "[0-9a-f]")]
+    code = F.ascii("c")
+    mark = F.lit(0)
+    for bits, intervals in syntax.minterms(sets):
+        inside = F.lit(False)
+        for a, b in intervals:
+            inside = inside | code.between(a, b)
+        mark = F.when(inside, bits).otherwise(mark)
+    counts = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(mark.alias("classes")).agg(F.sum("n").alias("n"))
+
+
+@query(f"SELECT doc_id, 0 AS needle_id, count(*) AS n FROM ({_places('theth')}) GROUP BY doc_id UNION ALL SELECT doc_id, 1, count(*) FROM ({_places('anan')}) GROUP BY doc_id")
+def backward_search(spark: SparkSession, d: str) -> DataFrame:
+    return substrings.backward_counts(table(spark, d, "documents"), ["theth", "anan", "zzzzqq"])
+
+
+CALLED = [f"{a}{b}th" for a in "aeio" for b in "nrst"] + ["License", "Copyright"]
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS pattern_id FROM documents, (SELECT unnest({CALLED}) AS x, unnest(generate_series(1, {len(CALLED)})) AS i) WHERE contains(text, x) UNION ALL SELECT doc_id, {len(CALLED)} FROM documents WHERE regexp_matches(text, 'the [a-z]+ing') UNION ALL SELECT doc_id, {len(CALLED) + 1} FROM documents WHERE regexp_matches(text, '[0-9]{{5}}')")
+def roll_call(spark: SparkSession, d: str) -> DataFrame:
+    called = {x: Pattern(x, fixed=True) for x in CALLED} | {"ing": Pattern("the [a-z]+ing"), "five": Pattern("[0-9]{5}")}
+    return PatternSet(called).roll_call(table(spark, d, "documents"))
