@@ -35,45 +35,112 @@ COMMENT_OPENERS = ("//", "--", "#", "/*", "*", "<!--")
 MIRROR_ROOTS = ("target/semver-checks/", ".git/worktrees/", ".cache/", "node_modules/.cache/")
 GENERATED_HEAD_BYTES, GENERATED_HEAD_LINES = 2048, 8
 
-#: File types: globs, and whether they are code, docs or data.  A session can add to or clear them.
+#: Globs of the common file types, and whether they are code, docs or data.  A session can add to or clear
+#: them; read_types() takes any larger table as a parameter.
 TYPES: dict[str, tuple[str, tuple[str, ...]]] = {
+    "awk": ("code", ("*.awk",)),
+    "bash": ("code", ("*.sh", "*.bash")),
+    "bat": ("code", ("*.bat",)),
     "c": ("code", ("*.c", "*.h", "*.H", "*.cats")),
+    "clojure": ("code", ("*.clj", "*.cljc", "*.cljs", "*.cljx")),
+    "cmake": ("code", ("*.cmake", "CMakeLists.txt")),
+    "coffeescript": ("code", ("*.coffee",)),
     "cpp": ("code", ("*.cpp", "*.cc", "*.cxx", "*.hpp", "*.hh", "*.hxx", "*.inl")),
-    "cs": ("code", ("*.cs",)),
+    "cs": ("code", ("*.cs", "*.csx")),
     "css": ("code", ("*.css", "*.scss")),
+    "cython": ("code", ("*.pyx", "*.pxi", "*.pxd")),
+    "dart": ("code", ("*.dart",)),
+    "docker": ("code", ("*Dockerfile*",)),
+    "elisp": ("code", ("*.el",)),
+    "elixir": ("code", ("*.ex", "*.eex", "*.exs", "*.heex", "*.leex", "*.livemd")),
+    "elm": ("code", ("*.elm",)),
+    "erlang": ("code", ("*.erl", "*.hrl")),
+    "fish": ("code", ("*.fish",)),
+    "fsharp": ("code", ("*.fs", "*.fsx", "*.fsi")),
     "go": ("code", ("*.go",)),
+    "graphql": ("code", ("*.graphql", "*.graphqls", "*.gql")),
+    "groovy": ("code", ("*.groovy", "*.gradle")),
+    "haskell": ("code", ("*.hs", "*.lhs", "*.cpphs", "*.c2hs", "*.hsc")),
     "html": ("code", ("*.htm", "*.html", "*.ejs")),
     "java": ("code", ("*.java", "*.jsp", "*.jspx", "*.properties")),
     "js": ("code", ("*.js", "*.jsx", "*.vue", "*.cjs", "*.mjs")),
+    "julia": ("code", ("*.jl",)),
     "kotlin": ("code", ("*.kt", "*.kts")),
+    "less": ("code", ("*.less",)),
+    "lisp": ("code", ("*.el", "*.jl", "*.lisp", "*.lsp", "*.sc", "*.scm")),
     "lua": ("code", ("*.lua",)),
-    "make": ("code", ("[Gg][Nn][Uu]makefile", "[Mm]akefile", "[Mm]akefile.*", "*.mk", "*.mak")),
-    "perl": ("code", ("*.perl", "*.pl", "*.PL", "*.pm", "*.t")),
-    "php": ("code", ("*.php", "*.phtml")),
+    "make": ("code", ("[Gg][Nn][Uu]makefile", "[Mm]akefile", "[Gg][Nn][Uu]makefile.am", "[Mm]akefile.am", "[Gg][Nn][Uu]makefile.in", "[Mm]akefile.in", "Makefile.*", "*.mk", "*.mak")),
+    "matlab": ("code", ("*.m",)),
+    "nix": ("code", ("*.nix",)),
+    "ocaml": ("code", ("*.ml", "*.mli", "*.mll", "*.mly")),
+    "perl": ("code", ("*.perl", "*.pl", "*.PL", "*.plh", "*.plx", "*.pm", "*.t")),
+    "php": ("code", ("*.php", "*.php3", "*.php4", "*.php5", "*.php7", "*.php8", "*.pht", "*.phtml")),
+    "prolog": ("code", ("*.pl", "*.pro", "*.prolog", "*.P")),
+    "protobuf": ("code", ("*.proto",)),
+    "ps": ("code", ("*.cdxml", "*.ps1", "*.ps1xml", "*.psd1", "*.psm1")),
     "py": ("code", ("*.py", "*.pyi")),
-    "ruby": ("code", ("*.rb", "*.gemspec", "Gemfile", "Rakefile")),
+    "r": ("code", ("*.R", "*.r", "*.Rmd", "*.rmd", "*.Rnw", "*.rnw")),
+    "ruby": ("code", ("config.ru", "Gemfile", ".irbrc", "Rakefile", "*.gemspec", "*.rb", "*.rbw", "*.rake")),
     "rust": ("code", ("*.rs",)),
-    "scala": ("code", ("*.scala", "*.sbt")),
-    "sh": ("code", ("*.sh", "*.bash", "*.zsh", "*.fish")),
+    "sass": ("code", ("*.sass", "*.scss")),
+    "scala": ("code", ("*.scala", "*.sbt", "*.sc")),
+    "sh": ("code", (
+        ".env", ".login", ".logout", ".profile", "profile", ".bash_login", "bash_login", ".bash_logout", "bash_logout", ".bash_profile", "bash_profile", ".bashrc", "bashrc", "*.bashrc",
+        ".cshrc", "*.cshrc", ".kshrc", "*.kshrc", ".tcshrc", ".zshenv", "zshenv", ".zlogin", "zlogin", ".zlogout", "zlogout", ".zprofile", "zprofile", ".zshrc",
+        "zshrc", "*.bash", "*.csh", "*.env", "*.ksh", "*.sh", "*.tcsh", "*.zsh", "*.ash", "*.dash",
+    )),
+    "sml": ("code", ("*.sml", "*.sig")),
+    "solidity": ("code", ("*.sol",)),
     "sql": ("code", ("*.sql", "*.psql")),
+    "svelte": ("code", ("*.svelte", "*.svelte.ts")),
     "swift": ("code", ("*.swift",)),
+    "tcl": ("code", ("*.tcl",)),
     "ts": ("code", ("*.ts", "*.tsx", "*.cts", "*.mts")),
-    "zig": ("code", ("*.zig",)),
+    "verilog": ("code", ("*.v", "*.vh", "*.sv", "*.svh")),
+    "vhdl": ("code", ("*.vhd", "*.vhdl")),
+    "vim": ("code", ("*.vim", ".vimrc", ".gvimrc", "vimrc", "gvimrc", "_vimrc", "_gvimrc")),
+    "vue": ("code", ("*.vue",)),
+    "zig": ("code", ("*.zig", "*.zon")),
     "asciidoc": ("docs", ("*.adoc", "*.asc", "*.asciidoc")),
     "license": ("docs", ("LICENSE*", "LICENCE*", "COPYING*", "NOTICE*", "UNLICENSE*")),
-    "markdown": ("docs", ("*.markdown", "*.md", "*.mdown", "*.mkd", "*.mdx")),
+    "markdown": ("docs", ("*.markdown", "*.md", "*.mdown", "*.mdwn", "*.mkd", "*.mkdn", "*.mdx")),
+    "org": ("docs", ("*.org", "*.org_archive")),
     "readme": ("docs", ("README*", "*README")),
     "rst": ("docs", ("*.rst",)),
-    "tex": ("docs", ("*.tex", "*.ltx", "*.cls", "*.sty", "*.bib")),
-    "txt": ("docs", ("*.txt",)),
+    "tex": ("docs", ("*.tex", "*.ltx", "*.cls", "*.sty", "*.bib", "*.dtx", "*.ins")),
+    "txt": ("docs", ("*.txt", "*.text")),
+    "avro": ("data", ("*.avdl", "*.avpr", "*.avsc")),
     "csv": ("data", ("*.csv", "*.tsv")),
-    "json": ("data", ("*.json", "composer.lock")),
-    "jsonl": ("data", ("*.jsonl", "*.ndjson")),
+    "json": ("data", ("*.json", "composer.lock", "*.sarif", "*.jsonc", "*.json5", "*.ndjson")),
+    "jsonl": ("data", ("*.jsonl",)),
     "log": ("data", ("*.log",)),
+    "svg": ("data", ("*.svg",)),
     "toml": ("data", ("*.toml", "Cargo.lock")),
-    "xml": ("data", ("*.xml", "*.xsd", "*.xsl", "*.svg")),
+    "xml": ("data", ("*.xml", "*.xml.dist", "*.dtd", "*.xsl", "*.xslt", "*.xsd", "*.xjb", "*.rng", "*.sch", "*.xhtml")),
     "yaml": ("data", ("*.yaml", "*.yml")),
-}
+}
+
+
+def read_types(text: str, base: dict[str, tuple[str, tuple[str, ...]]] | None = None) -> dict[str, tuple[str, tuple[str, ...]]]:
+    """Types from lines `name: glob, glob` with an optional genus behind a bar, added to a base (the common types).
+
+    A line `name:include:other,other` takes other types' globs over, one of `-name` removes a type; # begins a comment."""
+    out = dict(TYPES if base is None else base)
+    for line in (raw.split("#", 1)[0].strip() for raw in text.splitlines()):
+        if not line:
+            continue
+        if line.startswith("-"):
+            out.pop(line[1:].strip(), None)
+            continue
+        name, _, rest = line.partition(":")
+        rest, _, kind = rest.partition("|")
+        old_kind, old = out.get(name.strip(), ("code", ()))
+        if rest.startswith("include:"):
+            more = tuple(g for other in rest[8:].split(",") for g in out[other.strip()][1])
+        else:
+            more = tuple(g.strip() for g in rest.split(",") if g.strip())
+        out[name.strip()] = (kind.strip() or old_kind, tuple(dict.fromkeys((*old, *more))))
+    return out
 
 
 def brace_expand(glob: str) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -462,17 +464,25 @@ def similar_documents(spark: SparkSession, d: str) -> DataFrame:
     return kinship.similar(known, known.orderBy("path"))
 
 
+def _asked(spark: SparkSession, d: str) -> list[tuple]:
+    """The stated queries of the coding searches: the benchmark items whose ids are divisible by 50."""
+    items = table(spark, d, "benchmark").where("item_id % 50 = 0 and text is not null").select("item_id", "text")
+    return [(r["item_id"], r["text"]) for r in items.orderBy("item_id").toLocalIterator()]
+
+
 @query(None)
 def recalled_documents(spark: SparkSession, d: str) -> DataFrame:
-    """What the first benchmark item costs given each document."""
-    text = table(spark, d, "benchmark").orderBy("item_id").first()["text"]
-    return kinship.recall(corpus(spark, d).df, text)
+    """What each query item costs given each document."""
+    docs = corpus(spark, d).df
+    parts = [kinship.recall(docs, text).select(F.lit(item).alias("item_id"), "*") for item, text in _asked(spark, d)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(None)
 def quoted_phrases(spark: SparkSession, d: str) -> DataFrame:
-    text = table(spark, d, "benchmark").orderBy("item_id").first()["text"]
-    return kinship.quote(corpus(spark, d).df, text, least=8)
+    docs = corpus(spark, d).df
+    parts = [kinship.quote(docs, text, least=8).select(F.lit(item).alias("item_id"), "*") for item, text in _asked(spark, d)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(f"""WITH {LINES}, w AS (SELECT DISTINCT path, line_number, unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]{{2,}}')) AS symbol FROM lines)

@@ -7,6 +7,7 @@ predicates on paths, applied before bodies are decoded.
 from __future__ import annotations
 
 import codecs
+import re
 import datetime
 from collections.abc import Callable, Iterator
 
@@ -82,16 +83,36 @@ def legible(content: Column) -> Column:
     return F.when(two == "FFFE", strip(F.decode(content, "UTF-16LE"))).when(two == "FEFF", strip(F.decode(content, "UTF-16BE"))).otherwise(strip(F.make_valid_utf8(content.cast("string"))))
 
 
+#: Fixed by the encoding standard: labels that mean another encoding than their name says.
+LABELS = {
+    "ascii": "cp1252", "us-ascii": "cp1252", "iso-8859-1": "cp1252", "iso8859-1": "cp1252", "latin1": "cp1252", "l1": "cp1252", "x-cp1252": "cp1252", "iso-8859-9": "cp1254", "latin5": "cp1254", "l5": "cp1254",
+    "iso-8859-11": "cp874", "tis-620": "cp874", "dos-874": "cp874", "gb2312": "gbk", "chinese": "gbk", "x-gbk": "gbk", "euc-kr": "cp949", "korean": "cp949", "ks_c_5601-1987": "cp949", "ksc5601": "cp949",
+    "shift_jis": "cp932", "shift-jis": "cp932", "sjis": "cp932", "x-sjis": "cp932", "ms_kanji": "cp932", "windows-31j": "cp932", "big5": "big5hkscs", "big5-hkscs": "big5hkscs", "cn-big5": "big5hkscs", "x-x-big5": "big5hkscs",
+    "utf-16": "utf-16le", "ucs-2": "utf-16le", "unicode": "utf-16le", "iso-10646-ucs-2": "utf-16le", "csunicode": "utf-16le", "unicodefeff": "utf-16le", "unicodefffe": "utf-16be", "unicode-1-1-utf-8": "utf-8", "x-mac-roman": "mac-roman",
+    "macintosh": "mac-roman", "mac": "mac-roman", "csmacintosh": "mac-roman", "x-mac-cyrillic": "mac-cyrillic", "x-mac-ukrainian": "mac-cyrillic", "iso-8859-8-i": "iso-8859-8", "logical": "iso-8859-8", "visual": "iso-8859-8", "x-euc-jp": "euc-jp",
+}
+
+
+def from_label(label: str) -> str:
+    """The codec that an encoding label stands for: white space around it and case don't matter; windows-, cp and x-cp
+    names are one family."""
+    name = label.strip("\t\n\f\r ").lower()
+    name = LABELS.get(name) or re.sub(r"^(?:windows-|x-cp|cp)(?=125\d$|874$|866$)", "cp", name)
+    return codecs.lookup(name).name
+
+
 def decode(content: Column, encoding: str) -> Column:
-    """By label; encodings that the JVM functions lack go through an Arrow function."""
-    label = encoding.lower()
-    builtin = {"utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "US-ASCII", "ascii": "US-ASCII", "iso-8859-1": "ISO-8859-1", "utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE", "utf-32": "UTF-32"}
-    if label in ("utf-8", "utf8"):
-        return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\\A\\x{FEFF}", "")
-    if label in builtin and label not in ("iso-8859-1",):
-        return F.regexp_replace(F.decode(content, builtin[label]), "\\A\\x{FEFF}", "")
-    # fixed by the encoding standard: these labels mean windows-1252
-    known = codecs.lookup("cp1252" if label in ("iso-8859-1", "latin1", "l1") else encoding).name
+    """By label, a mark at the start left out; encodings that the JVM functions lack go through an Arrow function."""
+    known = from_label(encoding)
+    strip = lambda t: F.regexp_replace(t, "\\A\\x{FEFF}", "")
+    if known == "utf-8":
+        return strip(F.make_valid_utf8(content.cast("string")))
+    if known in ("utf-16-le", "utf-16-be"):
+        # a mark says more than the label
+        two, own = F.hex(F.substring(content, 1, 2)), "UTF-16LE" if known.endswith("le") else "UTF-16BE"
+        return strip(F.when(two == "FFFE", F.decode(content, "UTF-16LE")).when(two == "FEFF", F.decode(content, "UTF-16BE")).otherwise(F.decode(content, own)))
+    if known.startswith("utf-32"):
+        return strip(F.decode(content, "UTF-32"))
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -24,33 +24,53 @@ def latest(changes: DataFrame) -> DataFrame:
 
 @dataclass
 class IndexKeeper:
-    """A postings table in generations: a batch writes the next one and then moves the pointer to it."""
+    """A postings table in segments: a batch adds a segment of its changed documents and the ids that it replaces or
+    deletes, and then moves the pointer, which names the segments.  A row counts if no later segment names its document.
+    When there are `most` segments, they are written as one."""
 
     spark: SparkSession
     root: str
+    most: int = 8
 
-    def current(self) -> tuple[int, DataFrame | None, DataFrame | None]:
+    def segments(self) -> list[str]:
+        """Names of the segments, oldest first; the last one ends in the number of the last batch."""
         target = published(self.spark, self.root)
-        if target is None:
+        return target.split(",") if target else []
+
+    def _live(self, kind: str, names: list[str]) -> DataFrame:
+        out = gone = None
+        for k, name in enumerate(names):
+            rows = self.spark.read.parquet(f"{self.root}/{kind}-{name}").withColumn("__segment", F.lit(k))
+            ids = self.spark.read.parquet(f"{self.root}/gone-{name}").withColumn("__last", F.lit(k))
+            out, gone = (rows, ids) if out is None else (out.unionByName(rows), gone.unionByName(ids))
+        last = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.max("__last").alias("__last"))
+        kept = out.join(last, F.col("doc_id") == F.col("__id"), "left").where(F.col("__last").isNull() | (F.col("__segment") >= F.col("__last")))
+        return kept.drop("__segment", "__id", "__last")
+
+    def current(self) -> tuple[int, DataFrame | None, DataFrame | None]:
+        names = self.segments()
+        if not names:
             return -1, None, None
-        number = int(target.rpartition("-")[2])
-        return number, self.spark.read.parquet(f"{self.root}/postings-{number}"), self.spark.read.parquet(f"{self.root}/docs-{number}")
+        return int(names[-1].rpartition("-")[2]), self._live("postings", names), self._live("docs", names)
+
+    def _write(self, name: str, rows: DataFrame, docs: DataFrame, gone: DataFrame) -> None:
+        rows.repartitionByRange("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id").write.mode("overwrite").parquet(f"{self.root}/postings-{name}")
+        docs.write.mode("overwrite").parquet(f"{self.root}/docs-{name}")
+        gone.write.mode("overwrite").parquet(f"{self.root}/gone-{name}")
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """Upserts and deletions of a batch; a batch that comes again replaces what it wrote."""
-        number, rows, docs = self.current()
-        if number >= batch_id:
+        """Upserts and deletions of a batch; one that comes again after it was published is left out."""
+        names = self.segments()
+        if names and int(names[-1].rpartition("-")[2]) >= batch_id:
             return
         last = latest(batch)
         kept = last.where(~F.col("deleted")).select("doc_id", "path", "text")
-        new_rows = postings(kept)
-        if rows is not None:
-            gone = last.select("doc_id")
-            new_rows = rows.join(gone, "doc_id", "left_anti").select("trigram", "doc_id").unionByName(new_rows)
-            kept = docs.join(gone, "doc_id", "left_anti").unionByName(kept)
-        new_rows.sortWithinPartitions("trigram", "doc_id").write.mode("overwrite").parquet(f"{self.root}/postings-{batch_id}")
-        kept.write.mode("overwrite").parquet(f"{self.root}/docs-{batch_id}")
-        publish(self.spark, self.root, f"{self.root}/postings-{batch_id}")
+        self._write(f"batch-{batch_id}", postings(kept), kept, last.select("doc_id"))
+        names = [*names, f"batch-{batch_id}"]
+        if len(names) >= self.most:
+            self._write(f"whole-{batch_id}", self._live("postings", names), self._live("docs", names), last.select("doc_id").limit(0))
+            names = [f"whole-{batch_id}"]
+        publish(self.spark, self.root, ",".join(names))
 
     def follow(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
         return changes.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -66,3 +66,27 @@ def test_live_matches_and_windows(spark, tmp_path):
     assert [(r.doc_id, r.line_number) for r in spark.table("live").collect()] == [(1, 2)]
     events = spark.createDataFrame([(datetime.datetime(2024, 1, 1, 1, 5), "a"), (datetime.datetime(2024, 1, 1, 1, 50), "a"), (datetime.datetime(2024, 1, 1, 2), "b")], "ts timestamp, event_type string")
     assert sorted((r.start.hour, r.event_type, r.n) for r in fresh.windowed_counts(events).collect()) == [(1, "a", 2), (2, "b", 1)]
+
+
+def test_segments_are_written_as_one_and_count_by_their_order(spark, tmp_path):
+    schema, t = "doc_id long, path string, text string, mtime timestamp, deleted boolean", datetime.datetime(2024, 1, 1)
+    keeper, held = fresh.IndexKeeper(spark, str(tmp_path), most=3), {}
+    for k in range(5):
+        rows = [(k, "p", f"text {k}", t, False), (k - 1, "p", f"again {k}", t, False), (k - 2, "p", None, t, True)]
+        keeper.merge(spark.createDataFrame(rows, schema), k)
+        held |= {k: f"text {k}", k - 1: f"again {k}"}
+        held.pop(k - 2, None)
+        number, postings_, docs = keeper.current()
+        assert number == k and {r.doc_id: r.text for r in docs.collect()} == held and len(keeper.segments()) < 3
+        assert {tuple(r) for r in postings_.collect()} == {tuple(r) for r in postings(docs).collect()}
+
+
+def test_labels_and_type_files(spark):
+    from glyphlake.functions import paths
+    from glyphlake.sources import files
+
+    assert [files.from_label(x) for x in (" Latin1\n", "windows-1251", "SJIS", "utf8", "UNICODE", "x-cp1250")] == ["cp1252", "cp1251", "cp932", "utf-8", "utf-16-le", "cp1250"]
+    rows = spark.createDataFrame([(bytearray("“é”".encode("cp1252")),)], "b binary")
+    assert rows.select(files.decode(rows.b, "iso-8859-1").alias("t")).first().t == "“é”"
+    types = paths.read_types("mine: *.mine, *.my | docs\nweb:include:js,css\n-zig\npy: *.pyw  # more")
+    assert types["mine"] == ("docs", ("*.mine", "*.my")) and "*.scss" in types["web"][1] and "zig" not in types and types["py"][1][-1] == "*.pyw"
