@@ -40,7 +40,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_
     state = materialize(per.select("source", "source_size", weight.alias("weight")), "mix-sources")
     spark = sizes.sparkSession
     total = state.agg(F.sum("source_size")).first()[0] or 0
-    budget = F.lit(int(total) * budget_percent).cast("double") / F.lit(100.0)
+    budget = F.lit(float(int(total) * budget_percent)) / F.lit(100.0)
+    exact = lambda value: F.lit(str(value)).cast("decimal(27,0)")  # noqa: E731  products of sizes and weights are beyond longs
     cap = F.col("source_size") * F.lit(max_epochs)
     clamped = F.lit(False)
     free_weight, clamped_sum, before = 0, 0, -1
@@ -53,8 +54,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_
             break
         before = n
         # clamps only ever grow in number: the level never falls
-        level = (F.lit(int(total) * budget_percent).cast("long") - F.lit(100 * int(clamped_sum)).cast("long")) * F.col("weight")
-        clamped = F.lit(100).cast("long") * cap * F.lit(int(free_weight)).cast("long") < level
+        level = exact(int(total) * budget_percent - 100 * int(clamped_sum)) * F.col("weight").cast("decimal(10,0)")
+        clamped = cap.cast("decimal(27,0)") * F.lit(str(100 * int(free_weight))).cast("decimal(10,0)") < level
     share = F.col("weight") * (budget - F.lit(float(clamped_sum))) / F.lit(float(free_weight or 1))
     target = F.when(clamped if free_weight else F.lit(True), cap.cast("double")).otherwise(share)
     return state.select("source", "source_size", target.cast("double").alias("target"))

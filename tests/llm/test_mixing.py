@@ -74,3 +74,9 @@ def brute_level(sizes):
 def test_no_python_runs_in_the_plan(spark):
     text = mixing.mix(cases.frame(spark))._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text and os.sep
+
+
+def test_targets_of_sizes_whose_products_are_beyond_longs(spark):
+    sizes = [(f"s{k:02d}", 10**16 + k) for k in range(30)]
+    got = mixing.source_targets(spark.createDataFrame(sizes, "source string, size long"), (5, 2, 1), 150, 2).collect()
+    assert sum(r.target for r in got) == pytest.approx(1.5 * sum(n for _, n in sizes)) and all(r.target <= 2 * r.source_size * (1 + 1e-12) for r in got)
