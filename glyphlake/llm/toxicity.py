@@ -8,7 +8,7 @@ less a constant drift; the linear-time scan for all maximal scoring segments the
 passage that is toxic beyond its surroundings.  Chance passages follow an extreme-value law with
 parameters lambda and K, fitted on clean documents; a passage's bits are its score in that law's
 units against the length searched.  A logistic curve over the best passage's and the summed bits,
-fitted on the sample, turns them into a score between 0 and 1.
+fitted on documents that the weights were not learned from, turns them into a score between 0 and 1.
 
 Defined results: a null or empty text has no passage and gets the score of none; copies score alike;
 labels, language, source and doc_id are never read by the scorer.
@@ -33,6 +33,8 @@ from .sampling import held_out, labelled_sample
 SAMPLE_PER_CLASS = 12_000
 #: Documents that a word or beginning must stand in to get log-odds.
 MIN_DOCS = 4
+#: Documents of each class that the last third needs to be kept from the weights.
+LEAST_HELD = 100
 #: The prior counts as this share of the sample's documents.
 PRIOR_SHARE = 0.04
 MARGIN = 3.0
@@ -227,8 +229,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
-    sample = materialize(_without_copies(labelled_sample(docs, labels, label, per_class)), "toxicity-sample")
-    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Word weights from two thirds of the sample; the law of chance segments and the curve from the last third, which
+    the weights don't know, unless that third has few documents of a class."""
+    whole = materialize(_without_copies(labelled_sample(docs, labels, label, per_class)), "toxicity-sample")
+    third = F.pmod(F.crc32("text"), F.lit(3)) == 0
+    counts = whole.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(third.cast("int")).alias("k")).collect()
+    split = len(counts) == 2 and all(r["k"] >= LEAST_HELD for r in counts)
+    sample, held = (whole.where(~third), whole.where(third)) if split else (whole, whole)
+    sizes = {r["y"]: r["n"] - (r["k"] if split else 0) for r in counts}
     if not sizes.get(0) or not sizes.get(1):
         return Model({})
     counted = _word_counts(sample).toArrow()
@@ -243,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class:
     keep = sure[np.lexsort((-(toxic + clean)[sure], -weights[sure]))][:MAX_FEATURES]
     model = Model({names[i]: float(weights[i]) for i in keep})
     # the law of chance segments, on clean documents
-    rows = _segment_rows(sample, model)
+    rows = _segment_rows(held, model)
     clean_rows = [r for r in rows if r[0] == 0]
     hist = Counter()
     for r in clean_rows:
