@@ -113,11 +113,12 @@ def patterns_by_join(spark: SparkSession, d: str) -> DataFrame:
 # joins
 
 
-@query(f"WITH {DOCS}, wanted AS (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, n_chars FROM documents) SELECT path, n_chars FROM docs JOIN wanted USING (path)")
+@query(f"WITH {DOCS}, wanted AS (SELECT DISTINCT 'src' || event_id % 20 || '/' || CASE event_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'es' ELSE 'fr' END || '/' || event_id || '.txt' AS path FROM events) SELECT path, CAST(length(text) AS BIGINT) AS n FROM docs JOIN wanted USING (path)")
 def path_lookup(spark: SparkSession, d: str) -> DataFrame:
-    c = corpus(spark, d).df
-    wanted = c.select("path", "n_chars")
-    return c.select("path").join(wanted, "path")
+    """The documents among many paths asked for, of which most are not there."""
+    lang = F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "es", "fr")]), (F.col("event_id") % 4 + 1).cast("int"))
+    wanted = table(spark, d, "events").select(F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string"), F.lit("/"), lang, F.lit("/"), F.col("event_id").cast("string"), F.lit(".txt")).alias("path")).distinct()
+    return corpus(spark, d).df.join(wanted, "path", "left_semi").select("path", F.length("text").cast("long").alias("n"))
 
 
 @query("""WITH s AS (SELECT doc_id, CAST(coalesce(sum(length(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(length(text) AS BIGINT) AS n FROM documents)
@@ -190,10 +191,12 @@ def shape_frequency(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("path", "line_number", "df", F.round(F.log2(F.col("total") / F.col("df")), 9).alias("bits"))
 
 
-@query(f"WITH {LINES} SELECT path, min(line_number) AS line_number, count(*) AS n FROM lines WHERE regexp_matches(line, '[0-9]{{4}}') GROUP BY path")
+@query(f"WITH {LINES} SELECT path, arg_min(line_number, (CASE WHEN regexp_matches(line, '^[A-Z]') THEN 0 ELSE 1 END, line_number)) AS line_number, count(*) AS n FROM lines WHERE regexp_matches(line, '[0-9]{{4}}') GROUP BY path")
 def best_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Of each file the first matching line that opens a statement, else the first one."""
     lines = corpus(spark, d).lines().where(F.rlike("line", F.lit("[0-9]{4}")))
-    return lines.groupBy("path").agg(F.min_by("line_number", "line_number").alias("line_number"), F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.when(F.rlike("line", F.lit("^[A-Z]")), 0).otherwise(1), F.col("line_number"))
+    return lines.groupBy("path").agg(F.min_by("line_number", order).alias("line_number"), F.count(F.lit(1)).alias("n"))
 
 
 # indexes
