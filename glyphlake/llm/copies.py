@@ -50,7 +50,7 @@ SEEN = 1 << 18
 #: Bits of the sieve of texts whose sets are needed.
 SIEVE = 1 << 22
 #: Sets that are compared with one center by one task.
-SPOKES = 256
+SPOKES = 64
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -418,8 +418,11 @@ def _similar(similarity: float):
 
 def verified(docs: DataFrame, pairs: DataFrame, *, shingle: int, similarity: float, text_col: str) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; a set is moved once for each of its pairs, a center's once a task."""
-    dealt = pairs.withColumn("parts", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("a")) / F.lit(SPOKES)).cast("int"))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    # centers of many pairs, at most a SPOKES-th of the pairs: written, so that Spark knows whether they can be sent
+    large = pairs.groupBy(F.col("a").alias("center")).agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") > SPOKES)
+    large = materialize(large.select("center", F.ceil(F.col("pairs") / F.lit(SPOKES)).cast("int").alias("parts")), "centers")
+    dealt = pairs.join(large, F.col("a") == F.col("center"), "left").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("b"), "parts")).otherwise(F.lit(0)).cast("int"))
+    dealt = dealt.repartition("a", "part")  # else a center's parts would stay together
     dealt = dealt.withColumn("first", F.row_number().over(Window.partitionBy("a", "part").orderBy("b")) == 1)
     spoke = F.struct(F.col("name_b").alias("name"), "b")
     head = F.struct(F.col("name_a").alias("name"), F.lit(None).cast("long").alias("b"))
@@ -429,6 +432,7 @@ def verified(docs: DataFrame, pairs: DataFrame, *, shingle: int, similarity: flo
     rows = needs.join(sets, "name").select("a", "part", "b", "s").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     found = materialize(rows.mapInArrow(_similar(similarity), "a long, b long"), "links")
     release(needs)
+    release(large)
     return found
 
 
