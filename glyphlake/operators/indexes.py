@@ -142,7 +142,7 @@ def longest_run(text: Column, name: str) -> Column:
 
 
 def with_runs(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
-    return docs.withColumns({f"run_{n}": longest_run(F.col("text"), n) for n in names or RUN_CLASSES})
+    return docs.withColumns({f"run_{n}": longest_run(F.col("text"), n) for n in (RUN_CLASSES if names is None else names)})
 
 
 @dataclass(frozen=True)
@@ -201,10 +201,21 @@ def required_runs(pattern: str, unicode: bool = True) -> list[list[tuple[str, in
     while isinstance(tree, syntax.Sequence) and len(tree.parts) == 1:
         tree = tree.parts[0]
     branches = tree.parts if isinstance(tree, syntax.Choice) else (tree,)
-    out = [[(n, best) for n, c in RUN_CLASSES.items() if (best := _runs(b, _members(c)).best)] for b in branches]
+    members = {n: _members(c) for n, c in RUN_CLASSES.items()}
+    out = []
+    for b in branches:
+        least = {n: best for n, c in members.items() if (best := _runs(b, c).best)}
+        # a run of a class is one of every class that holds it
+        implied = {n for n in least for m in least if m != n and least[m] >= least[n] and syntax.common(members[m], members[n]) == members[m]}
+        out.append([(n, best) for n, best in least.items() if n not in implied])
     return out if all(out) else []
 
 
+def run_names(requirements: list[list[tuple[str, int]]]) -> list[str]:
+    """The classes that a prune reads."""
+    return sorted({n for alternative in requirements for n, _ in alternative})
+
+
 def _members(bracket: str) -> syntax.Intervals:
     compiled = re.compile(bracket)
     return syntax.normal([(c, c) for c in range(128) if compiled.fullmatch(chr(c))])
@@ -228,9 +239,10 @@ def stored_postings(docs: DataFrame, key: str) -> DataFrame:
     return kept(docs.sparkSession, f"postings:{key}", lambda path: build(docs, path))
 
 
-def stored_runs(docs: DataFrame, key: str) -> DataFrame:
-    """(doc_id, run_...): the class runs of a corpus, built once an application; a prune reads the columns it needs."""
-    return kept(docs.sparkSession, f"runs:{key}", lambda path: with_runs(docs).select("doc_id", *[f"run_{n}" for n in RUN_CLASSES]).write.parquet(path))
+def stored_runs(docs: DataFrame, key: str, names: list[str] | None = None) -> DataFrame:
+    """(doc_id, run_...): class runs of a corpus, all or those named, built once an application."""
+    chosen = names if names is not None else list(RUN_CLASSES)
+    return kept(docs.sparkSession, f"runs:{key}:{','.join(chosen)}", lambda path: with_runs(docs, chosen).select("doc_id", *[f"run_{n}" for n in chosen]).write.parquet(path))
 
 
 def persist_generation(spark: SparkSession, docs: DataFrame, root: str, generation: str) -> str:

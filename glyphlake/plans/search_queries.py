@@ -402,7 +402,7 @@ def class_runs(spark: SparkSession, d: str) -> DataFrame:
 def class_run_prune(spark: SparkSession, d: str) -> DataFrame:
     """The persisted runs let few documents through; the pattern then decides."""
     needed, docs = indexes.required_runs("[0-9a-f]{12}|[0-9]{6}"), table(spark, d, "documents")
-    some = indexes.stored_runs(docs, d).where(indexes.survives(needed)).select("doc_id")
+    some = indexes.stored_runs(docs, d, indexes.run_names(needed)).where(indexes.survives(needed)).select("doc_id")
     return docs.join(some, "doc_id", "left_semi").where(Pattern("[0-9a-f]{12}|[0-9]{6}").matches(F.col("text"))).select("doc_id")
 
 

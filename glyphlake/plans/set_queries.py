@@ -524,7 +524,8 @@ def planned_patterns(spark: SparkSession, d: str) -> DataFrame:
     """Patterns whose spelling is easily misread, each through the index, the runs and the guard."""
     from . import prefilter
 
-    docs = table(spark, d, "documents").join(indexes.stored_runs(table(spark, d, "documents"), d), "doc_id")
+    names = indexes.run_names([alternative for text in TRICKY for alternative in indexes.required_runs(text)])
+    docs = table(spark, d, "documents").join(indexes.stored_runs(table(spark, d, "documents"), d, names), "doc_id")
     out = None
     for n, text in enumerate(TRICKY):
         part = prefilter.search(docs, Pattern(text), postings=_postings(spark, d), runs=True).select("doc_id", F.lit(n).alias("pattern"))
