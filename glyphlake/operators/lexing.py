@@ -5,8 +5,10 @@ These run as Arrow functions and table functions over whole documents; the rules
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -105,40 +107,24 @@ class Comments:
 FAMILIES = {"c": Comments(), "hash": Comments(("#",), (), ('"', "'")), "sql": Comments(("--",), (("/*", "*/"),), ("'",)), "markup": Comments((), (("<!--", "-->"),), ('"',))}
 
 
-def span_kinds(text: str, syntax: Comments) -> list[tuple[int, int, int]]:
-    """(start, end, kind) runs of code, comments and string literals."""
-    out, at, start = [], 0, 0
+@cache
+def _marked(syntax: Comments) -> re.Pattern:
+    """Comments (group 1) and string literals (group 2), each up to its end or the text's; a literal also ends with its line."""
+    comments = [re.escape(x) + r"[^\n]*" for x in syntax.line] + [f"{re.escape(a)}(?s:.*?)(?:{re.escape(b)}|\\Z)" for a, b in syntax.block]
+    literals = [rf"{q}(?:\\(?s:.|\Z)|[^\\\n{q}])*+{q}?" for q in map(re.escape, syntax.quotes)]
+    return re.compile(f"({'|'.join(comments) or '(?!)'})|({'|'.join(literals) or '(?!)'})")
 
-    def close(to: int) -> None:
-        if to > start:
-            out.append((start, to, CODE))
 
-    while at < len(text):
-        line = next((x for x in syntax.line if text.startswith(x, at)), None)
-        block = next((b for b in syntax.block if text.startswith(b[0], at)), None)
-        quote = next((q for q in syntax.quotes if text.startswith(q, at)), None)
-        if line is not None:
-            close(at)
-            end = text.find("\n", at)
-            end = len(text) if end < 0 else end
-            out.append((at, end, COMMENT))
-        elif block is not None:
-            close(at)
-            end = text.find(block[1], at + len(block[0]))
-            end = len(text) if end < 0 else end + len(block[1])
-            out.append((at, end, COMMENT))
-        elif quote is not None:
-            close(at)
-            end = at + 1
-            while end < len(text) and text[end] not in (quote, "\n"):
-                end += 2 if text[end] == "\\" else 1
-            end = min(len(text), end + (end < len(text) and text[end] == quote))
-            out.append((at, end, LITERAL))
-        else:
-            at += 1
-            continue
-        at = start = end
-    close(len(text))
+def span_kinds(text: str, syntax: Comments) -> list[tuple[int, int, int]]:
+    """(start, end, kind) runs of code, comments and string literals."""
+    out, start = [], 0
+    for m in _marked(syntax).finditer(text):
+        if m.start() > start:
+            out.append((start, m.start(), CODE))
+        out.append((m.start(), m.end(), COMMENT if m.lastindex == 1 else LITERAL))
+        start = m.end()
+    if len(text) > start:
+        out.append((start, len(text), CODE))
     return out
 
 
@@ -203,6 +189,18 @@ def nearest_name(name: str, known: list[str]) -> str | None:
     return near[0][1] if near and (len(near) == 1 or near[0][0] < near[1][0]) else None
 
 
+def nearest_names(name: Column, known: list[str]) -> Column:
+    """Of each name the known one that nearest_name finds; the known names are a constant of the plan."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            found = {n: nearest_name(n, known) for n in column.dropna().unique()}
+            yield column.map(lambda n: found.get(n))
+
+    return run(name)
+
+
 def edit_distance(a: str, b: str) -> int:
     """Optimal string alignment."""
     rows = [list(range(len(b) + 1))]

@@ -50,13 +50,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared checkpoint folder, deleted with what the application has written."""
+    ship(spark)
+    path = f"{checkpoint_root(spark)}/glyphlake-{label}-{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext.applicationId, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
-    ship(spark)
-    path = f"{checkpoint_root(spark)}/glyphlake-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    _written.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
