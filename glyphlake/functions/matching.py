@@ -101,7 +101,7 @@ def sub_with(pattern: str, function: Callable[[object], str], most: int = 0) ->
 def fold_orbit(char: str) -> list[str]:
     """Characters that simple case folding holds to be equal to one, itself included."""
     folded = _simple_fold(char)
-    near = {char, char.lower(), char.upper(), char.title()} | {c for c in map(chr, _FOLDED) if _simple_fold(c) == folded}
+    near = {x for c in (char, folded) for x in (c, c.lower(), c.upper(), c.title())} | {c for c in map(chr, _FOLDED) if _simple_fold(c) == folded}
     return sorted(c for c in near if len(c) == 1 and _simple_fold(c) == folded)
 
 
@@ -118,13 +118,9 @@ def property_ranges(name: str) -> list[tuple[int, int]]:
     """Code point ranges, inclusive, of a general category or script-like property, as the regex library knows it."""
     import regex
 
-    compiled = regex.compile(rf"\p{{{name}}}")
+    runs = regex.compile(rf"\p{{{name}}}+")
     out: list[tuple[int, int]] = []
-    for c in range(0x110000):
-        if 0xD800 <= c <= 0xDFFF or not compiled.match(chr(c)):
-            continue
-        if out and out[-1][1] == c - 1:
-            out[-1] = (out[-1][0], c)
-        else:
-            out.append((c, c))
+    for low, high in ((0, 0xD800), (0xE000, 0x110000)):  # no text has a surrogate by itself
+        every = "".join(map(chr, range(low, high)))
+        out += [(low + m.start(), low + m.end() - 1) for m in runs.finditer(every)]
     return out

@@ -1,6 +1,6 @@
 """All queries that the engine registers, and their SQL."""
 
-from . import search_queries, set_queries  # noqa: F401  they register themselves
+from . import search_queries, set_queries, upkeep_queries  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 

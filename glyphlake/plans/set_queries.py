@@ -427,11 +427,6 @@ def longest_match_tokens(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.sum(F.col("end") - F.col("start")).alias("size"))
 
 
-@query(None)
-def comment_scope(spark: SparkSession, d: str) -> DataFrame:
-    return lexing.scoped_matches(table(spark, d, "pages"), "[a-z]+", (lexing.COMMENT,), lexing.FAMILIES["markup"], text="html", keep=("page_id",))
-
-
 @query("""WITH s AS (SELECT doc_id, regexp_extract_all(text, '[a-z]*th[a-z]*') AS m, string_split_regex(text, '[a-z]*th[a-z]*') AS g FROM documents),
 u AS (SELECT doc_id, unnest(m) AS match, unnest(list_slice(g, 1, len(m))) AS gap, unnest(generate_series(1, len(m))) AS i FROM s WHERE len(m) > 0),
 v AS (SELECT doc_id, match, sum(strlen(gap) + strlen(match)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM u)
@@ -559,14 +554,6 @@ def regex_functions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(None)
-def replaced_by_callback(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions import matching as M
-
-    made = M.sub_with(r"\b[a-z]", lambda m: m[0].upper(), most=3)(F.col("text"))
-    return table(spark, d, "benchmark").select("item_id", made.alias("r")).select("item_id", "r.text", "r.n")
-
-
 @query("SELECT o_orderkey, CAST(bit_count(o_custkey * 2654435761) AS BIGINT) AS ones, CAST(bit_count((o_custkey * 2654435761) & 65535) AS BIGINT) AS below FROM orders")
 def bit_ranks(spark: SparkSession, d: str) -> DataFrame:
     from ..functions import succinct
@@ -582,16 +569,6 @@ def word_ranks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", succinct.WordSet.of(["view", "click", "error"]).rank(F.col("event_type")).alias("place")).fillna(-1, ["place"])
 
 
-@query(None)
-def code_units(spark: SparkSession, d: str) -> DataFrame:
-    """Stretches of text that begin at declaring lines."""
-    from ..operators import units
-
-    # the tables hold prose: a line's first word is made a declaration
-    code = corpus(spark, d).df.select("doc_id", "path", F.regexp_replace("text", r"(?m)^([A-Z][a-z]+) ", "class $1 ").alias("text"))
-    return units.functions(Corpus(code), 1).select("path", "line_start", "line_end", "headline")
-
-
 @query(f"""WITH {LINES}, w AS (SELECT path, regexp_extract_all(line, '(?:^|\\s)(?:def|fn|func|function|class|struct|enum|trait|interface|type|const)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1) AS defined,
   unnest(list_distinct(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]{{2,}}'))) AS symbol FROM lines), k AS (SELECT path, symbol, list_contains(defined, symbol) AS defines FROM w),
 uses AS (SELECT DISTINCT symbol, path FROM k WHERE NOT defines), defs AS (SELECT DISTINCT symbol, path FROM k WHERE defines), one AS (SELECT path FROM uses WHERE symbol = 'License'),
