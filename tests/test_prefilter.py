@@ -108,4 +108,4 @@ def test_columns_like_python(spark):
 
 def test_unicode_facts():
     assert M.fold_orbit("k") == ["K", "k", "K"] and M.fold_orbit("ß") == ["ß", "ẞ"] or M.fold_orbit("ß") == ["ß"]
-    assert M.property_ranges("Nd")[0] == (0x30, 0x39)
+    assert M.property_ranges("Nd")[0] == (0x30, 0x39) and M.property_ranges("Cs") == [] and M.fold_orbit("µ") == ["µ", "Μ", "μ"]

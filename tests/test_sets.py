@@ -270,3 +270,57 @@ def test_a_shelf_keeps_documents_without_an_id_and_far_ids(spark):
     assert rows[:3] == [(0, 3, 5), (4, 4, 7), (5, 6, 2**40)] and [r[2] for r in rows[3:]] == [None, None] and rows[3][0] == 7
     asked = substrings.document_at(spark.createDataFrame([(0,), (4,), (6,), (7,)], "pos long"), substrings.shelf(docs)).collect()
     assert sorted((r.pos, r.doc_id, r.offset) for r in asked if r.pos < 7) == [(0, 5, 0), (4, 7, 0), (6, 2**40, 1)] and [r.doc_id for r in asked if r.pos == 7] == [None]
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.25, 0.5, 0.75])
+def test_pairs_of_any_sets_are_those_of_brute_force(spark, threshold):
+    rng = random.Random(int(threshold * 100))
+    sets = [()]
+    for _ in range(25):
+        base = rng.sample(range(300), rng.randint(1, 40))
+        for _ in range(3):  # and others near it
+            sets.append(tuple(sorted({h if rng.random() > 0.1 else rng.randrange(300) for h in base} | {7})))
+    rows = [(f"p{i:03}", list(s)) for i, s in enumerate(sets)] + [("q", list(sets[5])), (None, [1, 2])]
+    known = spark.createDataFrame(rows, "path string, sketch array<long>")
+    first = {}
+    for i, s in enumerate(sets):
+        if s:
+            first.setdefault(s, f"p{i:03}")
+    want = {}
+    for (s, x), (t, y) in itertools.combinations(first.items(), 2):
+        union = sorted({*s, *t})[: kinship.SKETCH]
+        apart = 1 - len(set(union) & set(s) & set(t)) / len(union)
+        if apart <= threshold:
+            want[min(x, y), max(x, y)] = pytest.approx(apart)
+    assert {(r.a, r.b): r.distance for r in kinship.pairs(known, threshold).collect()} == want
+    if threshold == 0.5:
+        near = kinship.nearest_misses(known.where("path is not null"), 0.25, 0.5).collect()
+        linked = {p for (a, b), d in want.items() if d.expected <= 0.25 for p in (a, b)}
+        alike = [tuple(s) for p, s in rows if p]
+        close = {p for p, s in rows if p and s and (first[tuple(s)] in linked or alike.count(tuple(s)) > 1)}
+        assert {r.path for r in near} == {p for p, _ in rows if p} - close
+        for r in near:
+            met = sorted((d.expected, b if a == r.path else a) for (a, b), d in want.items() if r.path in (a, b))
+            assert (r.nearest is None) == (not met) and (not met or r.distance == pytest.approx(met[0][0]))
+
+
+def test_span_kinds_end_with_text_and_line():
+    kinds = lambda text, family: lexing.span_kinds(text, lexing.FAMILIES[family])
+    assert kinds('a "b\\"c" // d\ne /* f', "c") == [(0, 2, 0), (2, 8, 2), (8, 9, 0), (9, 13, 1), (13, 16, 0), (16, 20, 1)]
+    assert kinds("x 'y\nz'", "hash") == [(0, 2, 0), (2, 4, 2), (4, 6, 0), (6, 7, 2)] and kinds("", "c") == []
+
+
+def test_packed_items_are_the_greedy_ones(spark):
+    rng = random.Random(4)
+    docs = [(f"d{i}", "".join(rng.choice("ab ") for _ in range(40))) for i in range(30)]
+    query = "".join(rng.choice("ab ") for _ in range(60))
+    chunks = [query[i : i + 6] for i in range(0, 55, 6)]
+    open_chunks, want = set(range(len(chunks))), []
+    while len(want) < 10:
+        gain, path = min((-8.0 * sum(len(chunks[k]) for k in open_chunks if chunks[k] in t), p) for p, t in docs)
+        if not gain:
+            break
+        open_chunks -= {k for k in open_chunks if chunks[k] in dict(docs)[path]}
+        want.append((path, -gain))
+    got = kinship.pack(spark.createDataFrame(docs, "path string, text string"), query, chunk=6).collect()
+    assert [r.marginal_bits for r in got] == [g for _, g in want] and got[0].path == want[0][0]
