@@ -435,10 +435,10 @@ def byte_spans(spark: SparkSession, d: str) -> DataFrame:
     return lexing.spans(table(spark, d, "documents"), "[a-z]*th[a-z]*", text="text", keep=("doc_id",))
 
 
-def _sketches(spark: SparkSession, d: str) -> DataFrame:
+def _sketches(spark: SparkSession, d: str, with_structure: bool = False) -> DataFrame:
     from ..storage import materialize
 
-    return materialize(kinship.sketches(corpus(spark, d).df), "sketches")
+    return materialize(kinship.sketches(corpus(spark, d).df, with_structure), "sketches")
 
 
 @query(None)
@@ -448,7 +448,7 @@ def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def kinship_echoes(spark: SparkSession, d: str) -> DataFrame:
-    return kinship.echoes(_sketches(spark, d))
+    return kinship.echoes(_sketches(spark, d, with_structure=True))
 
 
 @query(None)
