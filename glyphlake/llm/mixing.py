@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import global_rank
 from .common import SPACE_CLASS, WORD_CLASS, materialize
 
 WEIGHTS = (5, 2, 1)
@@ -35,8 +36,8 @@ def word_count(text: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, target) from (source, size).  One row a source from the first aggregation on."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # over sources, not documents
-    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    per = global_rank(per, [F.col("source").asc_nulls_last()], "rank", "mix-ranks")  # in ranges: there may be a source a host
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
     state = materialize(per.select("source", "source_size", weight.alias("weight")), "mix-sources")
     spark = sizes.sparkSession
     total = state.agg(F.sum("source_size")).first()[0] or 0
