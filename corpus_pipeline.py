@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphlake.llm import decontam, mixing, quality, sharding, simhash
-from glyphlake.llm.common import materialize, release, table
+from glyphlake.llm.common import bound_batches, materialize, release, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts.  Null and empty texts score alike; repeated rows share their fate;
     an empty table stays empty, and without labels of both kinds all documents stay."""
+    bound_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -21,12 +22,14 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Found by SimHash anchors and verified by whole sets; what anchors leave apart is joined exactly.  Null and empty
     texts are one group, rows without an id all stay, of repeated rows one stays."""
+    bound_batches(spark)
     return simhash.keep_one(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten words in a row of a benchmark item, or a whole shorter item.  Null and empty texts
     stay; repeated rows are judged alike; without items all stay."""
+    bound_batches(spark)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import materialize, ship  # noqa: F401  used by the operators
+from ..storage import bound_batches, materialize, ship  # noqa: F401  used by the operators
 
 #: Characters that separate words where a contract says `[^\x20\x09-\x0D]+`.
 SPACE_CLASS = r"[\x20\x09-\x0D]"

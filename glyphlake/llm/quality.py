@@ -33,7 +33,8 @@ EPOCHS = 6
 BATCH = 32
 RATE = 0.6
 SEED = 11
-CACHE_WORDS = 400_000
+#: Bytes of the words kept with their parts, in each of two generations, and of what a word takes besides its letters.
+CACHE_BYTES, ENTRY_BYTES = 32 << 20, 144
 THRESHOLD = 0.3
 #: Feature numbers behind the buckets: a repeated word, and a text without words.
 REPEATED, EMPTY = BUCKETS, BUCKETS + 1
@@ -97,16 +98,18 @@ class _Parts(dict):
 
     def __init__(self, logits: np.ndarray):
         super().__init__()
-        self.logits, self.old = logits, {}
+        self.logits, self.old, self.room = logits, {}, CACHE_BYTES
 
     def __missing__(self, word: bytes) -> complex:
         value = self.old.get(word)
         if value is None:
             ids = word_features(word)
             value = complex(self.logits[ids].sum(), len(ids))
-        if len(self) >= CACHE_WORDS:
+        self.room -= len(word) + ENTRY_BYTES
+        if self.room < 0:
             self.old = dict(self)
             self.clear()
+            self.room = CACHE_BYTES - len(word) - ENTRY_BYTES
         self[word] = value
         return value
 

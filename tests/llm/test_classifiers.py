@@ -102,6 +102,16 @@ def test_a_words_part_is_the_average_of_its_vectors():
         assert quality.probability(text, parts) == pytest.approx(1 / (1 + np.exp(-(logits[ids] * share).sum())), rel=1e-5)
 
 
+def test_kept_words_are_bounded_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(quality, "word_features", lambda word: [len(word) % 7, 3])
+    logits = np.arange(quality.BUCKETS + 2, dtype=float)
+    parts = quality._Parts(logits)
+    for k in range(90):
+        word = b"%d" % k + b"x" * (1 << 20)
+        assert parts[word] == parts[word] == complex(len(word) % 7 + 3, 2)
+    assert sum(map(len, parts.keys() | parts.old.keys())) <= 2 * (32 << 20)
+
+
 def multilingual(spark):
     rng = random.Random(3)
     syllables = {"aa": ["tha", "ing", "wo"], "bb": ["ich", "ung", "sch"], "cc": ["eau", "oux", "é"]}

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,24 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert final.columns == [*columns, "shard", "slot"] and final.count() == mixed.count()
 
 
+@pytest.mark.parametrize("stage", ["quality", "near_copies", "benchmarks"])
+def test_rows_go_to_python_workers_in_batches_of_bounded_bytes(spark, stage):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for said, most in ((None, 4 << 20), ("1m", 1 << 20)):
+        session = spark.newSession()
+        if said:
+            session.conf.set(key, said)
+        dict(corpus_pipeline.STAGES)[stage](session, session.read.parquet(f"{SF}/documents.parquet"), SF)
+        texts = session.range(1200).coalesce(1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+        found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) > 12_000_000 and max(found) <= most + 20_000
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
