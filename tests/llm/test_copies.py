@@ -86,3 +86,18 @@ def test_parity_bits_never_differ_more_than_the_sets():
         rows = [x, y, z, copies.folded(x, 1024).tobytes()]
         assert copies._differ(rows, np.array([0, 0, 2, 1]), np.array([1, 2, 0, 3])).tolist() == [copies.apart(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (2, 0), (1, 3))]
         assert (copies.folded(x, 1024) == np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, 16), axis=0)).all()
+
+
+def test_groups_that_go_over_many_batches(spark):
+    rng = random.Random(9)
+    passage, rows = words(rng, 25), []
+    for k in range(90):
+        text = [*passage, *words(rng, rng.choice([2, 8, 20]))]
+        for _ in range(rng.randint(0, 2)):
+            text[rng.randrange(len(text))] = f"w{rng.randrange(9)}"
+        rows.append((k, " ".join(text)))
+    session = spark.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1k")
+    docs = session.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in copies.groups(docs, chunk=16).collect()} == brute(rows)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(brute(rows).values())
