@@ -6,7 +6,7 @@ These run as Arrow functions and table functions over whole documents; the rules
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rowwise import exploded
+
 CODE, COMMENT, LITERAL = 0, 1, 2
 
 
@@ -55,6 +57,31 @@ def shortest_at(compiled: list, text: str, at: int) -> tuple[int, list[int]] | N
     return None
 
 
+def scanner(rules: Rules) -> Callable[[str], Iterator[tuple[int, int, int]]]:
+    """scan() for a set of rules: where no rule has groups of its own, one expression tries them all at a place."""
+    import regex
+
+    compiled = rules.compiled()
+    if any(rule.groups or "(?" in rule.pattern for rule in compiled):  # numbers, names or flags that would reach other rules
+        return lambda text: scan(compiled, text)
+    # the longest alternative matches, and of equal ones the first
+    every = regex.compile("|".join(f"({rule.pattern})" for rule in compiled), regex.POSIX)
+
+    def of(text: str) -> Iterator[tuple[int, int, int]]:
+        at = 0
+        for m in every.finditer(text):
+            start, end = m.span()
+            if start < end:
+                for k in range(at, start):
+                    yield k, k + 1, -1
+                yield start, end, m.lastindex - 1
+                at = end
+        for k in range(at, len(text)):
+            yield k, k + 1, -1
+
+    return of
+
+
 def scan(compiled: list, text: str) -> Iterator[tuple[int, int, int]]:
     """(start, end, rule) from left to right; a place where no rule matches is skipped by one character as rule -1."""
     at = 0
@@ -68,16 +95,14 @@ def scan(compiled: list, text: str) -> Iterator[tuple[int, int, int]]:
             at = found[0]
 
 
-def tokens(df: DataFrame, rules: Rules, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keep..., start, end, rule, token): a text's tokens by the longest match, ties to the earlier rule."""
+def tokens(df: DataFrame, rules: Rules, text: str = "text", keep: tuple[str, ...] = ("doc_id",), spelled: bool = True) -> DataFrame:
+    """(keep..., start, end, rule[, token]): a text's tokens by the longest match, ties to the earlier rule."""
 
-    @F.pandas_udf("array<struct<start:long,end:long,rule:long,token:string>>")
-    def lex(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled = rules.compiled()
-        for column in batches:
-            yield column.map(lambda t: [{"start": a, "end": b, "rule": r, "token": t[a:b]} for a, b, r in scan(compiled, t or "")])
+    def made() -> Callable[[str | None], Iterator[tuple]]:
+        of = scanner(rules)
+        return (lambda t: ((a, b, r, t[a:b]) for a, b, r in of(t or ""))) if spelled else lambda t: of(t or "")
 
-    return df.select(*keep, F.inline(lex(F.col(text))))
+    return exploded(df, keep, text, "start long, end long, rule long" + ", token string" * spelled, made)
 
 
 def actions(df: DataFrame, rules: dict[str, str | None], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -131,23 +156,23 @@ def span_kinds(text: str, syntax: Comments) -> list[tuple[int, int, int]]:
 def scoped_matches(df: DataFrame, pattern: str, kinds: tuple[int, ...], syntax: Comments = FAMILIES["c"], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., start, end, match): matches that start in a span of one of the kinds."""
 
-    @F.pandas_udf("array<struct<start:long,end:long,match:string>>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def made() -> Callable[[str | None], Iterator[tuple]]:
         import bisect
 
         import regex
 
         compiled = regex.compile(pattern)
-        for column in batches:
 
-            def of(value: str | None) -> list[dict]:
-                spans = span_kinds(value or "", syntax)
-                starts = [s for s, _, _ in spans]
-                return [{"start": m.start(), "end": m.end(), "match": m[0]} for m in compiled.finditer(value or "") if spans and spans[max(0, bisect.bisect_right(starts, m.start()) - 1)][2] in kinds]
+        def of(value: str | None) -> Iterator[tuple]:
+            spans = span_kinds(value or "", syntax)
+            starts = [s for s, _, _ in spans]
+            for m in compiled.finditer(value or ""):
+                if spans and spans[max(0, bisect.bisect_right(starts, m.start()) - 1)][2] in kinds:
+                    yield m.start(), m.end(), m[0]
 
-            yield column.map(of)
+        return of
 
-    return df.select(*keep, F.inline(find(F.col(text))))
+    return exploded(df, keep, text, "start long, end long, match string", made)
 
 
 def comment_only(line: Column) -> Column:
@@ -157,28 +182,23 @@ def comment_only(line: Column) -> Column:
 def spans(df: DataFrame, pattern: str, text: str = "line", keep: tuple[str, ...] = ("doc_id", "line_number"), start: int = 0, stop: int | None = None, flags: int = 0) -> DataFrame:
     """(keep..., start, end, match) in UTF-8 bytes of all matches, empty ones included, in a window that does not move what anchors see."""
 
-    @F.pandas_udf("array<struct<start:long,end:long,match:string>>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def made() -> Callable[[str | None], Iterator[tuple]]:
         import regex
 
         compiled = regex.compile(pattern, flags)
-        for column in batches:
 
-            def of(value: str | None) -> list[dict]:
-                if value is None:
-                    return []
-                out, place, size = [], 0, 0
-                for m in compiled.finditer(value, start, len(value) if stop is None else stop):
-                    # bytes up to the match are those up to the last one and between
-                    size += len(value[place : m.start()].encode())
-                    place, end = m.end(), size + len(m[0].encode())
-                    out.append({"start": size, "end": end, "match": m[0]})
-                    size = end
-                return out
-
-            yield column.map(of)
-
-    return df.select(*keep, F.inline(find(F.col(text))))
+        def of(value: str | None) -> Iterator[tuple]:
+            place, size = 0, 0
+            for m in compiled.finditer(value, start, len(value) if stop is None else stop) if value is not None else ():
+                # bytes up to the match are those up to the last one and between
+                size += len(value[place : m.start()].encode())
+                place, end = m.end(), size + len(m[0].encode())
+                yield size, end, m[0]
+                size = end
+
+        return of
+
+    return exploded(df, keep, text, "start long, end long, match string", made)
 
 
 def nearest_name(name: str, known: list[str]) -> str | None:

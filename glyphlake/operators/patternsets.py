@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..corpus import Corpus
 from ..functions.paths import glob_applies
 from ..functions.patterns import Pattern, either
+from ..functions.rowwise import exploded
 from .search import any_line
 
 
@@ -180,9 +181,8 @@ def pattern_ends(df: DataFrame, patterns: dict[str, str], text: str = "line", ke
     if len(compiled) > 64:
         raise ValueError("at most 64 patterns")
 
-    @F.pandas_udf("array<struct<pattern_id:long,end:long>>")
-    def ends(column: pd.Series) -> pd.Series:
-        made = [regex.compile(f"(?<=(?:{p}))") for p in compiled]
-        return column.map(lambda value: [{"pattern_id": i, "end": m.end()} for i, p in enumerate(made) for m in p.finditer(value or "")])
+    def made() -> Callable[[str | None], Iterator[tuple]]:
+        lookbehinds = [regex.compile(f"(?<=(?:{p}))") for p in compiled]
+        return lambda value: ((i, m.end()) for i, p in enumerate(lookbehinds) for m in p.finditer(value or ""))
 
-    return df.select(*keep, F.inline(ends(F.col(text))))
+    return exploded(df, keep, text, "pattern_id long, end long", made)
