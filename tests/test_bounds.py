@@ -2,10 +2,13 @@
 
 import random
 
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from glyphlake.functions import rowwise
 from glyphlake.operators import lexing
+from glyphlake.plans import registry
 
 
 def test_rows_of_a_text_leave_in_bounded_batches():
@@ -31,3 +34,13 @@ def test_one_expression_scans_as_all_rules_do():
         assert list(of(text)) == list(lexing.scan(rules.compiled(), text))
     grouped = lexing.Rules((r"(a)\1", "(?i:B)", "a"))
     assert list(lexing.scanner(grouped)("aaab")) == list(lexing.scan(grouped.compiled(), "aaab")) == [(0, 2, 0), (2, 3, 2), (3, 4, 1)]
+
+
+def test_workers_get_a_few_megabytes_of_texts_at_once(spark, tmp_path):
+    @F.pandas_udf("long")
+    def together(column: pd.Series) -> pd.Series:
+        return pd.Series([len(column)] * len(column))
+
+    spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1 << 20).alias("text"), F.lit("a").alias("lang"), F.lit("b").alias("source")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = registry.corpus(spark, str(tmp_path)).df
+    assert docs.select(together("text").alias("n")).agg(F.max("n")).first()[0] <= 5
