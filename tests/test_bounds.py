@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from glyphlake import storage
 from glyphlake.functions import rowwise
-from glyphlake.operators import lexing
+from glyphlake.operators import allpairs, lexing
 from glyphlake.plans import registry
 
 
@@ -44,3 +46,43 @@ def test_workers_get_a_few_megabytes_of_texts_at_once(spark, tmp_path):
     spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1 << 20).alias("text"), F.lit("a").alias("lang"), F.lit("b").alias("source")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     docs = registry.corpus(spark, str(tmp_path)).df
     assert docs.select(together("text").alias("n")).agg(F.max("n")).first()[0] <= 5
+
+
+def test_near_sets_are_found_by_blocks_without_a_table_of_candidates(spark, monkeypatch):
+    """Blocks and tiles of a few sets give what brute force gives, for sets that all share common elements."""
+    rng, size = np.random.default_rng(6), 128
+    common = rng.integers(0, 1 << 62, 150)
+    sets = []
+    for k in range(70):
+        base = np.concatenate([rng.choice(common, 60, replace=False), rng.integers(0, 1 << 62, 5 if k % 9 == 0 else 90)])
+        for _ in range(3):
+            keep = rng.random(len(base)) > rng.choice([0.02, 0.1, 0.25])
+            sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 62, (~keep).sum())]))[:size])
+    order = sorted(range(len(sets)), key=lambda k: sets[k][-1])
+
+    def block(ids):
+        table, n = allpairs._table([sets[k] for k in ids], size)
+        return allpairs.Block(np.array(ids, np.int64).tobytes(), n.tobytes(), table.tobytes(), size)
+
+    monkeypatch.setattr(allpairs, "TILE", 16)
+    monkeypatch.setattr(allpairs, "STRIP", 5)
+    for threshold in (0.0, 0.25, 0.5, 0.7):
+        want = {}
+        for i in range(len(sets)):
+            for j in range(i):
+                union = np.union1d(sets[i], sets[j])[:size]
+                apart = 1.0 - np.isin(union, np.intersect1d(sets[i], sets[j])).sum() / len(union)
+                if apart <= threshold:
+                    want[j, i] = apart
+        parts = [block(order[:90]), block(order[90:])]
+        got = {}
+        for x, y in ((0, 0), (0, 1), (1, 1)):
+            for i, j, d in allpairs.near(parts[x], parts[y], x == y, threshold, size):
+                got |= {(min(p), max(p)): v for *p, v in zip(i.tolist(), j.tolist(), d.tolist(), strict=True)}
+        assert got == want and (threshold == 0 or want)
+    # what is written is the blocks: no table of pairs that share an element
+    rows = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(sets)], "id long, s array<long>")
+    monkeypatch.setattr(allpairs, "BLOCK", 50)
+    before = len(storage._written)
+    assert {(min(r.i, r.j), max(r.i, r.j)): r.distance for r in allpairs.pairs(rows, 0.7, size).collect()} == want
+    assert [p.rpartition("/")[2][:16] for _, p in storage._written[before:]] == ["glyphlake-blocks"]
