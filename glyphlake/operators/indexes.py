@@ -1,7 +1,7 @@
 """Candidate indexes: they narrow what is read, and never answer.
 
-A trigram index is a table of (trigram, doc_id) rows, written clustered by trigram, so a query's scan
-reads the few row groups of its trigrams.  Class runs are columns beside the documents.  Every answer
+A trigram index is a table of (trigram, doc_id) rows, stored as lists of documents and clustered by trigram, so a
+query's scan reads the few row groups of its trigrams.  Class runs are columns beside the documents.  Every answer
 is verified on the documents that a candidate set leaves.
 """
 
@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import syntax
 from ..functions.patterns import Pattern, needs_backtracking
-from ..storage import kept
+from ..storage import bound_batches, kept
 
 #: The classes whose longest runs are kept, in the ASCII reading.
 RUN_CLASSES = {
@@ -34,16 +38,71 @@ def distinct_trigrams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=([^\x{DC00}-\x{DFFF}]..))"), F.lit(1)))
 
 
+def posting_lists(docs: DataFrame) -> DataFrame:
+    """(trigram, docs): each trigram of a batch of documents with those that have it; a trigram has a row a batch."""
+    bound_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, counts, which = trigrams_of(batch.column(1).to_pylist())
+            if len(grams):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), batch.column(0).take(pa.array(which)))
+                yield pa.RecordBatch.from_arrays([pa.array(grams), lists], names=["trigram", "docs"])
+
+    return rows.mapInArrow(run, StructType([StructField("trigram", StringType()), StructField("docs", ArrayType(rows.schema["doc_id"].dataType))]))
+
+
+def trigrams_of(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct trigrams of texts, in how many texts each is, and these texts' places one trigram behind the other.
+
+    A trigram and its text are one number, so one sort finds and groups them."""
+    n = np.array([len(t or "") for t in texts])
+    codes = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < 3:
+        return [], n[:0], n[:0]
+    seen = np.zeros(int(codes.max()) + 1, bool)
+    seen[codes] = True
+    letters = np.flatnonzero(seen)
+    number = np.zeros(len(seen), np.int64)
+    number[letters] = np.arange(len(letters))
+    c, k, text = number[codes], len(letters), np.repeat(np.arange(len(texts)), n)
+    inside = text[:-2] == text[2:]
+    grams, text = ((c[:-2] * k + c[1:-1]) * k + c[2:])[inside], text[:-2][inside]
+    names = None
+    if k**3 * len(texts) >= 1 << 62:  # of many letters and texts: number the trigrams that there are
+        names, grams = np.unique(grams, return_inverse=True)
+    both = grams * len(texts) + text
+    both.sort()
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    grams, which = both // len(texts), both % len(texts)
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else grams
+    first = grams[starts] if names is None else names[grams[starts]]
+    spelled = np.stack([letters[first // k // k], letters[first // k % k], letters[first % k]], axis=1).astype(np.uint32)
+    whole = spelled.tobytes().decode("utf-32-le", "surrogatepass")
+    return [whole[i : i + 3] for i in range(0, len(whole), 3)], np.diff(np.append(starts, len(grams))), which
+
+
+def unlisted(lists: DataFrame) -> DataFrame:
+    """(trigram, doc_id) of posting lists."""
+    return lists.select("trigram", F.explode("docs").alias("doc_id"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(trigram, doc_id), each pair once."""
-    return docs.select(F.explode(distinct_trigrams(F.col("text"))).alias("trigram"), "doc_id")
+    return unlisted(posting_lists(docs))
+
+
+def write_lists(lists: DataFrame, path: str, mode: str = "errorifexists", partitions: int | None = None) -> None:
+    """Posting lists sorted by trigram, so that row-group statistics select a trigram's rows."""
+    order = [F.col("trigram"), F.element_at("docs", 1)]
+    ranged = lists.repartitionByRange(partitions, *order) if partitions else lists.repartitionByRange(*order)
+    ranged.sortWithinPartitions("trigram").write.mode(mode).parquet(path)
 
 
 def build(docs: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Write the postings sorted by trigram, so that row-group statistics select a trigram's rows."""
-    rows = postings(docs)
-    rows = rows.repartitionByRange(partitions, "trigram", "doc_id") if partitions else rows.repartitionByRange("trigram", "doc_id")
-    rows.sortWithinPartitions("trigram", "doc_id").write.mode("errorifexists").parquet(path)
+    """Write the posting lists of documents; unlisted() reads them."""
+    write_lists(posting_lists(docs), path, partitions=partitions)
 
 
 def frequencies(rows: DataFrame) -> DataFrame:
@@ -236,7 +295,7 @@ def survives(requirements: list[list[tuple[str, int]]]) -> Column:
 
 def stored_postings(docs: DataFrame, key: str) -> DataFrame:
     """The postings of a corpus, built once an application and sorted by trigram: a query reads the row groups of its trigrams."""
-    return kept(docs.sparkSession, f"postings:{key}", lambda path: build(docs, path))
+    return unlisted(kept(docs.sparkSession, f"postings:{key}", lambda path: build(docs, path)))
 
 
 def stored_runs(docs: DataFrame, key: str, names: list[str] | None = None) -> DataFrame:
@@ -287,7 +346,7 @@ def published(spark: SparkSession, root: str) -> str | None:
 
 
 def current_generation(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(published(spark, root))
+    return unlisted(spark.read.parquet(published(spark, root)))
 
 
 def reclaim(spark: SparkSession, root: str, keep: int = 2) -> list[str]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.patterns import Pattern
-from ..operators.indexes import postings, publish, published
+from ..operators.indexes import posting_lists, publish, published, unlisted, write_lists
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ class IndexKeeper:
     def _live(self, kind: str, names: list[str]) -> DataFrame:
         out = gone = None
         for k, name in enumerate(names):
-            rows = self.spark.read.parquet(f"{self.root}/{kind}-{name}").withColumn("__segment", F.lit(k))
+            rows = self.spark.read.parquet(f"{self.root}/{kind}-{name}")
+            rows = (unlisted(rows) if kind == "postings" else rows).withColumn("__segment", F.lit(k))
             ids = self.spark.read.parquet(f"{self.root}/gone-{name}").withColumn("__last", F.lit(k))
             out, gone = (rows, ids) if out is None else (out.unionByName(rows), gone.unionByName(ids))
         last = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.max("__last").alias("__last"))
@@ -53,8 +54,8 @@ class IndexKeeper:
             return -1, None, None
         return int(names[-1].rpartition("-")[2]), self._live("postings", names), self._live("docs", names)
 
-    def _write(self, name: str, rows: DataFrame, docs: DataFrame, gone: DataFrame) -> None:
-        rows.repartitionByRange("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id").write.mode("overwrite").parquet(f"{self.root}/postings-{name}")
+    def _write(self, name: str, lists: DataFrame, docs: DataFrame, gone: DataFrame) -> None:
+        write_lists(lists, f"{self.root}/postings-{name}", "overwrite")
         docs.write.mode("overwrite").parquet(f"{self.root}/docs-{name}")
         gone.write.mode("overwrite").parquet(f"{self.root}/gone-{name}")
 
@@ -65,10 +66,12 @@ class IndexKeeper:
             return
         last = latest(batch)
         kept = last.where(~F.col("deleted")).select("doc_id", "path", "text")
-        self._write(f"batch-{batch_id}", postings(kept), kept, last.select("doc_id"))
+        self._write(f"batch-{batch_id}", posting_lists(kept), kept, last.select("doc_id"))
         names = [*names, f"batch-{batch_id}"]
         if len(names) >= self.most:
-            self._write(f"whole-{batch_id}", self._live("postings", names), self._live("docs", names), last.select("doc_id").limit(0))
+            # lists of a bounded share of a trigram's documents
+            live = self._live("postings", names).groupBy("trigram", F.pmod(F.xxhash64("doc_id"), F.lit(256))).agg(F.collect_list("doc_id").alias("docs")).select("trigram", "docs")
+            self._write(f"whole-{batch_id}", live, self._live("docs", names), last.select("doc_id").limit(0))
             names = [f"whole-{batch_id}"]
         publish(self.spark, self.root, ",".join(names))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphlake import storage
 from glyphlake.functions import rowwise
-from glyphlake.operators import allpairs, lexing
+from glyphlake.operators import allpairs, indexes, lexing
 from glyphlake.plans import registry
 
 
@@ -86,3 +86,17 @@ def test_near_sets_are_found_by_blocks_without_a_table_of_candidates(spark, monk
     before = len(storage._written)
     assert {(min(r.i, r.j), max(r.i, r.j)): r.distance for r in allpairs.pairs(rows, 0.7, size).collect()} == want
     assert [p.rpartition("/")[2][:16] for _, p in storage._written[before:]] == ["glyphlake-blocks"]
+
+
+def test_an_index_moves_lists_of_documents(spark, tmp_path):
+    texts = ["abcabc", None, "ab", "", "bcaé\U0001f600x", "abc\n\n\n"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "abcd")], "doc_id long, text string")
+    want = sorted((t[i : i + 3], d) for d, t in enumerate(texts) if t for i in range(len(t) - 2) if t.find(t[i : i + 3]) == i)
+    assert sorted(tuple(r) for r in indexes.postings(docs).where("doc_id is not null").collect()) == want
+    assert sorted(r.trigram for r in indexes.postings(docs).where("doc_id is null").collect()) == ["abc", "bcd"]
+    indexes.build(docs.coalesce(1), f"{tmp_path}/index")
+    stored = spark.read.parquet(f"{tmp_path}/index")
+    assert stored.count() == len({g for g, _ in want} | {"bcd"})  # a row a trigram and batch, not a row a posting
+    assert indexes.unlisted(stored).count() == len(want) + 2
+    grams, counts, which = indexes.trigrams_of(["xyz", "xyzx"])
+    assert (grams, counts.tolist(), which.tolist()) == (["xyz", "yzx"], [2, 1], [0, 1, 1])
