@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..corpus import Corpus
+from ..storage import materialize
 from . import kinship
 from .ranking import comment_free
 
@@ -68,12 +69,16 @@ def provenance(corpus: Corpus, text: str, least: int = 16) -> DataFrame:
 
 def blast(corpus: Corpus, symbol: str, hops: int = 2) -> DataFrame:
     """(role, path, line, detail): what a change of a symbol touches - definitions, dependents, dependencies, ripples, comments."""
+    # the texts may be made by expressions, which each of the six readings below would evaluate again
+    corpus = Corpus(materialize(corpus.df.select("doc_id", "path", "text"), "blast"))
     lines = corpus.lines()
-    known = kinship.references(lines, symbol)
+    known = materialize(kinship.references(lines, symbol), "references")
     definitions = known.where("defines").select(F.lit("definition").alias("role"), "path", "line", F.lit("").alias("detail"))
     dependents = known.where("not defines").select(F.lit("dependent").alias("role"), "path", "line", F.lit("").alias("detail"))
     own = known.where("defines").select("path", F.col("line").alias("at"))
-    units = functions(corpus, 1).join(own, "path").where((F.col("line_start") <= F.col("at")) & (F.col("line_end") >= F.col("at")))
+    # units are cut by document, so those without a definition of the symbol are left out first
+    defining = Corpus(corpus.df.join(own.select("path").distinct(), "path", "left_semi"))
+    units = functions(defining, 1).join(own, "path").where((F.col("line_start") <= F.col("at")) & (F.col("line_end") >= F.col("at")))
     names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]{2,})\s*\("), F.lit(1))))
     dependencies = units.select("path", F.col("line_start").alias("line"), names.alias("detail")).where(F.col("detail") != symbol).select(F.lit("dependency").alias("role"), "path", "line", "detail").distinct()
     ripple = kinship.ripple(lines, symbol, hops).where("hops > 1").select(F.lit("ripple").alias("role"), "path", F.col("hops").alias("line"), F.col("via").alias("detail"))

@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glyphlake import storage
-from glyphlake.functions import rowwise
-from glyphlake.operators import allpairs, indexes, lexing
+from glyphlake.corpus import Corpus
+from glyphlake.functions import matching, rowwise
+from glyphlake.operators import allpairs, indexes, kinship, lexing, substrings
 from glyphlake.plans import registry
 
 
@@ -100,3 +101,43 @@ def test_an_index_moves_lists_of_documents(spark, tmp_path):
     assert indexes.unlisted(stored).count() == len(want) + 2
     grams, counts, which = indexes.trigrams_of(["xyz", "xyzx"])
     assert (grams, counts.tolist(), which.tolist()) == (["xyz", "yzx"], [2, 1], [0, 1, 1])
+
+
+def test_suffixes_are_ordered_from_several_characters_on():
+    rng = random.Random(2)
+    for n in [0, 1, 2, *[rng.randint(3, 60) for _ in range(200)], 3000]:
+        text = [rng.choice([1, 2, 70000][: rng.randint(1, 3)]) for _ in range(n)] if n < 3000 else [5] * n
+        for tail in ([], [0]):
+            codes = np.array(text + tail, np.int64)
+            want = sorted(range(len(codes)), key=lambda i: codes[i:].tolist())
+            assert substrings.suffix_ranks(codes).tolist() == want
+    codex = substrings.Codex("anananas")
+    assert (codex.count("ana"), codex.count("x")) == (3, 0) and set(codex.places) == {ord(c) + 1 for c in "an"}  # only what is asked for
+
+
+def test_properties_are_read_from_a_table(spark):
+    texts = ["aÄБ٣7 Ω", "", None, "\U0001d400x"]
+    got = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", matching.property_counts(["Lu", "Nd", "Greek"])("text").alias("n")).collect()
+    assert [r.n for r in sorted(got)] == [[3, 2, 1], [0, 0, 0], None, [1, 0, 0]]
+
+
+def test_a_ripple_writes_what_it_reaches_and_not_all_mentions(spark):
+    rows = [(1, "a", "def alpha():\n  beta()\nalpha"), (2, "b", "def beta(): pass"), (3, "c", "alpha()"), (4, "d", "other words\n" * 500), (5, "e", "class alpha")]
+    before = len(storage._written)
+    got = kinship.ripple(Corpus.from_rows(spark, rows).lines(), "beta")
+    assert {(r.path, r.via, r.hops) for r in got.collect()} == {("a", "beta", 1), ("c", "alpha", 2)}
+    assert sum(spark.read.parquet(p).count() for _, p in storage._written[before:]) == 3  # a; alpha; c
+
+
+def test_pieces_that_stand_in_a_text(spark):
+    frame = spark.createDataFrame([(1, "xabcabcdy"), (2, None), (3, "\U0001f600abcd")], "id long, text string")
+    got = frame.select("id", kinship.standing(["abca", "abcd", "zzzz"])("text").alias("p")).collect()
+    assert [r.p for r in sorted(got)] == [["abca", "abcd"], [], ["abcd"]]
+
+
+def test_what_a_line_defines_is_sought_once_a_line(spark):
+    lines = Corpus.from_rows(spark, [(1, "a", "def alpha(beta) alpha beta\n\nclass Long type x of things"), (2, "b", None)]).lines()
+    found = kinship.mentions(lines)
+    assert sorted((r.line_number, r.symbol, r.defines) for r in found.collect()) == [(1, "alpha", True), (1, "beta", False), (1, "def", False), (3, "Long", True), (3, "class", False), (3, "things", False), (3, "type", False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and plan.index("Generate") < plan.index("regexp_extract_all")  # nothing is left to do for a word
