@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,3 +125,27 @@ def property_ranges(name: str) -> list[tuple[int, int]]:
         every = "".join(map(chr, range(low, high)))
         out += [(low + m.start(), low + m.end() - 1) for m in runs.finditer(every)]
     return out
+
+
+def property_counts(names: list[str]) -> Callable[[Column], Column]:
+    """How many characters of a text have each property, null for a null text: a table by code point is read once a character."""
+
+    @F.pandas_udf("array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        marks = np.zeros(0x110000, np.uint64)
+        for k, name in enumerate(names):
+            for low, high in property_ranges(name):
+                marks[low : high + 1] |= np.uint64(1 << k)
+
+        def of(text: str | None) -> list[int] | None:
+            if text is None:
+                return None
+            found = marks[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+            return [int(np.count_nonzero(found & np.uint64(1 << k))) for k in range(len(names))]
+
+        for column in batches:
+            yield column.map(of)
+
+    if len(names) > 64:
+        raise ValueError("at most 64 properties")
+    return run

@@ -235,8 +235,8 @@ def property_counts(spark: SparkSession, d: str) -> DataFrame:
     """Characters of a script or category, told by the ranges of its code points."""
     from ..functions import matching as M
 
-    bracket = lambda name: "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in M.property_ranges(name)) + "]"
-    return table(spark, d, "documents").select("doc_id", *[F.regexp_count("text", F.lit(bracket(p))).cast("long").alias(p.lower()) for p in PROPERTIES])
+    counted = table(spark, d, "documents").select("doc_id", M.property_counts(list(PROPERTIES))(F.col("text")).alias("n"))
+    return counted.select("doc_id", *[F.col("n")[k].alias(p.lower()) for k, p in enumerate(PROPERTIES)])
 
 
 @query("SELECT * FROM (VALUES ('K', 'K,k,K'), ('s', 'S,s,ſ'), ('x', 'X,x'), ('1', '1'), ('µ', 'µ,Μ,μ'), ('σ', 'Σ,ς,σ')) t(letter, orbit)")
