@@ -33,18 +33,35 @@ def locate(docs: DataFrame, needle: str) -> DataFrame:
 
 
 def suffix_ranks(codes: np.ndarray) -> np.ndarray:
-    """The suffix array of a text of code points, by doubling the compared length."""
+    """The suffix array of a text of code points, by doubling the compared length.
+
+    The first comparison is of as many characters as one number holds, and later rounds only order the suffixes that are
+    still equal to others."""
     n = len(codes)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    size = 1
+    if not n:
+        return np.zeros(0, np.int64)
+    letters, rank = np.unique(codes, return_inverse=True)
+    room, base, size = rank.astype(np.int64) + 1, len(letters) + 1, 1
+    while base * base < 1 << 62 and size < n:
+        room = room * base + np.concatenate([room[size:], np.zeros(min(size, n), np.int64)])
+        base, size = base * base, size * 2
+    order = np.argsort(room, kind="stable")
+    new = np.concatenate([[True], np.diff(room[order]) != 0])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # the first place of a group of equal ones
     while True:
-        behind = np.full(n, -1, np.int64)
-        behind[: max(0, n - size)] = rank[size:]
-        order = np.lexsort((behind, rank))
-        step = (np.diff(rank[order]) != 0) | (np.diff(behind[order]) != 0)
-        rank[order] = np.concatenate([[0], np.cumsum(step)]) if n else order
-        if not n or rank[order[-1]] == n - 1:
+        # places of groups of more than one
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(tied):
             return order
+        at = order[tied]
+        behind = np.where(at + size < n, rank[np.minimum(at + size, n - 1)], -1)
+        key = rank[at] * (n + 1) + behind + 1
+        sorting = np.argsort(key, kind="stable")
+        order[tied], key = at[sorting], key[sorting]
+        starts = np.concatenate([[True], np.diff(key) != 0])
+        new[tied] = starts
+        rank[order[tied]] = np.maximum.accumulate(np.where(starts, tied, 0))
         size *= 2
 
 
@@ -57,8 +74,7 @@ class Codex:
         self.last = codes[self.order - 1]
         self.sorted, starts = np.unique(self.last, return_index=False, return_counts=True)
         self.first = dict(zip(self.sorted.tolist(), (np.cumsum(starts) - starts).tolist(), strict=True))
-        # places of each character in the last column, ascending: how many stand before a row
-        self.places = {c: np.flatnonzero(self.last == c) for c in self.sorted.tolist()}
+        self.places: dict[int, np.ndarray] = {}
 
     def whole(self) -> tuple[int, int]:
         return 0, len(self.last)
@@ -68,6 +84,8 @@ class Codex:
         c = ord(character) + 1
         if c not in self.first:
             return 0, 0
+        if c not in self.places:  # its places in the last column, ascending: how many stand before a row
+            self.places[c] = np.flatnonzero(self.last == c)
         low, high = np.searchsorted(self.places[c], rows).tolist()
         return self.first[c] + low, self.first[c] + high
 
